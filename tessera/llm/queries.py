@@ -6,16 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from ..runtime import read
 from .jaccard_join import jaccard_components
+from .line_spread import remove_boilerplate
+from .mpeg_audio import text_digests
+from .piece_codec import digests
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_digests(read(spark, sf_dir, "documents"))
+
+
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_boilerplate(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_mpeg_audio": op6_mpeg_audio,
+    "op10_line_spread": op10_line_spread,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_line_spread": """
+        WITH d AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS lines FROM documents),
+        x AS (SELECT doc_id, source, unnest(lines) AS line FROM d),
+        bad AS (
+            SELECT trim(line, ' ') AS line, min(doc_id) AS first FROM x
+            WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10
+        ),
+        hit AS (
+            SELECT x.doc_id, list(DISTINCT bad.line) AS hits FROM x JOIN bad ON trim(x.line, ' ') = bad.line
+            WHERE bad.first <> x.doc_id GROUP BY x.doc_id
+        ),
+        k AS (
+            SELECT d.doc_id, d.lines,
+                   list_filter(d.lines, lambda y: trim(y, ' ') = '' OR NOT list_contains(coalesce(hit.hits, []), trim(y, ' '))) AS kept
+            FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id
+        )
+        SELECT doc_id, array_to_string(kept, chr(10)) AS text,
+               coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_removed
+        FROM k
+    """,
+}
