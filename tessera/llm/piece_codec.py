@@ -23,32 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import python_path
+from .memory import Memory
 
 SPACE = "▁"
 REMEMBERED = 300_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-class _Memory(dict):
-    """A bounded table of what ``encode`` gives: once it is full, entries that were not asked for since the last time
-    it was full are forgotten. Long keys are not kept."""
-
-    def __init__(self, encode, size: int = REMEMBERED):
-        super().__init__()
-        self.encode, self.size, self.before = encode, size, {}
-
-    def __missing__(self, key: str):
-        value = self.before.get(key)
-        if value is None:
-            value = self.encode(key)
-        if len(key) <= 64:
-            if len(self) >= self.size:
-                self.before = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class PieceCodec:
     def __init__(self, model_path: str):
         import ahocorasick
@@ -81,9 +62,9 @@ class PieceCodec:
         self.fits: dict[tuple[str, str], bool] = {}
         self.shorter: dict[str, str | None] = {}
         self.side_by_side = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.parts = _Memory(lambda part: [self.ids[p] for p in self.backtrack(part)])
-        self.words = _Memory(lambda chunk: ",".join(map(str, self.encode_chunk(chunk))))
-        self.after_space = _Memory(lambda word: ",".join(map(str, self.encode_chunk(SPACE + word))))
+        self.parts = Memory(lambda part: [self.ids[p] for p in self.backtrack(part)])
+        self.words = Memory(lambda chunk: ",".join(map(str, self.encode_chunk(chunk))))
+        self.after_space = Memory(lambda word: ",".join(map(str, self.encode_chunk(SPACE + word))))
 
     def merge(self, text: str) -> list[str]:
         """The plain encoder, for short texts of known characters."""

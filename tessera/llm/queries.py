@@ -12,6 +12,7 @@ from ..runtime import read
 from .jaccard_join import jaccard_components
 from .line_spread import remove_boilerplate
 from .mpeg_audio import text_digests
+from .packing import pack
 from .piece_codec import digests
 
 
@@ -23,6 +24,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_digests(read(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op5_vector_packing": op5_vector_packing,
     "op6_mpeg_audio": op6_mpeg_audio,
     "op10_line_spread": op10_line_spread,
 }
