@@ -213,16 +213,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = rows.groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "text")
     sets = durable(shingle_sets(texts, width, percent, orders))
     alive = sets.where("tokens is not null").select("id", "n", "centre", "tokens", "entries")
-    entries = alive.select("id", "n", "centre", F.inline("entries"))
-
-    hubs = entries.groupBy("k", "token").agg(F.min(F.struct("centre", "id", "n", "cap")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("k", "token", "hub")
-    to_hub = entries.join(hubs, ["k", "token"]).where("id <> hub.id and n <= hub.cap and hub.n <= cap")
-    to_hub = to_hub.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct()
+    lists = alive.select("id", "n", "centre", F.inline("entries"))
+    lists = lists.select("k", "token", F.struct("centre", "id", "n", "cap").alias("m")).repartition("k", "token")
+    hubs = lists.groupBy("k", "token").agg(F.min("m").alias("hub"))
+    to_hub = lists.join(hubs, ["k", "token"]).where("m.id <> hub.id and m.n <= hub.cap and hub.n <= m.cap")
+    to_hub = to_hub.select(F.least("m.id", "hub.id").alias("u"), F.greatest("m.id", "hub.id").alias("v")).distinct()
     near = connected_components(_verified(to_hub, alive, percent))
 
-    placed = entries.join(near, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("centre")
-    mixed = placed.groupBy("k", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k", "token")
-    placed = durable(placed.join(mixed, ["k", "token"], "left_semi"))
+    placed = alive.select("id", "n", "entries").join(near, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.inline("entries"))
+    placed = placed.select("k", "token", F.struct("id", "n", "cap", "component").alias("m")).repartition("k", "token")
+    mixed = placed.groupBy("k", "token").agg(F.min("m.component").alias("lo"), F.max("m.component").alias("hi")).where("lo <> hi").select("k", "token")
+    placed = durable(placed.join(mixed, ["k", "token"], "left_semi").select("k", "token", "m.*"))
     a = placed.select("k", "token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "cap", "component")))
     b = placed.select("k", "token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "cap", "component")))
     met = a.join(b, ["k", "token"]).where("component_a < component_b and n_a <= cap_b and n_b <= cap_a").select("id_a", "id_b", "component_a", "component_b", "k").distinct()
