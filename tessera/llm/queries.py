@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
@@ -14,6 +15,8 @@ from .line_spread import remove_boilerplate
 from .mpeg_audio import text_digests
 from .packing import pack
 from .piece_codec import digests
+from .pivot_index import top_k
+from .warc_revisit import round_trip
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,6 +39,10 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_digests(read(spark, sf_dir, "documents"))
 
 
+def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(read(spark, sf_dir, "documents"))
 
@@ -39,12 +50,27 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_pivot_index": op4_pivot_index,
     "op5_vector_packing": op5_vector_packing,
     "op6_mpeg_audio": op6_mpeg_audio,
+    "op9_warc_revisit": op9_warc_revisit,
     "op10_line_spread": op10_line_spread,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_pivot_index": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op10_line_spread": """
         WITH d AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS lines FROM documents),
         x AS (SELECT doc_id, source, unnest(lines) AS line FROM d),
