@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..runtime import read
+from . import quality_pu, toxicity
 from .jaccard_join import jaccard_components
 from .line_spread import remove_boilerplate
 from .mpeg_audio import text_digests
@@ -27,6 +28,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -39,6 +44,10 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_digests(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -50,14 +59,17 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_quality_pu": op3_quality_pu,
     "op4_pivot_index": op4_pivot_index,
     "op5_vector_packing": op5_vector_packing,
     "op6_mpeg_audio": op6_mpeg_audio,
+    "op7_toxicity": op7_toxicity,
     "op9_warc_revisit": op9_warc_revisit,
     "op10_line_spread": op10_line_spread,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_quality_pu": op3_quality_pu,
     "op4_pivot_index": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings

@@ -32,12 +32,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """One 64-bit hash a word, in order."""
+#: For words of letters only: every ASCII character that isn't a letter separates.
+NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+
+
+def word_hashes(text: str, separator: np.ndarray = _SEPARATOR) -> np.ndarray:
+    """One 64-bit hash a word, in order; A-Z count as a-z."""
     b = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOWER), dtype=np.uint8)
     if not len(b):
         return np.empty(0, dtype=np.uint64)
-    inside = ~_SEPARATOR[b]
+    inside = ~separator[b]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     starts = np.flatnonzero(first)
