@@ -119,3 +119,28 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
     found = lines.count()
     out = (_by_list if found <= sent else _by_join)(docs, lines, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_removed")
+
+
+def strip_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sent: int = SENT, **options) -> DataFrame:
+    """``docs`` with the texts that ``remove_boilerplate`` gives; all rows and columns stay."""
+    spark = python_path(docs.sparkSession)
+    lines = durable(boilerplate(docs, min_sites, id_col, text_col, site_col, **options))
+    if lines.count() > sent:
+        hits = docs.select(F.col(id_col).cast("long").alias("__id"), F.explode(_lines(F.col(text_col))).alias("line")).where("trim(line) <> '' and __id is not null")
+        hits = hits.select("__id", _key(F.col("line")).alias("line")).distinct().join(lines, "line").where("first is null or first <> __id")
+        hits = hits.groupBy("__id").agg(F.collect_set("line").alias("__hits"))
+        kept = F.filter(_lines(F.col(text_col)), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__hits"), _key(x)))
+        text = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+        return docs.join(hits, docs[id_col] == F.col("__id"), "left").withColumn(text_col, text).select(*docs.columns)
+    found = sorted((r.line, r.first) for r in lines.collect())
+    if not found:
+        return docs
+    table = spark.sparkContext.broadcast((np.array([x for x, _ in found], dtype=np.int64), np.array([f or 0 for _, f in found], dtype=np.int64), np.array([f is not None for _, f in found], dtype=bool)))
+
+    @F.pandas_udf("string")
+    def stripped(ids, texts):
+        whole = [None if i != i else int(i) for i in ids.tolist()]
+        out, _, _ = _strip(*table.value)(whole, [None if t is None or t != t else t for t in texts.tolist()])
+        return texts.__class__(out, index=texts.index, dtype=object)
+
+    return docs.withColumn(text_col, stripped(F.col(id_col).cast("long"), F.col(text_col)))

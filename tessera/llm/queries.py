@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..runtime import read
-from . import quality_pu, toxicity
+from . import pii_bootstrap, quality_pu, toxicity
 from .jaccard_join import jaccard_components
 from .line_spread import remove_boilerplate
 from .mpeg_audio import text_digests
@@ -48,6 +48,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.extract(read(spark, sf_dir, "documents"))
+
+
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_vector_packing": op5_vector_packing,
     "op6_mpeg_audio": op6_mpeg_audio,
     "op7_toxicity": op7_toxicity,
+    "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_warc_revisit": op9_warc_revisit,
     "op10_line_spread": op10_line_spread,
 }

@@ -1,6 +1,6 @@
 import random
 
-from tessera.llm.line_spread import boilerplate, remove_boilerplate
+from tessera.llm.line_spread import boilerplate, remove_boilerplate, strip_boilerplate
 
 SCHEMA = "doc_id long, text string, source string, n_lines int, line string"
 
@@ -43,6 +43,9 @@ def test_both_ways_as_brute_force(spark):
         for sent in (200_000, 0):
             got = sorted((tuple(r) for r in remove_boilerplate(docs, least, sent=sent).collect()), key=str)
             assert got == want
+            kept = strip_boilerplate(docs, least, sent=sent)
+            assert kept.columns == docs.columns
+            assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i, t) for i, t, *_ in want), key=str)
 
 
 def test_empty_table_and_null_id(spark):
