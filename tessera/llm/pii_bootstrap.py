@@ -29,6 +29,7 @@ _PATTERNS = {
 }
 _TOKEN = r"(?<![A-Za-z0-9._@+-])[A-Za-z._@+-]*+[0-9][A-Za-z0-9._@+-]*+"
 _SPAN = "array<struct<s:int,k:int,e:int,v:string,l:string,r:string>>"
+_BLOCK = 256  # matches whose positions are summed at a time
 _FEW = 100_000  # most rows to send to every task, some 60 bytes each
 
 
@@ -40,19 +41,42 @@ class Settings:
     digits: int = 5
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row; an expression used inside a lambda runs at each of its calls."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(steps: Column) -> Column:
+    """Running totals of an array that isn't empty, by blocks: appending to one array copies it each time."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")), lambda b: F.slice(steps, b * _BLOCK + 1, _BLOCK))
+    add = lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x))
+    sums = F.transform(blocks, lambda block: F.aggregate(block, F.array(F.lit(0)), add))
+
+    def shifted(sums: Column) -> Column:
+        before = F.aggregate(sums, F.array(F.lit(0)), lambda out, p: F.concat(out, F.array(F.element_at(out, -1) + F.element_at(p, -1))))
+        return _bound(before, lambda at: F.flatten(F.transform(sums, lambda p, b: F.transform(F.slice(p, 2, _BLOCK), lambda x: x + F.get(at, b)))))
+
+    return _bound(sums, shifted)
+
+
 def _located(text: Column, regex: str, kind: int, gate: Column) -> Column:
     """Spans of all matches, leftmost and without overlap, with the text before and after each."""
-    found, gaps = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    cut = F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("found"), F.split(text, regex, -1).alias("gaps"))
 
-    def add(state: Column, i: Column) -> Column:
-        s = state["at"] + F.length(F.get(gaps, i))
-        e = s + F.length(F.get(found, i))
-        span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.get(found, i).alias("v"), F.right(F.get(gaps, i), F.lit(64)).alias("l"), F.left(F.get(gaps, i + 1), F.lit(48)).alias("r"))
-        return F.struct(e.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def spans(m: Column) -> Column:
+        found, gaps = m["found"], m["gaps"]
+        steps = F.transform(found, lambda v, i: F.length(v) + F.length(F.get(gaps, i)))
+        return _bound(
+            _bound(steps, _running),
+            lambda ends: F.transform(
+                found,
+                lambda v, i: F.struct(
+                    (F.get(ends, i) - F.length(v)).alias("s"), F.lit(kind).alias("k"), F.get(ends, i).alias("e"), v.alias("v"), F.right(F.get(gaps, i), F.lit(64)).alias("l"), F.left(F.get(gaps, i + 1), F.lit(48)).alias("r")
+                ),
+            ),
+        )
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, add, lambda state: state["out"])
-    return F.when(gate, F.when(F.size(found) > 0, spans))
+    return F.when(gate, _bound(cut, lambda m: F.when(F.size(m["found"]) > 0, spans(m))))
 
 
 def _digits(value: Column) -> Column:
@@ -159,7 +183,8 @@ def extract(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
 
 def redact(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", few: int = _FEW) -> DataFrame:
     """``docs`` with each span, seeds and discovered ones, replaced by its kind in angle brackets; overlapping spans
-    become one, named after the first. Rows, columns and null texts stay as they are."""
+    become one, named after the first. Rows, columns and null texts stay as they are; where an id repeats with different
+    texts, each loses the discovered spans that lie in a candidate of its own."""
     found = durable(_found(docs, settings, id_col, text_col).where("size(base) > 0 or size(candidates) > 0"))
     added = durable(discover(found, settings).withColumnRenamed("id", "__id"))
     if added.count() <= few:
@@ -167,7 +192,10 @@ def redact(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
     text = F.col(text_col)
     rows = docs.join(added.withColumnRenamed("added", "__added"), docs[id_col] == F.col("__id"), "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    spans = F.array_sort(F.concat(_plain(F.coalesce(base_spans(text), F.array().cast(_SPAN))), F.coalesce("__added", none)))
+    rows = rows.withColumn("__base", F.coalesce(base_spans(text), F.array().cast(_SPAN)))
+    held = lambda cs: F.filter("__added", lambda a: F.exists(cs, lambda c: (c["s"] == a["s"]) & (c["e"] == a["e"])))
+    own = F.when(F.col("__added").isNotNull(), _bound(_candidates(text, F.col("__base"), settings.digits), held))
+    spans = F.array_sort(F.concat(_plain(F.col("__base")), F.coalesce(own, none)))
     names = F.array(*map(F.lit, KINDS))
 
     def add(state: Column, x: Column) -> Column:
