@@ -1,6 +1,6 @@
 """MPEG audio media columns: write and read frame streams, exactly and without a codec.
 
-``probe`` reads a stream as a player would: it skips an ID3v2 tag, takes an ID3v1 tag off the end, finds frame
+``probe`` reads a stream as a player would: it skips an ID3v2 tag, takes off an ID3v1 tag after the frames, finds frame
 headers (resynchronising where a header isn't followed by another or by the end), reads the variable-bitrate table of
 a Xing, Info or VBRI frame, verifies the CRC-16 of protected Layer III frames, and gives exact durations as a count of
 samples with the offset of every frame. ``store`` carries bytes in the main-data area of silent, CRC-protected MPEG-1
@@ -161,11 +161,13 @@ def probe(data: bytes) -> Stream:
     end = len(data)
     if data[-128:-125] == b"TAG" and end - at >= 128:
         end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     locked = False
     while at < end:
         h = header(data[at : at + 4])
         after = at + h.length if h else 0
+        # A frame that reaches over the tag's start, up to the end or another frame, holds these bytes: there's no tag.
+        if end < after <= len(data) and (after == len(data) or header(data[after : after + 4])):
+            end = len(data)
         if not h or after > end or not (locked or after == end or header(data[after : after + 4])):
             nxt = data.find(b"\xff", at + 1, end)
             out.skipped += (nxt if nxt >= 0 else end) - at
@@ -188,6 +190,8 @@ def probe(data: bytes) -> Stream:
             out.samples += h.samples
             out.rate = out.rate or h.rate
         at = after
+    if end < len(data):
+        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     return out
 
 

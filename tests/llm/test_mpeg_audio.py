@@ -16,6 +16,18 @@ def test_round_trip_of_any_bytes():
             assert stream.table["bytes"] == 192 + sum(stream.lengths)
 
 
+def test_payload_like_a_trailing_tag():
+    title = b"TAG" + b"title".ljust(125, b"\0")
+    for n in (64, 128, 192, 256, 896, 960, 1024, 1088, 1920):
+        for at in range(n - 2):
+            payload = (b"x" * at + b"TAG").ljust(n, b"x")
+            media = store(payload)
+            back, stream = load(media)
+            assert back == payload and stream.skipped == 0 and "TIT2" not in stream.tags, (n, at)
+            tagged = load(media + title)
+            assert tagged[0] == payload and tagged[1].skipped == 0 and tagged[1].tags["TIT2"] == "title", (n, at)
+
+
 def test_damage_is_seen_and_skipped():
     media = bytearray(store(bytes(range(256)) * 20))
     clean = probe(bytes(media))
