@@ -30,13 +30,21 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-
 
 class WordTokens:
     """Ids of whole texts by a tokenizer that drops white space and never joins what it separates; what stands between
-    spaces is encoded once and remembered. Chunks of ASCII and Latin-1 letters are cut as the tokenizer cuts them."""
+    spaces is encoded once and remembered. Chunks of ASCII and Latin-1 letters are cut as the tokenizer cuts them.
 
-    def __init__(self, path: str):
+    With ``added`` the tokenizer's added tokens that stand in a text get their own ids, as the library gives by default;
+    else they are cut like any text."""
+
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        tokens = self.library.get_added_tokens_decoder() if added else {}
+        if odd := [t.content for t in tokens.values() if t.single_word or t.lstrip or t.rstrip or t.normalized]:
+            raise ValueError(f"added tokens that aren't matched as they stand: {odd}")
+        self.added = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in tokens.items()}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.parts = Memory(self._encode)
         self.chunks = Memory(self._chunk)
 
@@ -50,12 +58,17 @@ class WordTokens:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.cut and any(t in text for t in self.added):
+            return b"".join([self.added[x] if k % 2 else self._between(x) for k, x in enumerate(self.cut.split(text))])
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.cache
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    return WordTokens(path, added=True)
 
 
 class Packer:
@@ -159,7 +172,7 @@ def _pack(path: str, end_id: int, tokens: int, segments: int, loss: int, schema:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, tokens: int = 4096, segments: int = 1024, loss_tokens: int | None = None, quiet: Column | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pack every document's ids and ``end_id`` into sequences. A row for each piece: (``id_col``, start, length,
+    """Pack every document's ids (with added tokens in the text as their own ids) and ``end_id`` into sequences. A row for each piece: (``id_col``, start, length,
     ids_crc32, doc_tokens, sequence_id, offset).
 
     ``segments`` and ``loss_tokens`` limit a sequence's pieces and loss-bearing tokens (by default all its tokens);

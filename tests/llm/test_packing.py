@@ -78,3 +78,22 @@ def test_all_three_limits_hold(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string, start int")
     pieces = pack(docs, PATH, tokens=512, segments=6, loss_tokens=400, quiet=F.lit(20)).collect()
     check(rows, pieces, 512, 6, 400, 20)
+
+
+def test_added_tokens_in_a_text_as_the_unmodified_library(spark):
+    start, end = "<|startoftext|>", "<|endoftext|>"
+    rng = random.Random(9)
+    parts = [start, end, end.upper(), "<|endof", "text|>", "<|", "|>", "<", "a", "It's", " ", "\n", "\t", "\u0301", "é", "中", "12"]
+    texts = [end, end + end, start + "a" + end, "The page quotes <|endoftext|> and<|startoftext|>more.", f"e{end}\u0301", *("".join(rng.choices(parts, k=rng.randrange(1, 20))) for _ in range(500))]
+    ours, lib = WordTokens(PATH, added=True), Tokenizer.from_file(PATH)
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {49406, 49407} <= {i for ids in want for i in ids}
+    for text, ids in zip(texts, want, strict=True):
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == ids, text
+    pieces = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    whole = {p.doc_id: (p.doc_tokens, p.ids_crc32) for p in pieces if p.length == p.doc_tokens}
+    assert len(whole) > 400
+    for i, (n, crc) in whole.items():
+        ids = [*want[i], 2]
+        assert (n, crc) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(ids) + 1 for i, ids in enumerate(want)}
