@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import durable, python_path
 from .text import fnv1a32, normalize_value
 
+BLOCK = 1024  # most vectors in a block of all rows; a block of queries holds four times as many
 DIM = 2048
 VALUES = 15
 # Fixed weights of whole tokens and of character n-grams.
@@ -26,6 +32,67 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (na >= 1e-12) & (nb >= 1e-12), dot(a, b) / F.sqrt(na * nb)).otherwise(0.0)
 
 
+def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``cosine`` of all pairs of rows."""
+    n = min(q.shape[1], x.shape[1])
+    q, x = q[:, :n], x[:, :n]
+    nq, nx = (q * q).sum(1), (x * x).sum(1)
+    with np.errstate(all="ignore"):
+        sims = q @ x.T / np.sqrt(np.outer(nq, nx))
+    return np.where((nq >= 1e-12)[:, None] & (nx >= 1e-12) & np.isfinite(sims), sims, 0.0)
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, v) of a partition as blocks (dim, ids, vecs) of at most ``size`` vectors of one length."""
+    schema = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary())])
+
+    def block(dim: int, held: list) -> pa.RecordBatch:
+        ids, vecs = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([np.array(vecs, dtype="<f8").tobytes()], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools: dict[int, list] = {}
+        for batch in batches:
+            for i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pool = pools.setdefault(len(v), [])
+                pool.append((i, v))
+                if len(pool) == size:
+                    yield block(len(v), pools.pop(len(v)))
+        for dim, pool in pools.items():
+            yield block(dim, pool)
+
+    return rows.mapInArrow(run, "dim int, ids binary, vecs binary")
+
+
+def nearest_cosines(rows: DataFrame, queries: Column, id_col: str, vector_col: str, block: int = BLOCK) -> DataFrame:
+    """(a long, sim): for each row where ``queries`` holds, the largest ``cosine`` with any row of another id.
+
+    All rows are searched, in blocks of vectors; each task keeps one maximum for a query. Null vectors and those with a
+    null or non-finite component have cosine 0 with all; rows with a null id take no part; a query with no other row
+    gives none."""
+    python_path(rows.sparkSession)
+    vector = F.transform(F.coalesce(F.col(vector_col), F.array().cast("array<double>")), lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))
+    vecs = rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("id is not null")
+    asked = vecs.where("asks").select("id", "v")
+    asks = durable(_blocks(asked.repartition(max(1, -(-asked.count() // (4 * block)))), 4 * block)).toDF("q_dim", "q_ids", "q_vecs")
+    every = durable(_blocks(vecs.select("id", "v"), block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, ids, vectors, q_dim, q_ids, q_vectors = (c[r].as_py() for c in batch.columns)
+                a, b = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
+                sims = _cosines(np.frombuffer(q_vectors, "<f8").reshape(len(a), q_dim), np.frombuffer(vectors, "<f8").reshape(len(b), dim))
+                found = np.where(a[:, None] == b, -np.inf, sims).max(1)
+                best[q_ids] = np.maximum(best[q_ids], found) if q_ids in best else found
+        for q_ids, found in best.items():
+            known = found > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q_ids, "<i8")[known]), pa.array(found[known])], names=["a", "sim"])
+
+    return every.crossJoin(asks).mapInArrow(run, "a long, sim double").groupBy("a").agg(F.max("sim").alias("sim"))
+
+
 def l2_normalized(a: Column) -> Column:
     norm = F.sqrt(dot(a, a))
     return F.when(norm > 1e-12, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
