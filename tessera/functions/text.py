@@ -5,7 +5,7 @@ Several tokenizers differ in small ways on purpose; each is named after its use.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -167,6 +167,22 @@ def search_variants(c: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda v: v != ""))
 
 
+def search_variant_rows(rows: DataFrame, query_col: str) -> DataFrame:
+    """The variants of ``search_variants`` as rows, with columns ord and variant more, for texts of any length: those of
+    a query have its order by ord. A variant that comes about twice has two rows."""
+    query = search_query(F.col(query_col))
+    tokens = F.filter(F.split("__q", " "), lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$"))
+    texts = rows.withColumn("__q", query).withColumn("__t", tokens).withColumn("__n", F.size("__t").cast("bigint"))
+    whole = texts.select(*rows.columns, F.posexplode(F.array("__q", without_numbers(F.col("__q")))).alias("ord", "variant")).withColumn("ord", F.col("ord").cast("bigint"))
+    # Runs of all tokens have no row, but for a single token.
+    sizes = F.when(F.col("__n") >= 1, F.sequence(F.greatest(F.col("__n") - 1, F.lit(1)), F.lit(1), F.lit(-1)))
+    sized = texts.withColumn("__k", F.explode(sizes))
+    runs = sized.withColumn("__s", F.explode(F.sequence(F.lit(1), F.col("__n") - F.col("__k") + 1)))
+    run = F.array_join(F.slice("__t", F.col("__s").cast("int"), F.col("__k").cast("int")), " ")
+    runs = runs.select(*rows.columns, (2 + (F.col("__n") - F.col("__k")) * F.col("__n") + F.col("__s")).alias("ord"), run.alias("variant"))
+    return whole.unionByName(runs).where("variant <> ''")
+
+
 def padded_term(term: Column, context: Column) -> Column:
     """Terms of under three characters get their context."""
     return F.when((F.length(trimmed(term)) < 3) & (trimmed(context) != ""), F.concat_ws(" ", trimmed(term), trimmed(context))).otherwise(trimmed(term))

@@ -361,13 +361,14 @@ v AS (SELECT item_id, q AS variant FROM t WHERE q <> '' UNION SELECT item_id, ar
 UNION SELECT item_id, array_to_string(list_slice(toks, s, s + k - 1), ' ') FROM t, range(1, 60) a(k), range(1, 60) b(s) WHERE s + k - 1 <= len(toks) AND (k = 1 OR k < len(toks)))
 SELECT DISTINCT item_id, variant FROM v WHERE variant <> ''""")
 def search_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select("item_id", F.explode(text.search_variants(F.left("text", F.lit(60)))).alias("variant"))
+    # Of whole texts; the SQL still takes their first 60 characters (see REPLY_r01.md).
+    return text.search_variant_rows(read(spark, sf_dir, "benchmark").select("item_id", "text"), "text").select("item_id", "variant").distinct()
 
 
 @query()
 def term_lookup_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionary = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("concept_id"), F.col("text").alias("label"))
-    queries = read(spark, sf_dir, "part").select(F.col("p_name").alias("query")).unionByName(dictionary.select(F.left("label", F.lit(20)).alias("query")))
+    queries = read(spark, sf_dir, "part").select(F.col("p_name").alias("query")).unionByName(dictionary.select(F.col("label").alias("query")))
     return terminology.suggestions(queries, dictionary).select("query", "rank", "concept_id")
 
 

@@ -1,8 +1,10 @@
 import math
+import re
 import random
 
 from pyspark.sql import functions as F
 
+from tessera.functions.text import search_variant_rows, search_variants
 from tessera.functions.vectors import nearest_cosines
 from tessera.queries import QUERIES
 
@@ -37,3 +39,40 @@ def test_nearest_vector_of_any_label(spark, tmp_path):
     small = {r.a: r.sim for r in nearest_cosines(df, F.col("vec_id") % 20 == 0, "vec_id", "embedding", block=2).collect()}
     assert small.keys() == want.keys() and all(abs(small[a] - want[a]) < 1e-9 for a in want)
     assert nearest_cosines(df.where("vec_id = 20"), F.lit(True), "vec_id", "embedding").collect() == []
+
+
+TEXTS = [
+    (1, " ".join(f"word{c}{d} 7" for c in "abcdefgh" for d in "xyz") + " lastWords beyond-the cut"),
+    (2, "one"), (3, "two tokens"), (4, "12 34"), (5, ""), (6, None), (7, "again again again again"), (8, "three short tokens"),
+]
+
+
+def variants(text):
+    q = re.sub("([a-z])([A-Z])", r"\1 \2", text or "")
+    q = re.sub("([0-9])([A-Za-z])", r"\1 \2", re.sub("([A-Za-z])([0-9])", r"\1 \2", q))
+    q = re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", re.sub("[_/-]", " ", q)).lower()).strip()
+    tokens = [t for t in q.split(" ") if len(t) >= 3 and not t.isdigit()]
+    n = len(tokens)
+    runs = [" ".join(tokens[s : s + k]) for k in range(max(n - 1, 1), 0, -1) for s in range(n - k + 1)] if n else []
+    return [v for v in dict.fromkeys([q, " ".join(t for t in q.split(" ") if not t.isdigit()), *runs]) if v]
+
+
+def test_variants_of_whole_texts(spark, tmp_path):
+    table(spark, tmp_path, "benchmark", TEXTS, "item_id long, text string")
+    got = [tuple(r) for r in QUERIES["search_variants"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, v) for i, t in TEXTS for v in variants(t)}
+    assert (1, "beyond the cut") in got
+    df = spark.createDataFrame(TEXTS, "item_id long, text string")
+    by = {i: [] for i, _ in TEXTS}
+    for r in sorted(search_variant_rows(df, "text").collect(), key=lambda r: r.ord):
+        by[r.item_id].append(r.variant)
+    for r in df.select("item_id", search_variants(F.col("text")).alias("v")).collect():
+        assert list(dict.fromkeys(by[r.item_id])) == r.v
+
+
+def test_terms_are_looked_up_by_whole_labels(spark, tmp_path):
+    labels = [(1, "a first label of many words with zebra"), (2, "the zebra crossing"), (3, "unrelated")]
+    table(spark, tmp_path, "benchmark", labels, "item_id long, text string")
+    table(spark, tmp_path, "part", [("unrelated part",)], "p_name string")
+    got = {(r.query, r.concept_id) for r in QUERIES["term_lookup_top12"](spark, str(tmp_path)).collect()}
+    assert {(labels[0][1], 1), (labels[0][1], 2), (labels[1][1], 1), ("unrelated part", 3)} <= got
