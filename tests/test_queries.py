@@ -1,12 +1,13 @@
 import math
 import re
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tessera.functions.text import search_variant_rows, search_variants
 from tessera.functions.vectors import nearest_cosines
-from tessera.queries import QUERIES
+from tessera.queries import QUERIES, TABLES
 
 
 def table(spark, folder, name, rows, schema):
@@ -76,3 +77,17 @@ def test_terms_are_looked_up_by_whole_labels(spark, tmp_path):
     table(spark, tmp_path, "part", [("unrelated part",)], "p_name string")
     got = {(r.query, r.concept_id) for r in QUERIES["term_lookup_top12"](spark, str(tmp_path)).collect()}
     assert {(labels[0][1], 1), (labels[0][1], 2), (labels[1][1], 1), ("unrelated part", 3)} <= got
+
+
+def test_requests_over_the_tables_as_they_are(spark, tmp_path):
+    small = Path("/root/testdata/sf0.001")
+    for name in [*TABLES[1:], "benchmark"]:
+        (tmp_path / f"{name}.parquet").symlink_to(small / f"{name}.parquet")
+    region = spark.read.parquet(str(small / "region.parquet"))
+    region.withColumns({"stroke_type": F.when(F.col("r_regionkey") > 1, "Ischemic").otherwise("Hemorrhagic")}).write.parquet(str(tmp_path / "region.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {"r_name", "stroke_type", "props"} <= {r.column for r in run("tokenize_name")} and len(run("tokenize_name")) == 44
+    assert "stroke_type" in {r.column for r in run("profile_columns")} and len(run("profile_columns")) == 44
+    assert {r.request_id for r in run("schema_best_match")} == {"tables", "clinical"}
+    assert any(r.request_id == "tables" and "stroke_type" in r.columns.split("|") for r in run("harmonize_schema"))
+    assert {r.request_id for r in run("enrich_pipeline")} == {"tables", "clinical"}
