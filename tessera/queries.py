@@ -12,7 +12,7 @@ from .functions.roles import column_role
 from .operators import clustering, matching, noise, platform, terminology, values
 from .plans.enrich import enrich
 from .plans.suggest import prepared, suggest_schema, suggest_schemaless
-from .runtime import read
+from .runtime import durable, read
 from .sources.json_schema import schema_fields
 from .sources.profile import PROFILE, column_stats, inferred_type, profile_tables
 
@@ -267,8 +267,8 @@ def schema_fields_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _everything(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of all tables and the clinical request."""
-    return profiles(spark, sf_dir).unionByName(clinical(spark))
+    """Profiles of all tables and the clinical request, profiled once."""
+    return durable(profiles(spark, sf_dir).unionByName(clinical(spark)))
 
 
 def _fields(spark: SparkSession, *requests: str) -> DataFrame:
