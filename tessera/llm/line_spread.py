@@ -8,14 +8,13 @@ first document (the smallest id) keeps its copy of a line that goes elsewhere, s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import durable, python_path
+from .hot import hot_join, unused
 
 SENT = 200_000  # most lines to send to every task, 16 bytes each; more are joined by document
 
@@ -29,19 +28,19 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", rsd: float = 0.2, margin: float = 4.0) -> DataFrame:
-    """(line long, first long): hashes of the lines (trimmed of spaces, empty ones aside) that at least ``min_sites``
-    distinct sites hold, with the smallest id of a document that holds it. ``rsd`` is the sketches' relative error;
-    lines whose estimate is within a factor ``margin`` of the threshold get exact counts. Null texts have no lines, a
-    null site is no site, a null id is never the first."""
+    """(line long, first long, n long): hashes of the lines (trimmed of spaces, empty ones aside) that at least
+    ``min_sites`` distinct sites hold, with the smallest id of a document that holds it and how often it stands in all.
+    ``rsd`` is the sketches' relative error; lines whose estimate is within a factor ``margin`` of the threshold get
+    exact counts. Null texts have no lines, a null site is no site, a null id is never the first."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(site_col).cast("string").alias("site"), F.explode(_lines(F.col(text_col))).alias("line"))
-    rows = rows.where("trim(line) <> ''").select("id", F.xxhash64("site").alias("site_key"), F.col("site").isNotNull().alias("known"), _key(F.col("line")).alias("line"))
-    rows = rows.withColumn("site_key", F.when(F.col("known"), F.col("site_key"))).drop("known")
-    sketched = rows.groupBy("line").agg(F.approx_count_distinct("site_key", rsd).alias("about"), F.min("id").alias("first"))
+    rows = rows.where("trim(line) <> ''").select("id", F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("site_key"), _key(F.col("line")).alias("line"))
+    sketched = rows.groupBy("line").agg(F.approx_count_distinct("site_key", rsd).alias("about"), F.min("id").alias("first"), F.count("*").alias("n"))
     sketched = durable(sketched.where(F.col("about") >= min_sites / margin))
-    sure = sketched.where(F.col("about") > min_sites * margin).select("line", "first")
+    sure = sketched.where(F.col("about") > min_sites * margin).select("line", "first", "n")
     near = sketched.where(F.col("about") <= min_sites * margin)
-    exact = rows.select("line", "site_key").distinct().join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("site_key").alias("sites")).where(F.col("sites") >= min_sites)
-    return sure.unionByName(near.join(exact, "line").select("line", "first"))
+    sites = rows.groupBy("line", "site_key").agg(F.count("*").alias("c")).select("line", "site_key")
+    exact = sites.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("site_key").alias("sites")).where(F.col("sites") >= min_sites)
+    return sure.unionByName(near.join(exact, "line").select("line", "first", "n"))
 
 
 def _strip(hashes: np.ndarray, firsts: np.ndarray, has_first: np.ndarray):
@@ -57,9 +56,9 @@ def _strip(hashes: np.ndarray, firsts: np.ndarray, has_first: np.ndarray):
                 continue
             lines = text.split("\n")
             keys = np.array([xxhash.xxh64_intdigest(x.strip(" ").encode("utf-8", "surrogatepass"), 42) for x in lines], dtype=np.uint64).view(np.int64)
-            at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-            hit = hashes[at] == keys
-            if i is not None:
+            at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1) if len(hashes) else None
+            hit = hashes[at] == keys if len(hashes) else np.zeros(len(keys), dtype=bool)
+            if i is not None and len(hashes):
                 hit &= ~(has_first[at] & (firsts[at] == i))
             kept = [x for x, h in zip(lines, hit.tolist(), strict=True) if not (h and x.strip(" "))]
             out.append("\n".join(kept))
@@ -70,40 +69,43 @@ def _strip(hashes: np.ndarray, firsts: np.ndarray, has_first: np.ndarray):
     return strip
 
 
-def _by_list(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _by_list(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
     spark = python_path(docs.sparkSession)
     found = sorted((r.line, r.first) for r in lines.collect())
-    sent = spark.sparkContext.broadcast(
-        (np.array([x for x, _ in found], dtype=np.int64), np.array([f or 0 for _, f in found], dtype=np.int64), np.array([f is not None for _, f in found], dtype=bool))
-    )
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strip = _strip(*sent.value) if len(sent.value[0]) else None
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                if strip:
-                    out, n, gone = strip(ids, texts)
-                else:
-                    out, n, gone = texts, [0 if t is None else t.count("\n") + 1 for t in texts], [0] * len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["id", "text", "n_lines", "n_removed"])
-
-    narrow = docs.select(F.col(id_col), F.col(text_col))
-    return narrow.mapInArrow(run, f"id {kind}, text string, n_lines bigint, n_removed bigint")
-
-
-def _by_join(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The same by a join on the lines: only hashes are shuffled to find a document's lines, the texts once by id."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = narrow.select("id", F.explode(_lines(F.col("text"))).alias("line")).where("trim(line) <> '' and id is not null").select("id", _key(F.col("line")).alias("line")).distinct()
-    hits = keyed.join(lines, "line").where("first is null or first <> id").groupBy("id").agg(F.collect_set("line").alias("hits"))
-    joined = narrow.join(hits, "id", "left").withColumn("lines", _lines(F.col("text")))
-    kept = F.when(F.col("hits").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("hits"), _key(x))))
-    joined = joined.withColumn("kept", kept)
-    n, m = (F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("bigint") for c in ("lines", "kept"))
-    return joined.select("id", F.array_join("kept", "\n").alias("text"), n.alias("n_lines"), (n - m).alias("n_removed"))
+    table = (np.array([x for x, _ in found], dtype=np.int64), np.array([f or 0 for _, f in found], dtype=np.int64), np.array([f is not None for _, f in found], dtype=bool))
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("text string, n_lines bigint, n_removed bigint")
+    def stripped(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        whole = [None if i != i else int(i) for i in ids.tolist()]
+        text, n, gone = _strip(*sent.value)(whole, [None if t is None or t != t else t for t in texts.tolist()])
+        return pd.DataFrame({"text": pd.Series(text, dtype=object), "n_lines": n, "n_removed": gone})
+
+    return docs.withColumn(out, stripped(F.col(id_col).cast("long"), F.col(text_col)))
+
+
+def _by_join(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """The same by a join on the lines: hashes are shuffled to find a document's lines, and texts once by document."""
+    text, (doc, hits, line) = F.col(text_col), unused(docs, "doc", "hits", "line")
+    digest = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+    own = F.named_struct(F.lit("id"), F.col(id_col).cast("long"), F.lit("text"), digest)  # null ids and repeated ids too
+    keyed = docs.select(own.alias("doc"), F.explode(_lines(text)).alias("line")).where("trim(line) <> ''").select("doc", _key(F.col("line")).alias("line")).distinct()
+    found = hot_join(keyed, lines, "line").where(~F.col("first").eqNullSafe(F.col("doc.id")) | F.col("first").isNull())
+    found = found.groupBy("doc").agg(F.collect_set("line").alias(hits)).withColumnRenamed("doc", doc)  # bounded by a document's own lines
+    every = _lines(text)
+    kept = F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(hits), _key(x)))
+    n = F.coalesce(F.size(every), F.lit(0)).cast("bigint")
+    n = F.when(text.isNull(), F.lit(0).cast("bigint")).otherwise(n)
+    plain = F.struct(text.alias("text"), n.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
+    cut = F.struct(F.array_join(line, "\n").alias("text"), n.alias("n_lines"), (n - F.size(line)).alias("n_removed"))
+    joined = docs.join(found, own.eqNullSafe(F.col(doc)), "left").withColumn(line, F.when(F.col(hits).isNotNull(), kept))
+    return joined.withColumn(out, F.when(F.col(hits).isNull(), plain).otherwise(cut)).drop(doc, hits, line)
+
+
+def _stripped(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str, sent: int, options: dict) -> tuple[DataFrame, str]:
+    (out,) = unused(docs, "stripped")
+    lines = durable(boilerplate(docs, min_sites, id_col, text_col, site_col, **options))
+    return (_by_list if lines.count() <= sent else _by_join)(docs, lines, id_col, text_col, out), out
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sent: int = SENT, **options) -> DataFrame:
@@ -112,35 +114,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
 
     Lines end at a line feed; they compare without the spaces around them, and empty lines always stay. A null text
     stays null with no lines; a null site counts for nothing; a row with a null id is never first and loses its shared
-    lines where the list of lines is sent to the tasks, and none where it is joined. Repeated rows all come back. A
-    document may lose all its lines; it then comes back empty. No rows give no rows.
+    lines. Repeated rows all come back. A document may lose all its lines; it then comes back empty. No rows give no
+    rows. Up to ``sent`` lines go to every task, more are joined; the rows are the same.
     """
-    lines = durable(boilerplate(docs, min_sites, id_col, text_col, site_col, **options))
-    found = lines.count()
-    out = (_by_list if found <= sent else _by_join)(docs, lines, id_col, text_col)
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_removed")
+    rows, out = _stripped(docs.select(id_col, text_col, site_col), min_sites, id_col, text_col, site_col, sent, options)
+    return rows.select(F.col(id_col), F.col(f"{out}.text").alias(text_col), F.col(f"{out}.n_lines").alias("n_lines"), F.col(f"{out}.n_removed").alias("n_removed"))
 
 
 def strip_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sent: int = SENT, **options) -> DataFrame:
     """``docs`` with the texts that ``remove_boilerplate`` gives; all rows and columns stay."""
-    spark = python_path(docs.sparkSession)
-    lines = durable(boilerplate(docs, min_sites, id_col, text_col, site_col, **options))
-    if lines.count() > sent:
-        hits = docs.select(F.col(id_col).cast("long").alias("__id"), F.explode(_lines(F.col(text_col))).alias("line")).where("trim(line) <> '' and __id is not null")
-        hits = hits.select("__id", _key(F.col("line")).alias("line")).distinct().join(lines, "line").where("first is null or first <> __id")
-        hits = hits.groupBy("__id").agg(F.collect_set("line").alias("__hits"))
-        kept = F.filter(_lines(F.col(text_col)), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__hits"), _key(x)))
-        text = F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-        return docs.join(hits, docs[id_col] == F.col("__id"), "left").withColumn(text_col, text).select(*docs.columns)
-    found = sorted((r.line, r.first) for r in lines.collect())
-    if not found:
-        return docs
-    table = spark.sparkContext.broadcast((np.array([x for x, _ in found], dtype=np.int64), np.array([f or 0 for _, f in found], dtype=np.int64), np.array([f is not None for _, f in found], dtype=bool)))
-
-    @F.pandas_udf("string")
-    def stripped(ids, texts):
-        whole = [None if i != i else int(i) for i in ids.tolist()]
-        out, _, _ = _strip(*table.value)(whole, [None if t is None or t != t else t for t in texts.tolist()])
-        return texts.__class__(out, index=texts.index, dtype=object)
-
-    return docs.withColumn(text_col, stripped(F.col(id_col).cast("long"), F.col(text_col)))
+    rows, out = _stripped(docs, min_sites, id_col, text_col, site_col, sent, options)
+    return rows.withColumn(text_col, F.col(f"{out}.text")).select(*docs.columns)
