@@ -1,20 +1,24 @@
 """N-gram Jaccard self-join with prefix filters under several global token orders.
 
-Every set keeps the shingles it shares with another set; the others can't meet. With the distinct sets' document
-frequency df, order k sorts a set by (df, hash_k). For a pair of sizes n and m that overlaps in
-need = ceil(t / (1 + t) * (n + m)) shingles, both prefixes of the first n - need + 1 and m - need + 1 shingles have a
-common one under *every* order; a candidate pair must meet so under all of them before it is verified exactly.
-
-Steps, each of them a shuffle by a hash that no hot key can own:
-
-1. equal texts are grouped (partial aggregation first), one representative each;
-2. shingle hashes go to buckets in packed rows; a bucket finds the df of its shingles;
-3. the shared shingles go back to their set, which becomes (size, shared shingles, prefix entries) - most sets have
-   no entry left, as their prefixes hold nothing that is shared;
-4. each prefix list names its most central set as hub, and members are verified against hubs only. What is linked
-   then needs no further comparison, so a group of near copies costs as many pairs as it has members;
-5. lists that still hold more than one component are joined for pairs across components, the lists of all orders
-   are intersected, and the remaining pairs verified.
+Every set keeps the shingles it shares with another set; the others can't meet. The first order sorts a set by the
+document frequency of its shingles among distinct sets; each further one has the shingles that no other set holds first
+and the rest by a hash of its own. For a pair of sizes n and m that overlaps in need = ceil(t / (1 + t) * (n + m))
+shingles, both prefixes of the first n - need + 1 and m - need + 1 shingles have a common one under *every* order. The
+first order has the shortest lists and gives the candidates; a candidate is compared on its short prefixes under all
+other orders before any set is fetched, and only what meets under every order is verified exactly.
+
+1. Texts that several rows hold are found by digest (partial aggregation first); one representative each goes on. The
+   digests go to every task while they are few, so that texts aren't shuffled; beyond that they are joined.
+2. Shingle hashes go to buckets in packed rows, by hash; a bucket finds the df of its shingles. The number of buckets
+   grows with the corpus, so that a bucket's size doesn't (up to MOST_BUCKETS, 2 TB of text at BUCKET_BYTES each).
+3. The shared shingles go back to their set, which becomes (size, shared shingles, prefix entries, prefixes under the
+   other orders) - most sets have no entry left, as their prefixes hold nothing that is shared.
+4. Each prefix list names its most central set as hub, and members meet hubs only. What is linked then needs no
+   further comparison, so a group of near copies costs as many pairs as it has members. Lists of shingles that very
+   many sets hold are joined to their hub in every task (``hot_join``).
+5. Lists that still hold more than one component are joined for pairs across components. The smaller set of a pair
+   must have the shingle so early that a set of its own size could still reach the similarity. Documents that share a
+   template but not enough of it have it later, so such a list has no smaller side and gives no pairs at all.
 """
 
 from __future__ import annotations
@@ -28,18 +32,22 @@ from pyspark.sql import functions as F
 
 from ..runtime import durable, python_path
 from .components import connected_components
+from .hot import hot_join, repeated, unused
 from .shingles import U64, mix, shingle_set
 
 _PACKED = "bucket int, ids binary, sizes binary, counts binary, tokens binary"
 _SHARED = "part int, ids binary, sizes binary, counts binary, tokens binary, dfs binary"
-_SETS = "id long, n long, centre long, tokens binary, entries array<struct<k:int,token:long,cap:long>>"
+_SETS = "id long, n long, centre long, tokens binary, marks binary, entries array<struct<token:long,cap:long>>"
+BUCKET_BYTES = 32 << 20  # of text
+MOST_BUCKETS = 1 << 16
+SENT = 200_000  # most repeated digests to send to every task, some 50 bytes each
 _LOW = 6  # bytes of a hash that travel; the bucket number adds the rest
 
 
 def _arrow(schema: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
-    entry = pa.list_(pa.struct([("k", pa.int32()), ("token", pa.int64()), ("cap", pa.int64())]))
-    fields = [x.strip().split(" ", 1) for x in schema.replace("array<struct<k:int,token:long,cap:long>>", "entries").split(", ")]
+    entry = pa.list_(pa.struct([("token", pa.int64()), ("cap", pa.int64())]))
+    fields = [x.strip().split(" ", 1) for x in schema.replace("array<struct<token:long,cap:long>>", "entries").split(", ")]
     return pa.schema([(name, entry if kind == "entries" else kinds[kind]) for name, kind in fields])
 
 
@@ -146,6 +154,7 @@ def _prefixes(percent: int, orders: int):
         tok, df, own = tok[order], df[order], own[order]
         edge = np.searchsorted(own, np.arange(len(uniq) + 1))
         tokens: list = [None] * len(uniq)
+        marks: list = [None] * len(uniq)
         entries: list = [None] * len(uniq)
         for i in np.flatnonzero(alive):
             t, d, size = tok[edge[i] : edge[i + 1]], df[edge[i] : edge[i + 1]], int(n[i])
@@ -156,13 +165,12 @@ def _prefixes(percent: int, orders: int):
             cap = cap[: len(pos)].tolist()
             if pos.size:
                 tokens[i] = t.tobytes()
-                entries[i] = [
-                    {"k": k, "token": x, "cap": c}
-                    for k in range(orders)
-                    for x, c in zip(t[np.lexsort((mix(t + U64(k * 0x9E3779B97F4A7C15 % 2**64)), d))[: len(pos)]].view(np.int64).tolist(), cap, strict=True)
-                ]
+                first = t[np.lexsort((t, d))[: len(pos)]]
+                entries[i] = [{"token": x, "cap": c} for x, c in zip(first.view(np.int64).tolist(), cap, strict=True)]
+                others = [t[np.argsort(mix(t + U64(k * 0x9E3779B97F4A7C15 % 2**64)), kind="stable")[: len(pos)]] for k in range(1, orders)]
+                marks[i] = b"".join([np.sort(x).tobytes() for x in others])
         centre = np.where(n > 0, (n - shared) * 1000 // np.maximum(n, 1), 0)
-        return pa.table([pa.array(c, t) for c, t in zip((uniq, n, centre, tokens, entries), schema.types, strict=True)], schema=schema)
+        return pa.table([pa.array(c, t) for c, t in zip((uniq, n, centre, tokens, marks, entries), schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -183,67 +191,122 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
-    right = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
-    full = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "tu", "tv")
-    return full.mapInArrow(_verify(percent), "u long, v long")
+def _meet(others: int):
+    """Pairs whose prefixes have a common shingle under each of the other orders."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, mu, mv = (c.to_pylist() for c in batch.columns)
+            hit = []
+            for i in range(len(u)):
+                a, b = (np.frombuffer(m[i], np.uint64).reshape(others, -1) for m in (mu, mv))
+                if all(len(np.intersect1d(a[k], b[k], assume_unique=True)) for k in range(others)):
+                    hit.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in hit], pa.int64()), pa.array([v[i] for i in hit], pa.int64())], schema=schema)
+
+    return run
+
+
+def _ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    u, v = (sets.select(F.col("id").alias(x), *(F.col(c).alias(c + x) for c in columns)) for x in "uv")
+    return pairs.join(u, "u").join(v, "v").select("u", "v", *(c + x for c in columns for x in "uv"))
+
 
+def candidates(pairs: DataFrame, sets: DataFrame, orders: int) -> DataFrame:
+    """``pairs`` (u, v) of sets that meet under the first order to those that meet under all."""
+    return _ends(pairs, sets, "marks").mapInArrow(_meet(orders - 1), "u long, v long") if orders > 1 else pairs
 
-def shingle_sets(texts: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
-    """(id, text) with distinct ids to (id, n, centre, tokens, entries): a set's size, and what of it can meet others."""
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    return _ends(candidates(pairs, sets, orders), sets, "n", "tokens").mapInArrow(_verify(percent), "u long, v long")
+
+
+def shingle_sets(texts: DataFrame, width: int, percent: int, orders: int, n_bytes: int) -> DataFrame:
+    """(id, text) with distinct ids to (id, n, centre, tokens, marks, entries): a set's size, and what of it can meet
+    others."""
     spark = python_path(texts.sparkSession)
-    nb = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nb = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, n_bytes // BUCKET_BYTES))
     packed = texts.mapInArrow(_pack(nb, width), _PACKED)
     shared = packed.groupBy("bucket").applyInArrow(_frequencies(nb), _SHARED)
     return shared.groupBy("part").applyInArrow(_prefixes(percent, orders), _SETS)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, orders: int = 3) -> DataFrame:
+def hub_pairs(alive: DataFrame) -> DataFrame:
+    """(u, v) of the members of each list and its hub, where sizes and positions allow a link."""
+    lists = alive.select("id", "n", "centre", F.inline("entries"))
+    hub = F.min(F.struct("centre", F.col("id").alias("id"), F.col("n").alias("n"), F.col("cap").alias("cap"))).alias("hub")
+    hubs = durable(lists.groupBy("token").agg(hub, F.count("*").alias("many")).where("many > 1"))
+    met = hot_join(lists, hubs, "token", "many").where("id <> hub.id and n <= hub.cap and hub.n <= cap")
+    return met.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct()
+
+
+def bridge_pairs(alive: DataFrame, near: DataFrame) -> DataFrame:
+    """(u, v, cu, cv) of sets of different components that meet in a list, where sizes and positions allow a link."""
+    placed = alive.select("id", "n", "entries").join(near, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.inline("entries"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"))
+    mixed = durable(mixed.where("lo <> hi").select("token", "many"))
+    placed = durable(hot_join(placed, mixed, "token", "many", "left_semi"))
+    small, large = (placed.select("token", *(F.col(c).alias(c + x) for c in ("id", "n", "cap", "component"))) for x in "uv")
+    met = small.where("capu >= nu").join(large, "token").where("componentu <> componentv and nu <= nv and nv <= capu and nu <= capv and (nu < nv or idu < idv)")
+    return met.select(F.col("idu").alias("u"), F.col("idv").alias("v"), F.col("componentu").alias("cu"), F.col("componentv").alias("cv")).distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, orders: int = 3, sent: int = SENT) -> DataFrame:
     """Link documents whose ``width``-word shingle sets satisfy 100 * |A & B| >= percent * |A | B|.
 
     Returns (``id_col`` long, n_shingles long, component_id long, representative long): a row for each input row.
     ``component_id`` is the smallest id reachable by links, itself included; ``representative`` the smallest id with
     the very same text. Nulls: a null text counts as empty, a row with a null id is left out. A text without words has
     no shingles and links with nothing, so equal empty texts stay apart. Repeated rows come back as often as they
-    occur. Ties go to the smaller id. An empty table gives no rows. Other columns of ``docs`` are not read.
+    occur; an id that repeats with other texts is a document for each text. Ties go to the smaller id. Very long texts
+    are taken whole; a text is held in one task. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.unhex(F.sha2(F.col("text"), 256)))
-    texts = rows.groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "text")
-    sets = durable(shingle_sets(texts, width, percent, orders))
-    alive = sets.where("tokens is not null").select("id", "n", "centre", "tokens", "entries")
-    lists = alive.select("id", "n", "centre", F.inline("entries"))
-    lists = lists.select("k", "token", F.struct("centre", "id", "n", "cap").alias("m")).repartition("k", "token")
-    hubs = lists.groupBy("k", "token").agg(F.min("m").alias("hub"))
-    to_hub = lists.join(hubs, ["k", "token"]).where("m.id <> hub.id and m.n <= hub.cap and hub.n <= m.cap")
-    to_hub = to_hub.select(F.least("m.id", "hub.id").alias("u"), F.greatest("m.id", "hub.id").alias("v")).distinct()
-    near = connected_components(_verified(to_hub, alive, percent))
-
-    placed = alive.select("id", "n", "entries").join(near, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.inline("entries"))
-    placed = placed.select("k", "token", F.struct("id", "n", "cap", "component").alias("m")).repartition("k", "token")
-    mixed = placed.groupBy("k", "token").agg(F.min("m.component").alias("lo"), F.max("m.component").alias("hi")).where("lo <> hi").select("k", "token")
-    placed = durable(placed.join(mixed, ["k", "token"], "left_semi").select("k", "token", "m.*"))
-    a = placed.select("k", "token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "cap", "component")))
-    b = placed.select("k", "token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "cap", "component")))
-    met = a.join(b, ["k", "token"]).where("component_a < component_b and n_a <= cap_b and n_b <= cap_a").select("id_a", "id_b", "component_a", "component_b", "k").distinct()
-    met = met.groupBy("id_a", "id_b", "component_a", "component_b").agg(F.count("*").alias("c")).where(F.col("c") == orders)
-    found = _verified(met.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")), alive, percent)
-    where = placed.select("id", "component").distinct()
-    bridges = found.join(where.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u").join(where.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v")
-    joined = connected_components(bridges.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    again = durable(rows.select("id", "key").groupBy("id").agg(F.count("*").alias("c"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("c > 1"))
+    twice, other = again.agg(F.count("*"), F.count_if(F.col("lo") != F.col("hi"))).first()
+    if other:  # every text of an id that has several gets a name of its own
+        several = again.where("lo <> hi").select("id", F.lit(True).alias("several"))
+        rows = rows.join(several, "id", "left").select(F.when(F.col("several"), F.xxhash64("id", "key")).otherwise(F.col("id")).alias("name"), "id", "text", "key")
+    else:
+        rows = rows.select(F.col("id").alias("name"), "id", "text", "key")
+    copies = repeated(rows.select("key", "name"), "key", "name")
+    few = copies.count() <= sent
+
+    def with_first(df: DataFrame) -> DataFrame:
+        found = F.broadcast(copies) if few else copies  # ``sent`` rows at most
+        return df.join(found, "key", "left").withColumn("first", F.coalesce("first", "name"))
+
+    texts = with_first(rows).where("name = first").select(F.col("name").alias("id"), "text")
+    if twice:
+        texts = texts.dropDuplicates(["id"])
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    sets = durable(shingle_sets(texts, width, percent, orders, n_bytes))
+    alive = sets.where("tokens is not null")
+    near = durable(connected_components(_verified(hub_pairs(alive), alive, percent, orders)))
+    pairs = durable(bridge_pairs(alive, near))
+    found = _verified(pairs.select("u", "v"), alive, percent, orders)
+    bridges = pairs.join(found.distinct(), ["u", "v"])
+    joined = durable(connected_components(bridges.select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
 
     final = near.join(joined.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("root"))
     single = joined.select("id", F.col("component").alias("root")).join(near.select("id"), "id", "left_anti")
-    of_set = sets.select("id", "n").join(final.unionByName(single), "id", "left").select(F.col("id").alias("rep"), "n", F.coalesce("root", "id").alias("root"))
-    reps = rows.groupBy("key").agg(F.min("id").alias("rep")).join(of_set, "rep")
-    out = rows.select("id", "key").join(reps, "key")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("representative"))
+    of_set = sets.select("id", F.col("n").alias("size")).join(final.unionByName(single), "id", "left").select(F.col("id").alias("first"), "size", F.coalesce("root", "id").alias("root"))
+    of_set = durable(of_set.join(copies.groupBy("first").agg(F.sum("n").alias("n")), "first", "left").withColumn("n", F.coalesce("n", F.lit(1))))
+    out = hot_join(with_first(rows.select("id", "name", "key")).drop("n"), of_set, "first")
+    if other:
+        ids = out.groupBy("root").agg(F.min("id").alias("lowest"), F.count("*").alias("n"))
+        least = out.groupBy("first").agg(F.min("id").alias("copy"), F.count("*").alias("n"))
+        out = hot_join(hot_join(out, durable(ids), "root"), durable(least), "first").drop("root", "first").withColumnsRenamed({"lowest": "root", "copy": "first"})
+    full = F.col("size") > 0
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(full, F.col("root")).otherwise(F.col("id")).alias("component_id"), F.when(full, F.col("first")).otherwise(F.col("id")).alias("representative"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with one document of each component, that with the smallest id; all columns stay.
     Of rows that repeat an id all are kept or none; rows with a null id stay."""
     linked = jaccard_components(docs, id_col, text_col, **options)
-    gone = linked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    (gone,) = unused(docs, "gone")
+    out = linked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(out, docs[id_col] == out[gone], "left_anti")

@@ -2,7 +2,7 @@ import random
 import re
 
 from tessera.llm.components import connected_components
-from tessera.llm.jaccard_join import jaccard_components, keep_one
+from tessera.llm.jaccard_join import bridge_pairs, hub_pairs, jaccard_components, keep_one, shingle_sets
 
 SCHEMA = "doc_id long, text string, n_shingles string, component_id int"
 
@@ -62,8 +62,9 @@ def corpus():
 
 def test_links_as_brute_force(spark):
     rows = corpus()
-    got = result(jaccard_components(spark.createDataFrame(rows, SCHEMA)))
-    assert got == brute(rows)
+    for sent in (1000, 0):
+        got = result(jaccard_components(spark.createDataFrame(rows, SCHEMA), sent=sent))
+        assert got == brute(rows)
     assert len({c for _, _, c in got}) < len(got)
 
 
@@ -83,3 +84,45 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(3, 3), (None, 4), (7, 5), (5, 7)], "u long, v long")
     got = {r.id: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 10 for i in range(10, 41)}, 5: 5, 7: 5}
+
+
+def template(rng, count, own, size=200):
+    """Documents of one template that each replace a stretch of it by words of their own."""
+    base = [f"t{rng.randrange(10**6)}" for _ in range(size)]
+    return [base[: size - own] + [f"o{i}_{j}" for j in range(own)] for i in range(count)]
+
+
+def test_a_template_gives_no_pairs(spark):
+    # 196 shingles each, 34 of them own: similarity 0.70, and every list of the template holds all documents.
+    rows = [(i, " ".join(t)) for i, t in enumerate(template(random.Random(1), 2000, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alive = shingle_sets(docs.withColumnRenamed("doc_id", "id"), 5, 80, 3, 1 << 20).where("tokens is not null")
+    none = spark.createDataFrame([], "id long, component long")
+    assert hub_pairs(alive).count() == 0 and bridge_pairs(alive, none).count() == 0
+    assert all(i == c for i, _, c in result(jaccard_components(docs)))
+
+
+def test_templates_that_link(spark):
+    rng, rows = random.Random(3), []
+    for own in (4, 14, 16, 17, 18, 20, 30):
+        rows += [(len(rows) + k, " ".join(t), "", 0) for k, t in enumerate(template(rng, 40, own))]
+    assert result(jaccard_components(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_orders_differ_and_filter(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words[: 8 + i % 20]) for _ in range(60)), "", 0) for i in range(150)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert result(jaccard_components(docs)) == brute(rows)
+    alive = shingle_sets(docs.selectExpr("doc_id id", "text"), 5, 80, 3, 1).where("tokens is not null")
+    for r in alive.collect():
+        half = len(r.marks) // 2
+        assert half == 8 * len(r.entries) and (len(r.entries) > len(r.tokens) // 16 or r.marks[:half] != r.marks[half:])
+
+
+def test_repeated_ids_with_other_texts_and_long_texts(spark):
+    long = " ".join(f"x{i}" for i in range(60_000))
+    rows = [(7, "a b c d e f g h i j", "", 0), (7, "k l m n o p q", "", 0), (9, "k l m n o p q", "", 0), (3, long, "", 0), (2, long + " end", "", 0), (7, "a b c d e f g h i j", "", 0)]
+    got = result(jaccard_components(spark.createDataFrame(rows, SCHEMA)))
+    assert got == sorted([(7, 6, 7), (7, 3, 7), (9, 3, 7), (3, 59996, 2), (2, 59997, 2), (7, 6, 7)])
