@@ -2,11 +2,16 @@
 
 Vectors of integers are lifted by one coordinate, sqrt(M - |x|^2) with M the largest squared norm (0 for a query), so
 that |q - x|^2 = M + |q|^2 - 2 <q, x> and the nearest vector is the one with the largest product. Each vector is keyed
-by its nearest pivot and the distance to it; distances are cut into rings, and a ring into blocks of bounded size. For
-a query at distance d from a pivot, the triangle inequality bounds every product in a ring [lo, hi] through
-max(0, d - hi, lo - d). A first wave searches the fullest block of the pivot nearest to a query, which bounds the k-th
-best product from below. Then each task expands its annuli in order of the gap, tightens the bounds as it goes, and
-skips what they no longer let in. Products are exact integers, and bounds leave room for rounding.
+by its nearest pivot and the distance to it; distances are cut into rings (an annulus is a pivot and a ring), and an
+annulus into blocks of bounded size. For a query at distance d from a pivot, the triangle inequality bounds every
+product in an annulus [lo, hi] through max(0, d - hi, lo - d).
+
+A query sorts the annuli by that bound and expands them in waves, a few in the first, more in the next and the rest in
+the last; its k best scores of a wave are the bound of the next one. It stops at the first annulus whose bound is below
+its k-th best score: what lies beyond is never sent to a block. The table of annuli (at most pivots x 4 x rings rows of
+24 bytes, whatever the number of vectors) is what the tasks need to decide it, so bounds are applied before any block is
+joined. Blocks meet the queries that ask for them, by block and part of the queries. Products are exact integers, and
+bounds leave room for rounding.
 
 Pivots are fitted on at most ``SAMPLE`` vectors (those with the smallest hash of the id); every vector is indexed.
 """
@@ -24,8 +29,9 @@ from pyspark.sql.window import Window
 from ..runtime import durable, python_path
 
 SAMPLE = 4096
-BLOCK = 4096
-QUERIES = 512
+BLOCK = 4096  # most vectors of a block, about
+QUERIES = 4096  # most queries that meet a block at once, about
+WAVES = (0, 2, 8)  # ranks of the annuli at which a wave begins
 
 
 def quantised(embedding: Column, scale: int = 256) -> Column:
@@ -72,40 +78,32 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def _search(dim: int, top: float, k: int, reach: float):
-    """(qids, qvecs, dq, bound, bound_id, ids, vecs, lo, hi) to what can be among a query's best k."""
+def _upper(dq: np.ndarray, lo: np.ndarray, hi: np.ndarray, square: np.ndarray, top: float, slack: float, reach: float) -> np.ndarray:
+    """Upper bounds of the products of queries (rows) with annuli (columns), with room for rounding."""
+    gap = np.maximum(0, np.maximum(dq - hi, lo - dq) - slack)
+    return (top + square[:, None] - gap**2) / 2 + slack * reach + 1
+
+
+def _search(dim: int, k: int):
+    """A block and the queries that ask for it to what can be among a query's best k."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    slack = 1e-6 * reach
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # scores and ids found here, k of each query at most
-        for batch in batches:
-            for r in range(batch.num_rows):
-                qids, qvecs, dq, bound, bound_id, ids, vecs, lo, hi = (c[r].as_py() for c in batch.columns)
-                qids, ids = np.frombuffer(qids, "<i8"), np.frombuffer(ids, "<i8")
-                q, x = _matrix(qvecs, dim), _matrix(vecs, dim)
-                dq, bound, bound_id = np.frombuffer(dq, "<f8"), np.frombuffer(bound, "<i8").copy(), np.frombuffer(bound_id, "<i8").copy()
-                for i, query in enumerate(qids.tolist()):
-                    if (have := best.get(query)) is not None and len(have[0]) == k and (-have[0][-1], have[1][-1]) < (-bound[i], bound_id[i]):
-                        bound[i], bound_id[i] = have[0][-1], have[1][-1]
-                gap = np.maximum(0, np.maximum(dq - hi, lo - dq) - slack)
-                most = (top + (q.astype(float) ** 2).sum(1) - gap**2) / 2 + slack * reach + 1
-                live = np.flatnonzero(most >= bound)
-                if not len(live):
-                    continue
-                out = []
-                scores = _products(q[live], x)
-                for row, i in enumerate(live):
-                    s = scores[row]
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for blob, vecs in zip(right["ids"].to_pylist(), right["vecs"].to_pylist(), strict=True) if left.num_rows else ():
+            ids, x = np.frombuffer(blob, "<i8"), _matrix(vecs, dim)
+            for at in range(0, left.num_rows, 512):
+                part = left.slice(at, 512)
+                qids, bound, bound_id = (part[c].to_numpy() for c in ("id", "bound", "bound_id"))
+                scores = _products(_matrix(b"".join(part["vec"].to_pylist()), dim), x)
+                for i, s in enumerate(scores):
                     hit = np.flatnonzero(((s > bound[i]) | ((s == bound[i]) & (ids <= bound_id[i]))) & (ids != qids[i]))
+                    if len(hit) > k:
+                        hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k]]
                     hit = hit[np.lexsort((ids[hit], -s[hit]))[:k]]
                     out.append((np.full(len(hit), qids[i]), ids[hit], s[hit]))
-                    if len(hit):
-                        old = best.get(int(qids[i]), (s[:0], ids[:0]))
-                        both = np.concatenate([old[0], s[hit]]), np.concatenate([old[1], ids[hit]])
-                        order = np.lexsort((both[1], -both[0]))[:k]
-                        best[int(qids[i])] = both[0][order], both[1][order]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        columns = zip(*out, strict=True) if out else ([np.empty(0, np.int64)],) * 3
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in columns], schema=schema)
 
     return run
 
@@ -119,23 +117,52 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, pivots: int = 32, rings: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _route(cells: dict[str, np.ndarray], n_pivots: int, dim: int, top: float, reach: float, since: int, until: int | None, parts: int):
+    """Each query to the blocks of the annuli that it expands in this wave, and the last row of each query that has
+    more to come (cell -1), with the number of annuli it was let to skip."""
+    slack = 1e-6 * reach
+    schema = pa.schema([("cell", pa.int32()), ("salt", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("vec", pa.binary()), ("bound", pa.int64()), ("bound_id", pa.int64()), ("skipped", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                ids, bound, bound_id = (batch.column(c).to_numpy() for c in (0, 3, 4))
+                vecs = batch.column(1).to_pylist()
+                q = _matrix(b"".join(vecs), dim).astype(float)
+                dq = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(-1, n_pivots)[:, cells["pivot"]]
+                most = _upper(dq, cells["lo"], cells["hi"], (q**2).sum(1), top, slack, reach)
+                order = np.argsort(-most, axis=1, kind="stable")
+                out: list[tuple] = []
+                for i in range(len(ids)):
+                    live = order[i][: int((most[i] >= bound[i]).sum())]  # sorted, so the first one below the bound ends it
+                    for c in live[since:until].tolist():
+                        part = (int(ids[i]) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % parts
+                        out += [(int(cells["cell"][c]), s, part, ids[i], vecs[i], bound[i], bound_id[i], 0) for s in range(int(cells["blocks"][c]))]
+                    out.append((-1, 0, 0, ids[i], None, bound[i], bound_id[i], len(order[i]) - len(live)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, pivots: int = 32, rings: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", stats: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``queries`` holds, the ``k`` best rows with another id by
     the integer product of components floor(``scale`` * x); ties go to the smaller id.
 
-    Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with a null id and
-    vectors of another length than the most frequent one (the shorter on a tie). With fewer than ``k`` candidates a
-    query gets all. An id that repeats counts row by row, but never against itself; a repeated query row is asked once.
-    No vectors, no rows. Other columns aren't read."""
+    Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with a null id.
+    Vectors of different lengths meet as if the shorter one went on with zeros. With fewer than ``k`` candidates a query
+    gets all. An id that repeats counts row by row, but never against itself; a repeated query row is asked once (the
+    smallest of its vectors). No vectors, no rows. Other columns aren't read. ``stats`` gets the number of (query,
+    annulus) pairs and of those that the bounds excluded."""
     spark = python_path(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("id is not null and v is not null")
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = sizes.dim
-    rows = rows.where(F.size("v") == dim)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    top = float(rows.agg(F.max(norm)).first()[0])
+    least = rows.agg(F.min(F.size("v")), F.max(F.size("v")), F.max(norm), F.count("*")).first()
+    if not least[3]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shortest, dim, top, total = least
+    if shortest < dim:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     centres = fit_pivots(_lift(np.array([r.v for r in sample], dtype=float), top), pivots)
     reach = float(np.sqrt(2 * top)) or 1.0
@@ -146,66 +173,47 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, piv
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(-1, dim)
+            asks = batch.column(2).to_numpy(zero_copy_only=False)
             d = _distances(_lift(v.astype(float), top), sent.value)
             near = d.argmin(1)
             own = d[np.arange(len(near)), near]
-            lifted_query = np.concatenate([v.astype(float), np.zeros((len(v), 1))], 1)
-            dq = _distances(lifted_query, sent.value) if len(v) else np.zeros((0, 1))
-            at = dq.argmin(1)
-            columns = [batch.column(0), batch.column(2), pa.array(near.astype(np.int32)), pa.array(own), pa.array(np.floor(own / width).astype(np.int32))]
-            columns += [pa.array([x.astype("<i8").tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in dq], pa.binary()), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "asks", "pivot", "d", "ring", "vec", "dq", "home"])
-
-    keyed = durable(rows.select("id", "v", "asks").mapInArrow(key, "id long, asks boolean, pivot int, d double, ring int, vec binary, dq binary, home int"))
-
-    counts = keyed.groupBy("pivot", "ring").agg(F.count("*").alias("n"))
-    salted = keyed.join(F.broadcast(counts), ["pivot", "ring"])  # at most pivots * 4 * rings rows
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-
-    def block(group: tuple, table: pa.Table) -> pa.Table:
-        d = table["d"].to_numpy()
-        ids = table["id"].to_numpy().astype("<i8").tobytes()
-        return pa.table({"pivot": pa.array([group[0].as_py()], pa.int32()), "ring": pa.array([group[1].as_py()], pa.int32()), "salt": pa.array([group[2].as_py()], pa.int32()), "lo": [float(d.min())], "hi": [float(d.max())], "ids": [ids], "vecs": [b"".join(table["vec"].to_pylist())]})
-
-    blocks = durable(salted.select("pivot", "ring", "salt", "d", "id", "vec").groupBy("pivot", "ring", "salt").applyInArrow(block, "pivot int, ring int, salt int, lo double, hi double, ids binary, vecs binary"))
-
-    asks = durable(keyed.where("asks").groupBy("id").agg(F.min(F.struct("vec", "dq", "home")).alias("m")).select("id", "m.*"))
-    parts = max(1, asks.count() // (QUERIES // 2))
-    schema = "home int, qids binary, qvecs binary, dqs binary, bound binary, bound_id binary"
-
-    def gather(group: tuple, table: pa.Table) -> pa.Table:
-        bound = table["bound"].to_numpy().astype("<i8").tobytes()
-        columns = [table["home"].to_pylist()[0], table["id"].to_numpy().astype("<i8").tobytes(), b"".join(table["vec"].to_pylist()), b"".join(table["dq"].to_pylist()), bound, table["bound_id"].to_numpy().astype("<i8").tobytes()]
-        return pa.table([pa.array([c], t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["home", "qids", "qvecs", "dqs", "bound", "bound_id"])
-
-    def groups(bounded: DataFrame) -> DataFrame:
-        return bounded.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).select("home", "part", "id", "vec", "dq", "bound", "bound_id").groupBy("part", "home").applyInArrow(gather, schema)
-
-    def pair(routed: DataFrame, index: DataFrame) -> DataFrame:
-        gap = F.greatest(F.col("lo") - F.col("far"), F.col("near") - F.col("hi"))
-        pairs = routed.join(index, "pivot").sortWithinPartitions(gap)
-        return pairs.select("qids", "qvecs", "dq", "bound", "bound_id", "ids", "vecs", "lo", "hi").mapInArrow(_search(dim, top, k, reach), _FOUND)
-
-    n_pivots = len(centres)
-
-    def route(home_only: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    home, qids, qvecs, dqs, bound, bound_id = (c[r].as_py() for c in batch.columns)
-                    dq = np.frombuffer(dqs, "<f8").reshape(-1, n_pivots)
-                    to = [home] if home_only else range(n_pivots)
-                    columns = [pa.array(to, pa.int32()), *(pa.array([x] * len(to), pa.binary()) for x in (qids, qvecs)), pa.array([dq[:, p].tobytes() for p in to], pa.binary())]
-                    columns += [*(pa.array([x] * len(to), pa.binary()) for x in (bound, bound_id)), pa.array([dq[:, p].min() for p in to]), pa.array([dq[:, p].max() for p in to])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["pivot", "qids", "qvecs", "dq", "bound", "bound_id", "near", "far"])
-
-        return run
-
-    routed = "pivot int, qids binary, qvecs binary, dq binary, bound binary, bound_id binary, near double, far double"
-    seeds = blocks.groupBy("pivot").agg(F.min(F.struct(-F.length("ids"), F.col("ring"), F.col("salt"))).alias("s")).select("pivot", "s.ring", "s.salt")
-    open_ends = asks.withColumns({"bound": F.lit(_LOWEST), "bound_id": F.lit(_LOWEST)})
-    wave = _best(pair(groups(open_ends).mapInArrow(route(True), routed), blocks.join(seeds, ["pivot", "ring", "salt"])), k)
-    bounds = wave.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"), F.col("vec_id").alias("bound_id"))
-    bounded = asks.join(bounds, asks["id"] == bounds["query_id"], "left").withColumns({c: F.coalesce(c, F.lit(_LOWEST)) for c in ("bound", "bound_id")})
-    best = _best(pair(groups(bounded).mapInArrow(route(False), routed), blocks), k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            dq = _distances(np.concatenate([v.astype(float), np.zeros((len(v), 1))], 1), sent.value) if len(v) else np.zeros((0, 1))
+            cell = near * (4 * rings + 1) + np.floor(own / width).astype(np.int64)
+            columns = [batch.column(0), batch.column(2), pa.array(near.astype(np.int32)), pa.array(own), pa.array(cell.astype(np.int32))]
+            columns += [pa.array([x.astype("<i8").tobytes() for x in v], pa.binary()), pa.array([x.tobytes() if a else None for x, a in zip(dq, asks, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "asks", "pivot", "d", "cell", "vec", "dq"])
+
+    keyed = durable(rows.select("id", "v", "asks").mapInArrow(key, "id long, asks boolean, pivot int, d double, cell int, vec binary, dq binary"))
+    size = int(min(BLOCK, max(64, total // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    cells = keyed.groupBy("cell", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
+    found = cells.orderBy("cell").toPandas()  # at most pivots * (4 * rings + 1) rows
+    table = {c: found[c].to_numpy() for c in ("cell", "pivot", "lo", "hi", "blocks")}
+    annuli = spark.createDataFrame([(int(c), int(n)) for c, n in zip(table["cell"], table["blocks"], strict=True)], "cell int, blocks int")
+    salted = keyed.select("cell", "id", "vec").join(F.broadcast(annuli), "cell").withColumn("salt", F.pmod(F.monotonically_increasing_id(), "blocks").cast("int"))  # of a checkpoint, so a task that runs again deals alike
+
+    def block(group: tuple, rows: pa.Table) -> pa.Table:
+        ids = rows["id"].to_numpy().astype("<i8").tobytes()
+        return pa.table({"cell": pa.array([group[0].as_py()], pa.int32()), "salt": pa.array([group[1].as_py()], pa.int32()), "ids": [ids], "vecs": [b"".join(rows["vec"].to_pylist())]})
+
+    blocks = durable(salted.select("cell", "salt", "id", "vec").groupBy("cell", "salt").applyInArrow(block, "cell int, salt int, ids binary, vecs binary"))
+    asks = durable(keyed.where("asks").groupBy("id").agg(F.min(F.struct("vec", "dq")).alias("m")).select("id", "m.*"))
+    parts = -(-asks.count() // QUERIES) or 1
+    routed_as = "cell int, salt int, part int, id long, vec binary, bound long, bound_id long, skipped int"
+    best, pairs, left_out = spark.createDataFrame([], _FOUND), 0, 0
+    now = asks.withColumns({"bound": F.lit(_LOWEST), "bound_id": F.lit(_LOWEST)})
+    for since, until in zip(WAVES, (*WAVES[1:], None), strict=True):
+        if since >= len(table["cell"]):
+            break
+        routed = durable(now.select("id", "vec", "dq", "bound", "bound_id").mapInArrow(_route(table, len(centres), dim, top, reach, since, until, parts), routed_as))
+        if stats is not None:
+            last = routed.where("cell < 0").agg(F.count("*"), F.sum("skipped")).first()
+            stats |= {"pairs": last[0] * len(table["cell"]), "excluded": last[1] or 0}
+        wanted = routed.where("cell >= 0").drop("skipped")
+        copies = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else blocks.withColumn("part", F.lit(0))
+        copies = copies.join(wanted.select("cell", "salt", "part").distinct(), ["cell", "salt", "part"], "left_semi")
+        met = wanted.groupBy("cell", "salt", "part").cogroup(copies.groupBy("cell", "salt", "part")).applyInArrow(_search(dim, k), _FOUND)
+        best = durable(_best(best.unionByName(met), k).drop("rank"))
+        bounds = best.groupBy("query_id").agg(F.count("*").alias("c"), F.max_by(F.struct("score", "vec_id"), F.struct(-F.col("score"), "vec_id")).alias("last")).where(F.col("c") == k)
+        bounds = bounds.select("query_id", F.col("last.score").alias("bound"), F.col("last.vec_id").alias("bound_id"))
+        now = asks.join(bounds, asks["id"] == bounds["query_id"], "left").withColumns({c: F.coalesce(c, F.lit(_LOWEST)) for c in ("bound", "bound_id")})
+    return _best(best, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -10,7 +10,8 @@ SCHEMA = "vec_id long, embedding array<float>, score string, query_id int"
 
 
 def brute(rows, k):
-    good = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64)) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and len(v) == 8]
+    whole = lambda v: np.floor(256 * np.array([*v, *[0.0] * (8 - len(v))], dtype=np.float32).astype(float)).astype(np.int64)
+    good = [(i, whole(v)) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for i, q in good:
         if i % 10 == 0:
@@ -35,6 +36,23 @@ def test_as_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5)
 
 
+def test_bounds_exclude_before_any_block_is_met(spark):
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.02) for x in centres[i % 12]], "s", 1) for i in range(1200)]
+    stats: dict = {}
+    got = top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0, pivots=12, stats=stats)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5)
+    assert stats["excluded"] > 0.5 * stats["pairs"] > 0
+
+
+def test_repeated_ids(spark):
+    rows = [(20, [1.0] * 8, "s", 1)] * 40 + [(i, [i / 50] * 8, "s", 1) for i in range(10)]
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0).collect())
+    assert [r[2] for r in got if r[0] == 0] == [1, 2, 3, 4, 5]  # all products are 0
+    assert [r[2] for r in got if r[0] == 20] == [9, 8, 7, 6, 5]
+
+
 def test_small_tables(spark):
     rows = [(0, [1.0] * 8, "s", 1), (10, [1.0] * 8, "s", 1), (3, [-1.0] * 8, "s", 1)]
     got = top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0)
