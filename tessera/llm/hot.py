@@ -25,8 +25,8 @@ def hot_join(many: DataFrame, one: DataFrame, on: str | list[str], count: str =
     """``many`` joined to ``one``, which has each key once and, in ``count``, in how many rows of ``many`` it stands.
 
     Keys that hold more than one in ``SHARE`` of the counted rows go to every task - by their counts there are at most
-    ``SHARE`` of them - and no key that is shuffled holds a larger share. ``how`` is inner or left_semi; columns of
-    ``one`` but ``count`` are kept by the former. ``one`` is read three times, so it should be a checkpoint."""
+    ``SHARE`` of them - and no key that is shuffled holds a larger share. ``how`` is inner, left or left_semi; columns
+    of ``one`` but ``count`` are kept by the first two. ``one`` is read three times, so it should be a checkpoint."""
     keys = [on] if isinstance(on, str) else on
     total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     least = total // SHARE
@@ -34,7 +34,7 @@ def hot_join(many: DataFrame, one: DataFrame, on: str | list[str], count: str =
     cold = one.where(F.col(count) <= least).drop(count)
     if least == 0:
         return many.join(one.drop(count), keys, how)
-    found = many.join(F.broadcast(hot), keys, how)  # fewer than SHARE rows
+    found = many.join(F.broadcast(hot), keys, "inner" if how == "left" else how)  # fewer than SHARE rows
     rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return found.unionByName(rest)
 
