@@ -25,10 +25,12 @@ def hot_join(many: DataFrame, one: DataFrame, on: str | list[str], count: str =
     """``many`` joined to ``one``, which has each key once and, in ``count``, in how many rows of ``many`` it stands.
 
     Keys that hold more than one in ``SHARE`` of the counted rows go to every task - by their counts there are at most
-    ``SHARE`` of them - and no key that is shuffled holds a larger share. ``how`` is inner, left or left_semi; columns
+    ``SHARE`` of them, as all of ``one`` does while it has no more rows - and no key that is shuffled holds a larger share. ``how`` is inner, left or left_semi; columns
     of ``one`` but ``count`` are kept by the first two. ``one`` is read three times, so it should be a checkpoint."""
     keys = [on] if isinstance(on, str) else on
-    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    total, size = one.agg(F.coalesce(F.sum(count), F.lit(0)), F.count("*")).first()
+    if size <= SHARE:
+        return many.join(F.broadcast(one.drop(count)), keys, how)
     least = total // SHARE
     hot = one.where(F.col(count) > least).drop(count)
     cold = one.where(F.col(count) <= least).drop(count)

@@ -196,6 +196,8 @@ def discover(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     values = durable(seen.select("*", *(F.when(F.col("seed") == i, 1.0).otherwise(0.0).alias(f"s{i}") for i in kinds)))
     for _ in range(settings.rounds):
         patterns = durable(_scored_patterns(edges, values.drop("seed", "times"), settings))
+        if patterns.isEmpty():  # then none of the following rounds would have one
+            break
         reached = hot_join(edges, patterns, "p").groupBy("v").agg(*(F.max(f"c{i}").alias(f"m{i}") for i in kinds))
         held = [F.when(F.col("seed") < len(KINDS), F.col(f"s{i}")).otherwise(F.when(F.col(f"f{i}"), F.coalesce(f"m{i}", F.lit(0.0))).otherwise(0.0)).alias(f"s{i}") for i in kinds]
         values = durable(values.join(reached, "v", "left").select("v", "seed", "times", "edges", *(f"f{i}" for i in kinds), *held))
