@@ -21,9 +21,12 @@ def python_path(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where none is set (local tests)."""
+    """The folder of spark.checkpoint.dir. Without one, a local session gets a folder of its own; a cluster, whose
+    executors couldn't see it, is refused."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="tessera-checkpoint-")
     if not sc.getCheckpointDir():
@@ -37,5 +40,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has slots, dealt evenly: one file of one row group is one task. Larger
+    inputs stay as they are, so what is shuffled here is never more than a small table."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
