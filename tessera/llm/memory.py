@@ -15,9 +15,16 @@ class Memory(dict):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
         if len(key) <= 64:
             if len(self) >= self.size:
                 self.before = dict(self)
                 self.clear()
             self[key] = value
-        return value
+
+    def unknown(self, keys) -> list[str]:
+        """Those of ``keys`` that aren't remembered."""
+        return [k for k in keys if k not in self and k not in self.before]

@@ -2,9 +2,11 @@
 
 An example demands (tokens, one segment, loss-bearing tokens). Each task packs the examples that it reads, out of a
 bounded pool, one sequence at a time: of the examples that fit, it places the one whose demand has the largest dot
-product with what is left of the sequence, both as shares of the limits and weighted by how scarce a limit is in the
-pool. When none fits it cuts one to fit what is left. No rows are shuffled, and no sequence spans two tasks. The last
-examples of a task go to sequences of descending powers of two, which need no padding.
+product with what is left of the sequence, all as shares of the limits and weighted by how scarce a limit is in the
+pool; of equal ones the first in the pool. When none fits it cuts one to fit what is left. A sequence that a limit ends
+before it is full is cut back to a power of two, which needs no padding, and what is cut off returns to the pool. No
+rows are shuffled, and no sequence spans two tasks. The last examples of a task go to sequences of descending powers
+of two.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from ..runtime import python_path
 from .memory import Memory
 
+POOL_SEQUENCES = 64  # most sequences' worth of tokens that wait in a task, besides the example that goes beyond it
 _PLAIN = re.compile("[\x21-\x7eÀ-ÿ]+")
 _LETTERS = "a-zß-öø-ÿ"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
@@ -63,7 +66,26 @@ class WordTokens:
         return self._between(text)
 
     def _between(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        chunks = text.replace("\n", " ").split(" ")
+        ids = [*map(self.chunks.get, chunks)]
+        if None in ids:
+            self._learn(self.chunks.unknown({c for c, found in zip(chunks, ids, strict=True) if found is None}))
+            ids = map(self.chunks.__getitem__, chunks)
+        return b"".join(ids)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the new parts of new chunks: one call of the library for many of them costs half as much."""
+        new = self.parts.unknown({p for c in chunks if len(c) <= 64 and _PLAIN.fullmatch(c) for p in _SPLIT.findall(c.lower())})
+        for at in range(0, len(new), 256):
+            some = new[at : at + 256]
+            found = self.library.encode(" ".join(some), add_special_tokens=False)
+            words = np.array(found.word_ids, dtype=np.int64)
+            edges = np.flatnonzero(np.diff(words)) + 1
+            if len(edges) + 1 != len(some):  # a part that the library would cut or drop: each by itself
+                continue
+            ids, edges = np.array(found.ids, dtype="<u4").tobytes(), [0, *(4 * edges).tolist(), 4 * len(words)]
+            for part, begin, end in zip(some, edges[:-1], edges[1:], strict=True):
+                self.parts.put(part, ids[begin:end])
 
 
 @functools.cache
@@ -73,65 +95,79 @@ def word_tokens(path: str) -> WordTokens:
 
 class Packer:
     """Pool and open sequence of one task. ``add`` takes an example, ``rows`` gives pieces as
-    (example, start, length, sequence, offset, last)."""
+    (example, start, length, sequence, offset, last). The pool holds ``pool`` examples or ``POOL_SEQUENCES`` sequences'
+    tokens, and one example more."""
 
-    def __init__(self, tokens: int, segments: int, loss: int, pool: int = 1024):
+    def __init__(self, tokens: int, segments: int, loss: int, pool: int = 512):
         self.limit = np.array([tokens, segments, loss], dtype=np.int64)
-        self.pool, self.n, self.sequence = pool, 0, 0
-        self.key = np.zeros(4 * pool, dtype=np.int64)
-        self.start, self.left, self.quiet = (np.zeros(4 * pool, dtype=np.int64) for _ in range(3))
+        self.pool, self.n, self.total, self.sequence = pool, 0, 0, 0
+        self.key = np.zeros(pool + 1, dtype=np.int64)
+        self.start, self.left, self.quiet = (np.zeros(pool + 1, dtype=np.int64) for _ in range(3))
 
     def add(self, key: int, length: int, quiet: int) -> None:
         """``quiet``: how many tokens at the example's start bear no loss."""
         self.key[self.n], self.start[self.n], self.left[self.n], self.quiet[self.n] = key, 0, length, min(quiet, length)
         self.n += 1
+        self.total += length
 
     def full(self) -> bool:
-        return self.n >= 2 * self.pool or (self.n >= 64 and int(self.left[: self.n].sum()) >= 256 * int(self.limit[0]))
+        return self.n > self.pool or self.total >= POOL_SEQUENCES * int(self.limit[0])
 
     def rows(self, end: bool = False) -> Iterator[tuple]:
-        while self.n:
-            total = int(self.left[: self.n].sum())
+        """Pieces until the pool is half full, or all."""
+        while self.n and (end or self.n > self.pool // 2 or self.total >= POOL_SEQUENCES // 2 * int(self.limit[0])):
             limit = int(self.limit[0])
-            if not end and (self.n <= self.pool and total < 128 * limit):
-                return
-            if total < limit:
-                limit = 1 << total.bit_length() - 1
-            yield from self._one(limit)
+            yield from self._one(limit if self.total >= limit else 1 << self.total.bit_length() - 1)
 
     def _one(self, limit: int) -> Iterator[tuple]:
-        rest = self.limit.copy()
-        rest[0] = limit
-        offset = 0
-        while self.n and rest[0] and rest[1]:
-            left, quiet = self.left[: self.n], self.quiet[: self.n]
-            loud = left - quiet
-            fits = (left <= rest[0]) & (loud <= rest[2])
-            if fits.any():
-                scarce = np.array([left.sum() / self.limit[0], self.n / self.limit[1], loud.sum() / self.limit[2]]) * rest / self.limit.astype(float) ** 2
-                at = int(np.argmax(np.where(fits, left * scarce[0] + loud * scarce[2], -1.0)))
+        (tokens, segments, loss), offset = self.limit.tolist(), 0
+        rest, room, rest_loss = limit, segments, loss
+        n = self.n
+        left, quiet = self.left[:n], self.quiet[:n]
+        loud = left - quiet
+        # Weights of a demand: scarcity in the pool times what is left, each as a share of its limit.
+        scarce_tokens, scarce_loss = self.total / tokens / tokens**2, int(loud.sum()) / loss / loss**2
+        took: list[tuple[int, int, int]] = []
+        while rest and room and len(took) < n:
+            fits = (loud <= rest_loss) & (left <= rest) & (left > 0)
+            at = int(np.where(fits, left * (scarce_tokens * rest) + loud * (scarce_loss * rest_loss), -1.0).argmax())
+            if fits[at]:
                 take = int(left[at])
             else:
-                room = np.minimum(np.minimum(left, rest[0]), quiet + rest[2])
-                at = int(np.argmax(room))
-                take = int(room[at])
+                best = np.minimum(np.minimum(left, rest), quiet + rest_loss)
+                at = int(best.argmax())
+                take = int(best[at])
                 if not take:
                     break
-            yield int(self.key[at]), int(self.start[at]), take, self.sequence, offset, take == left[at]
-            loss = max(0, take - int(quiet[at]))
-            rest -= (take, 1, loss)
-            offset += take
+            took.append((at, take, int(quiet[at])))
+            rest_loss -= max(0, take - int(quiet[at]))
+            rest -= take
+            room -= 1
             self.start[at] += take
-            self.left[at] -= take
-            self.quiet[at] = max(0, int(quiet[at]) - take)
-            if not self.left[at]:
-                self.n -= 1
-                for a in (self.key, self.start, self.left, self.quiet):
-                    a[at] = a[self.n]
+            left[at] -= take
+            quiet[at] = max(0, int(quiet[at]) - take)
+            loud[at] = left[at] - quiet[at]
+        whole = limit - rest
+        whole = whole if whole == tokens else 1 << whole.bit_length() - 1
+        for at, take, was in took:
+            keep = min(take, whole - offset)
+            if back := take - keep:
+                self.start[at] -= back
+                left[at] += back
+                quiet[at] = max(0, was - keep)
+            if keep:
+                yield int(self.key[at]), int(self.start[at]) - keep, keep, self.sequence, offset, not left[at]
+                offset += keep
         self.sequence += 1
+        self.total -= offset
+        alive = np.flatnonzero(left)
+        if len(alive) < n:
+            for a in (self.key, self.start, self.left, self.quiet):
+                a[: len(alive)] = a[:n][alive]
+            self.n = len(alive)
 
 
-def _pack(path: str, end_id: int, tokens: int, segments: int, loss: int, schema: pa.Schema):
+def _pack(path: str, end_id: int, tokens: int, segments: int, loss: int, share: float, schema: pa.Schema):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +194,7 @@ def _pack(path: str, end_id: int, tokens: int, segments: int, loss: int, schema:
                 for doc, text, quiet in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     ids = memoryview(words.encode(text) + end)
                     held[count] = (doc, ids)
-                    packer.add(count, len(ids) // 4, quiet)
+                    packer.add(count, len(ids) // 4, max(quiet, int(share * (len(ids) // 4))))
                     count += 1
                     if packer.full():
                         drain(False)
@@ -171,13 +207,13 @@ def _pack(path: str, end_id: int, tokens: int, segments: int, loss: int, schema:
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, tokens: int = 4096, segments: int = 1024, loss_tokens: int | None = None, quiet: Column | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pack every document's ids (with added tokens in the text as their own ids) and ``end_id`` into sequences. A row for each piece: (``id_col``, start, length,
-    ids_crc32, doc_tokens, sequence_id, offset).
+def pack(docs: DataFrame, tokenizer_path: str, tokens: int = 4096, segments: int = 1024, loss_tokens: int | None = None, quiet: Column | None = None, quiet_share: float = 0.0, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pack every document's ids (with added tokens in the text as their own ids) and ``end_id`` into sequences. A row
+    for each piece: (``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     ``segments`` and ``loss_tokens`` limit a sequence's pieces and loss-bearing tokens (by default all its tokens);
     ``quiet`` is the number of leading tokens of a document without loss, such as a prompt's (by default 0, as for
-    null or negative numbers). A null text counts as empty and gives its end id alone; null ids are kept; repeated
+    null or negative numbers), and ``quiet_share`` the least share of its tokens that are such. A null text counts as empty and gives its end id alone; null ids are kept; repeated
     rows are packed as often as they occur; a long text takes as many sequences as it needs; no rows give no rows.
     """
     python_path(docs.sparkSession)
@@ -191,4 +227,4 @@ def pack(docs: DataFrame, tokenizer_path: str, tokens: int = 4096, segments: int
         F.greatest(F.coalesce(quiet if quiet is not None else F.lit(0), F.lit(0)).cast("bigint"), F.lit(0)).alias("quiet"),
     )
     out = ", ".join([f"`{id_col}` {'string' if head == pa.string() else 'bigint'}", *(f"{n} bigint" for n in names)])
-    return rows.mapInArrow(_pack(tokenizer_path, end_id, tokens, segments, loss_tokens or tokens, schema), out)
+    return rows.mapInArrow(_pack(tokenizer_path, end_id, tokens, segments, loss_tokens or tokens, quiet_share, schema), out)

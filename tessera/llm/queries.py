@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ..runtime import read
+from ..runtime import read, spread
 from . import pii_bootstrap, quality_pu, toxicity
 from .jaccard_join import jaccard_components
 from .line_spread import remove_boilerplate
@@ -20,16 +20,25 @@ from .pivot_index import top_k
 from .warc_revisit import round_trip
 
 
+# A quarter of a document counts as its prompt, which bears no loss; a sequence holds 16 pieces and 3,072 loss-bearing
+# tokens at most (on average a full sequence has 9 pieces and somewhat over 3,072 such tokens).
+PACKING = {"tokens": 4096, "segments": 16, "loss_tokens": 3072, "quiet_share": 0.25}
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return digests(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_components(_documents(spark, sf_dir))
 
 
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_pu.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+    return quality_pu.score(_documents(spark, sf_dir), read(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,27 +46,27 @@ def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), **PACKING)
 
 
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_digests(read(spark, sf_dir, "documents"))
+    return text_digests(_documents(spark, sf_dir))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.5)
+    return toxicity.score(_documents(spark, sf_dir), read(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_bootstrap.extract(read(spark, sf_dir, "documents"))
+    return pii_bootstrap.extract(_documents(spark, sf_dir))
 
 
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return round_trip(spread(read(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_boilerplate(read(spark, sf_dir, "documents"))
+    return remove_boilerplate(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

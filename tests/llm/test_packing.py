@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import WordTokens, pack
+from tessera.llm.packing import Packer, WordTokens, pack
+from tessera.llm.queries import PACKING, op5_vector_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -77,7 +78,48 @@ def test_all_three_limits_hold(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string, start int")
     pieces = pack(docs, PATH, tokens=512, segments=6, loss_tokens=400, quiet=F.lit(20)).collect()
-    check(rows, pieces, 512, 6, 400, 20)
+    assert check(rows, pieces, 512, 6, 400, 20) == 0
+
+
+def test_each_limit_of_the_query_binds(spark):
+    by_sequence = defaultdict(list)
+    for p in op5_vector_packing(spark, "/root/testdata/sf0.01").collect():
+        quiet = int(PACKING["quiet_share"] * p.doc_tokens)
+        by_sequence[p.sequence_id].append((p.length, max(0, p.start + p.length - max(p.start, quiet))))
+    sums = [(sum(n for n, _ in ps), len(ps), sum(loss for _, loss in ps)) for ps in by_sequence.values()]
+    most = tuple(max(s[k] for s in sums) for k in range(3))
+    assert most == (PACKING["tokens"], PACKING["segments"], PACKING["loss_tokens"])
+    assert all(n == 4096 or n & (n - 1) == 0 for n, _, _ in sums)
+    assert len(sums) <= 1.12 * sum(n for n, _, _ in sums) / 4096 + 8 * 12  # each of eight tasks ends in short ones
+
+
+def test_packer_by_brute_force():
+    """Every piece is the example of the largest product among those that fit, from the same pool."""
+    rng, limits = random.Random(12), (64, 5, 40)
+    packer = Packer(*limits, pool=1000)
+    pool = [[k, 0, n := rng.randrange(1, 50), rng.randrange(0, n + 1)] for k in range(300)]
+    for k, _, n, q in pool:
+        packer.add(k, n, q)
+    pieces = defaultdict(list)
+    for key, start, length, sequence, offset, _ in packer.rows(True):
+        pieces[sequence].append((key, start, length, offset))
+    for sequence in sorted(pieces):
+        left = [x for x in pool if x[2]]
+        total, loud = sum(x[2] for x in left), sum(x[2] - x[3] for x in left)
+        limit = 64 if total >= 64 else 1 << total.bit_length() - 1
+        rest, rest_loss, at = limit, 40, 0
+        for key, start, length, offset in pieces[sequence]:
+            fit = [x for x in pool if 0 < x[2] <= rest and x[2] - x[3] <= rest_loss]
+            product = lambda x: x[2] / 64 * (total / 64) * (rest / 64) + (x[2] - x[3]) / 40 * (loud / 40) * (rest_loss / 40)  # noqa: E731, B023
+            own = next(x for x in pool if x[0] == key)
+            assert own[1] == start and offset == at
+            if fit:
+                assert product(own) >= max(map(product, fit)) - 1e-9 or length < own[2]
+            loss = max(0, length - own[3])
+            own[1], own[2], own[3] = own[1] + length, own[2] - length, max(0, own[3] - length)
+            rest, rest_loss, at = rest - length, rest_loss - loss, at + length
+        assert len(pieces[sequence]) <= 5 and rest_loss >= 0 and rest >= 0 and (at == 64 or at & (at - 1) == 0)
+    assert all(x[2] == 0 for x in pool)
 
 
 def test_added_tokens_in_a_text_as_the_unmodified_library(spark):
