@@ -18,7 +18,8 @@ from tessera.llm.line_spread import strip_boilerplate
 from tessera.llm.packing import pack
 from tessera.llm.pii_bootstrap import redact
 from tessera.llm.quality_pu import keep_good
-from tessera.runtime import read, shared_folder
+from tessera.llm.queries import PACKING
+from tessera.runtime import read, shared_folder, spread
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -46,8 +47,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), tokens=4096)
+    """Pieces of sequences of at most 4096 tokens, 16 pieces and 3,072 loss-bearing tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), **PACKING)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -63,7 +64,7 @@ ORACLE_SQL = None  # the classifier, the components and the packing have no SQL
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
