@@ -47,7 +47,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens, 16 pieces and 3,072 loss-bearing tokens."""
+    """Pieces of sequences of at most 4096 tokens, 12 pieces and 3,072 loss-bearing tokens."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), **PACKING)
 
 
