@@ -2,8 +2,8 @@
 
 ``probe`` reads a stream as a player would: it skips an ID3v2 tag, takes off an ID3v1 tag after the frames, finds frame
 headers (resynchronising where a header isn't followed by another or by the end), reads the variable-bitrate table of
-a Xing, Info or VBRI frame, verifies the CRC-16 of protected Layer III frames, and gives exact durations as a count of
-samples with the offset of every frame. ``store`` carries bytes in the main-data area of silent, CRC-protected MPEG-1
+a Xing, Info or VBRI frame, verifies the CRC-16 of protected frames of all three layers, and gives exact durations as a
+count of samples with the offset of every frame. Frames of free format get their length from the next frame header. ``store`` carries bytes in the main-data area of silent, CRC-protected MPEG-1
 Layer III frames of 48 kHz mono at a variable bitrate (each frame lasts 24 ms); ``load`` reads them back.
 """
 
@@ -14,7 +14,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +55,52 @@ def crc16(data: bytes) -> int:
     return c
 
 
+# Fixed values of ISO 11172-3 (tables 3-B.2a to d) and 13818-3: bits of each subband's allocation in Layer II.
+ALLOCATION = {
+    "high": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "low": (4,) * 2 + (3,) * 10,
+    "half": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def _bits_protected(h: Header, data: bytes) -> int | None:
+    """Bits behind the checksum that it covers in Layers I and II, from a frame's bytes behind the checksum."""
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        return 128 if channels == 1 else 4 * (32 + h.bound)
+    each = h.bitrate // 1000 // channels
+    if h.version != 3:
+        table = ALLOCATION["half"]
+    elif each in (32, 48):
+        table = ALLOCATION["low"][: 12 if h.rate == 32000 else 8]
+    else:
+        table = ALLOCATION["high"][: 30 if h.rate != 48000 and each >= 96 else 27]
+    bits, at, picked = int.from_bytes(data[:64], "big"), 0, 0
+    total = 8 * len(data[:64])
+    for band, n in enumerate(table):
+        for channel in range(channels):
+            if channel and band >= h.bound:  # one allocation for both channels, a selection for each
+                picked += bool(value)
+                continue
+            if at + n > total:
+                return None
+            value = bits >> total - at - n & (1 << n) - 1
+            at += n
+            picked += bool(value)
+    return at + 2 * picked
+
+
+def crc16_bits(data: bytes, count: int, start: int = 0xFFFF) -> int:
+    """The checksum over the first ``count`` bits."""
+    c = start
+    for b in data[: count // 8]:
+        c = (c << 8 & 0xFFFF) ^ _CRC[c >> 8 ^ b]
+    for i in range(count % 8):
+        bit = data[count // 8] >> 7 - i & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ bit else 0)
+    return c
+
+
 @dataclass(frozen=True)
 class Header:
     version: int
@@ -63,8 +109,10 @@ class Header:
     bitrate: int
     rate: int
     mono: bool
-    length: int
+    length: int  # 0 in free format
     samples: int
+    pad: int = 0
+    bound: int = 32  # the first subband that the channels of joint stereo share
 
     @property
     def side(self) -> int:
@@ -80,7 +128,7 @@ def header(four: bytes) -> Header | None:
         return None
     version, layer = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3)
     index, rate = four[2] >> 4, four[2] >> 2 & 3
-    if version == 1 or layer == 4 or index in (0, 15) or rate == 3 or four[3] & 3 == 2:
+    if version == 1 or layer == 4 or index == 15 or rate == 3 or four[3] & 3 == 2:
         return None
     bitrate, hertz, pad = BITRATES[version == 3, layer][index] * 1000, RATES[version][rate], four[2] >> 1 & 1
     if layer == 1:
@@ -88,8 +136,33 @@ def header(four: bytes) -> Header | None:
     else:
         samples = 576 if layer == 3 and version != 3 else 1152
         length = samples // 8 * bitrate // hertz + pad
-    return Header(version, layer, not four[1] & 1, bitrate, hertz, four[3] >> 6 == 3, length, samples)
-
+    bound = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 and layer != 3 else 32
+    slot = pad * 4 if layer == 1 else pad
+    return Header(version, layer, not four[1] & 1, bitrate, hertz, four[3] >> 6 == 3, length if index else 0, samples, slot, bound)
+
+
+def _free_length(data: bytes, at: int, h: Header, end: int) -> int:
+    """The length of a frame of free format without its padding: up to the next header of the same stream."""
+    nxt = data.find(data[at : at + 2], at + 24, end)
+    while 0 <= nxt < at + 8192:
+        other = header(data[nxt : nxt + 4])
+        if other and not other.length and (other.rate, other.mono) == (h.rate, h.mono):
+            return nxt - at - h.pad
+        nxt = data.find(data[at : at + 2], nxt + 1, end)
+    return 0
+
+
+def _checked(data: bytes, at: int, h: Header) -> bool:
+    """Whether a protected frame's checksum is right."""
+    if h.layer == 3:
+        own = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side])
+    else:
+        body = data[at + 6 : at + 134]
+        count = _bits_protected(h, body)
+        if count is None or count > 8 * len(body):
+            return False
+        own = crc16_bits(data[at + 2 : at + 4] + body, 16 + count)
+    return own == int.from_bytes(data[at + 4 : at + 6], "big")
 
 @dataclass
 class Stream:
@@ -111,6 +184,13 @@ class Stream:
         """The exact duration as a fraction."""
         return self.samples, self.rate or 1
 
+    def seek_by_table(self, sample: int) -> int | None:
+        """The offset that a player without the frame offsets goes to: the Xing table's hundredth of the stream."""
+        toc = (self.table or {}).get("toc")
+        if not toc or not 0 <= sample < self.samples or "bytes" not in self.table:
+            return None
+        return self.table["at"] + toc[sample * 100 // self.samples] * self.table["bytes"] // 256
+
     def seek(self, sample: int) -> int | None:
         """The offset of the frame that holds a sample (all frames of one length in samples)."""
         if not self.offsets or not 0 <= sample < self.samples:
@@ -141,7 +221,7 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
     x = at + 4 + 2 * h.protected + h.side
     if data[x : x + 4] in (b"Xing", b"Info"):
         flags, x = int.from_bytes(data[x + 4 : x + 8], "big"), x + 8
-        out: dict = {"kind": "xing"}
+        out: dict = {"kind": "xing", "at": at}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
                 out[name] = int.from_bytes(data[x : x + 4], "big")
@@ -161,9 +241,12 @@ def probe(data: bytes) -> Stream:
     end = len(data)
     if data[-128:-125] == b"TAG" and end - at >= 128:
         end -= 128
-    locked = False
+    locked, free = False, 0
     while at < end:
         h = header(data[at : at + 4])
+        if h and not h.length:
+            free = free if locked and free else _free_length(data, at, h, end)
+            h = replace(h, length=free + h.pad) if free else None
         after = at + h.length if h else 0
         # A frame that reaches over the tag's start, up to the end or another frame, holds these bytes: there's no tag.
         if end < after <= len(data) and (after == len(data) or header(data[after : after + 4])):
@@ -176,10 +259,9 @@ def probe(data: bytes) -> Stream:
         locked = True
         body = at + 4
         if h.protected:
-            if h.layer == 3:
-                good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
-                out.crc_good += good
-                out.crc_bad += not good
+            good = _checked(data, at, h)
+            out.crc_good += good
+            out.crc_bad += not good
             body += 2
         if not out.offsets and out.table is None and (table := _table(data, at, h)):
             out.table = table

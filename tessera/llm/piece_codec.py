@@ -26,10 +26,64 @@ from ..runtime import python_path
 from .memory import Memory
 
 SPACE = "▁"
+# Fixed values of the model file: piece types, and the number of the BPE model type.
+NORMAL, USER_DEFINED, UNUSED, BPE = 1, 4, 5, 2
 REMEMBERED = 300_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffers message; values of fixed width as bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                return out
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or number()
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def refused(model: bytes) -> str | None:
+    """Why a model can't be encoded by merging alone: it isn't of the merge type, or has pieces that are taken before
+    merging (user-defined) or taken apart after it (unused)."""
+    kinds, model_type = set(), 1
+    for field, value in _fields(model):
+        if field == 1:
+            kinds.add(dict(_fields(value)).get(3, NORMAL))
+        elif field == 2:
+            model_type = dict(_fields(value)).get(3, model_type)
+    if model_type != BPE:
+        return "the model isn't of the merge type (BPE)"
+    return "the model has user-defined or unused pieces" if kinds & {USER_DEFINED, UNUSED} else None
+
+
+def _utf8(data: bytes) -> str:
+    """Bytes as text; each byte that is part of no character becomes one U+FFFD."""
+    out, at = [], 0
+    while at < len(data):
+        try:
+            out.append(data[at:].decode())
+            break
+        except UnicodeDecodeError as e:
+            out.append(data[at : at + e.start].decode() + "\ufffd")
+            at += e.start + 1
+    return "".join(out)
+
+
 class PieceCodec:
     def __init__(self, model_path: str):
         import ahocorasick
@@ -37,6 +91,8 @@ class PieceCodec:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
         sp, n = self.library, self.library.get_piece_size()
+        if why := refused(sp.serialized_model_proto()):
+            raise ValueError(f"{model_path}: {why}")
         self.byte_ids, self.score, self.ids = {}, {}, {}
         self.surface: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
@@ -56,6 +112,11 @@ class PieceCodec:
                 self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.unknown = sp.unk_id()
+        spec = next((dict(_fields(v)) for f, v in _fields(sp.serialized_model_proto()) if f == 3), {})
+        self.strips_all = bool(spec.get(4, 1))  # the model drops extra spaces
+        self.strips = bool(spec.get(3, 1)) or self.strips_all  # or puts one before a text
+        self.byte_of = {str(i): b for b, i in self.byte_ids.items()}
+        self.plain = {str(i) for i in self.ids.values()}
         known = "".join(re.escape(p) for p in self.ids if len(p) == 1)
         self.known = re.compile(f"[{known}]+|[^{known}]")
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
@@ -155,15 +216,38 @@ class PieceCodec:
         return ",".join(map(self.words.__getitem__, _CHUNK.findall(text)))
 
     def decode_joined(self, ids: str) -> str:
+        """The text of decimal ids joined by commas, as the library decodes them."""
         if not ids:
             return ""
-        text = "".join(map(self.surface.__getitem__, ids.split(",")))
-        text = text[1:] if text[:1] == " " else text
-        try:
-            text.encode()
-        except UnicodeEncodeError:
-            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-        return text
+        each = ids.split(",")
+        if each[0] in self.plain and not (self.strips_all and self.surface[each[0]] == " "):
+            text = "".join(map(self.surface.__getitem__, each))
+            text = text[1:] if text[:1] == " " and self.strips else text
+            try:
+                text.encode()
+                return text
+            except UnicodeEncodeError:
+                pass
+        return self.decode_pieces(each)
+
+    def decode_pieces(self, ids: list[str]) -> str:
+        """The space mark of a piece goes while nothing stands before it; runs of byte pieces are read together."""
+        out: list[str] = []
+        held, bare = bytearray(), True
+        for i in ids:
+            if i in self.byte_of:
+                held.append(self.byte_of[i])
+                continue
+            if held:
+                out.append(_utf8(bytes(held)))
+                held.clear()
+            bare = bare and not any(out)
+            surface = self.surface[i]
+            if bare and self.strips and i in self.plain and surface[:1] == " ":
+                surface, bare = surface[1:], self.strips_all
+            out.append(surface)
+        out.append(_utf8(bytes(held)))
+        return "".join(out)
 
 
 @functools.cache

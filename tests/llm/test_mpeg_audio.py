@@ -2,7 +2,7 @@ import hashlib
 import random
 import zlib
 
-from tessera.llm.mpeg_audio import inspect, load, probe, store, store_texts, text_digests
+from tessera.llm.mpeg_audio import crc16, crc16_bits, header, inspect, load, probe, store, store_texts, text_digests
 
 
 def test_round_trip_of_any_bytes():
@@ -56,3 +56,47 @@ def test_columns(spark):
     stored = inspect(store_texts(docs))
     assert [r.media_sha256 for r in stored.collect()] == [r.media_sha256 for r in got]
     assert text_digests(docs.limit(0)).collect() == []
+
+
+def test_a_tag_at_every_offset_and_random_payloads():
+    rng = random.Random(2)
+    for n in range(64, 2049, 64):
+        for at in range(0, n - 2, 1 if n <= 512 else 7):
+            payload = bytes(at) + b"TAG" + bytes(n - at - 3)
+            assert load(store(payload))[0] == payload, (n, at)
+    for _ in range(5000):
+        payload = bytearray(rng.randbytes(64 * rng.randrange(1, 33)))
+        if rng.random() < 0.7:
+            at = rng.randrange(len(payload) - 2)
+            payload[at : at + 3] = b"TAG"
+        assert load(store(bytes(payload)))[0] == bytes(payload)
+
+
+def frames(start, length, count, covered, rng):
+    """Frames of one header whose checksum covers ``covered`` bits behind it, and the last one's checksum broken."""
+    out = b""
+    for k in range(count):
+        body = bytes(32) + rng.randbytes(length - 6 - 32)
+        crc = crc16_bits(start[2:4] + body, 16 + covered) ^ (k == count - 1)
+        out += start + crc.to_bytes(2, "big") + body
+    return out
+
+
+def test_checksums_of_layers_one_and_two():
+    rng = random.Random(4)
+    assert crc16_bits(b"abcdef", 48) == crc16(b"abcdef")
+    # Layer II, 48 kHz, 192 kbit/s: stereo allocates 27 subbands; joint stereo shares those from the fourth on.
+    high = 11 * 4 + 12 * 3 + 4 * 2
+    for four, covered in ((b"\xff\xfc\xa4\x00", 2 * high), (b"\xff\xfc\xa4\x40", 2 * 16 + high - 16), (b"\xff\xfc\xa4\xc0", high), (b"\xff\xfe\x84\x00", 256), (b"\xff\xfe\x84\xc0", 128), (b"\xff\xfe\x84\x50", 4 * 40)):
+        stream = probe(frames(four, header(four).length, 5, covered, rng))
+        assert (len(stream.offsets), stream.crc_good, stream.crc_bad) == (5, 4, 1), four
+
+
+def test_free_format_and_seeking_by_table():
+    four = b"\xff\xfb\x00\xc4"
+    stream = probe((four + bytes(96)) * 20)
+    assert len(stream.offsets) == 20 and set(stream.lengths[:-1]) == {100} and stream.skipped == 0
+    media = store(bytes(range(256)) * 2000)
+    clean = probe(media)
+    for sample in range(0, clean.samples, 1000):
+        assert abs(clean.seek_by_table(sample) - clean.seek(sample)) < len(media) / 50

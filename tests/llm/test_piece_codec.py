@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from tessera.llm.piece_codec import PieceCodec, decode, digests, encode
+from tessera.llm.piece_codec import PieceCodec, decode, digests, encode, refused
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -50,3 +50,23 @@ def test_operators(spark):
     assert [(r.doc_id, r.text) for r in decode(encoded, MODEL).collect()] == [(i, library.decode(library.encode(t or ""))) for i, t, *_ in rows]
     assert [r.n_tokens for r in digests(docs, MODEL).collect()] == [len(library.encode(t or "")) for _, t, *_ in rows]
     assert digests(docs.limit(0), MODEL).collect() == []
+
+
+def test_decode_of_any_ids_as_the_library(both):
+    ours, library = both
+    rng = random.Random(5)
+    odd = [0, 1, 2, *ours.byte_ids.values(), *(library.piece_to_id("▁" * n) for n in (1, 2, 4))]
+    for _ in range(20_000):
+        some = [rng.choice(odd) if rng.random() < 0.5 else rng.randrange(library.get_piece_size()) for _ in range(rng.randrange(8))]
+        assert ours.decode_joined(",".join(map(str, some))) == library.decode(some), some
+
+
+def test_models_of_other_kinds_are_refused(both):
+    def message(number, value):
+        return bytes([number << 3 | 2, len(value)]) + value
+
+    def model(kind, *types):
+        return b"".join(message(1, message(1, b"a") + bytes([3 << 3, t])) for t in types) + message(2, bytes([3 << 3, kind]))
+
+    assert refused(both[1].serialized_model_proto()) is None and refused(model(2, 1, 2, 3, 6)) is None
+    assert "BPE" in refused(model(1, 1)) and "user-defined" in refused(model(2, 1, 4)) and "unused" in refused(model(2, 5))
