@@ -1,11 +1,24 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled documents; the other class is only seen mixed into unlabelled web text. A first model
-tells the two samples apart and, on halves it wasn't fitted on, the best bin of its scores gives the share of positives
-among the unlabelled: the smallest ratio of the two tail shares, with a margin for their sampling error. The model then
-minimises the non-negative unbiased risk
-    prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),   l the logistic loss,
-stepping the other way where the second term falls below zero. g is additive over quantile bins of text statistics.
+Trusted positives are labelled documents; the unlabelled class is the whole corpus, good and bad mixed. Which documents
+carry a label, and what a label of 0 says, is never used.
+
+Models are additive over quantile bins of text statistics and fitted on folds of the positives, each against one sample
+of the corpus. A positive is ranked by the model that hasn't seen it: its rank is the share of documents that score
+lower. The class prior is the share of documents above a rank over the share of positives above it, at the rank where
+the upper end of that ratio's sampling error is least.
+
+1. Models that tell positives from the corpus give a first prior.
+2. With it, models g minimise the non-negative unbiased risk
+       prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),   l the logistic loss,
+   stepping the other way where the second term falls below zero.
+3. Their ranks among *all* documents, from counts over the whole corpus, give the final prior and the score: the function
+   of the rank, rising by steps, that minimises the same risk over the counts of all documents and all positives:
+   prior * (positives' density) / (documents' density), pooled where it would fall, and no more than 1, where the
+   second term would go below zero.
+
+Only labelled rows and the sample that shapes the statistics' weights are bounded; ranks, prior and scores come from
+counts of all rows.
 """
 
 from __future__ import annotations
@@ -18,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import python_path
-from .labelled import labelled_sample, least_hashed, score_texts, texts_of
+from ..runtime import durable, python_path
+from .labelled import held_out, labelled_sample, least_hashed
 from .shingles import U64, word_hashes
 
-SAMPLE = 20_000  # most positives, and most unlabelled documents, to fit on
+SAMPLE = 20_000  # most positives, and most documents of the corpus, to fit weights on
 BINS = 32
+FOLDS = 4
+RANKS = 1024
 
 _KINDS = np.full(256, 7)
 for _k, _chars in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\v\f\r", b"\n", b".,;:'\"()-?", b"!"]):
@@ -53,101 +68,199 @@ def statistics(text: str) -> np.ndarray:
     return out
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def _columns(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Indices into the weights, one a statistic."""
+    return np.stack([np.searchsorted(e, x[:, j], side="right") + j * BINS for j, e in enumerate(edges)], 1)
+
+
+def _descend(slopes, cp: np.ndarray, cu: np.ndarray, size: int, decay: float, rounds: int = 400, rate: float = 0.1) -> np.ndarray:
+    """Adam over weights by bin, all rows at once. ``slopes`` gets the two samples' logits and gives the loss's slope in
+    each of them."""
+    w = np.zeros(size)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    flat, each = np.concatenate([cp, cu]).ravel(), cp.shape[1]
+    for t in range(1, rounds + 1):
+        g = w[flat].reshape(-1, each).sum(1)
+        slope = np.concatenate(slopes(g[: len(cp)], g[len(cp) :]))
+        grad = np.bincount(flat, np.repeat(slope, each), size) + decay * w
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _told_apart(gp: np.ndarray, gu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the logistic loss between the samples, each with half the weight."""
+    return -_sigmoid(-gp) / 2 / len(gp), _sigmoid(gu) / 2 / len(gu)
+
+
+def _unbiased(prior: float):
+    """Slopes of the non-negative unbiased risk."""
+
+    def slopes(gp: np.ndarray, gu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        of_p, of_u = -prior * _sigmoid(gp) / len(gp), _sigmoid(gu) / len(gu)
+        return (of_p - prior * _sigmoid(-gp) / len(gp), of_u) if negative >= 0 else (-of_p, -of_u)
+
+    return slopes
+
+
+def estimate_prior(ranks: np.ndarray) -> tuple[float, float]:
+    """(share of positives in the corpus, its standard error) of positives' ranks among all documents."""
+    cuts = np.linspace(0, 0.95, 96)
+    above = np.array([(ranks >= c).mean() for c in cuts])
+    ratio = (1 - cuts) / np.maximum(above, 1e-9)
+    error = ratio * np.sqrt((1 - above) / np.maximum(above * len(ranks), 1e-9)) + 1 / len(ranks)
+    best = int(np.argmin(ratio + 2 * error))
+    return float(np.clip(ratio[best], 0.01, 1.0)), float(error[best])
+
+
+def rising(ranks: np.ndarray, counts: np.ndarray, prior: float) -> np.ndarray:
+    """The score of each bin of ranks that minimises the risk; ``counts`` are those of all documents by bin, and bins
+    are dealt to positives by ``ranks``."""
+    total = max(counts.sum(), 1)
+    ends = np.cumsum(counts) / total
+    positive = np.bincount(np.minimum(np.searchsorted(ends, ranks, side="right"), len(counts) - 1), minlength=len(counts)) / len(ranks)
+    blocks: list[list[float]] = []  # positives, documents, bins
+    for p, u in zip(prior * positive, counts / total, strict=True):
+        blocks.append([p, u, 1])
+        while len(blocks) > 1 and blocks[-1][0] * blocks[-2][1] <= blocks[-2][0] * blocks[-1][1]:
+            last = blocks.pop()
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], last, strict=True)]
+    return np.concatenate([np.full(int(n), min(1.0, p / u) if u else 0.0) for p, u, n in blocks])
+
+
 @dataclass
 class PuModel:
+    """``weights`` by fold; ``knots`` cut the mean model's scores into bins of ``values``."""
+
     edges: np.ndarray
     weights: np.ndarray
-    bias: float
+    knots: np.ndarray
+    values: np.ndarray
     prior: float
+    prior_error: float = 0.0
 
-    def columns(self, x: np.ndarray) -> np.ndarray:
-        """Indices into the weights, one a feature."""
-        x = np.atleast_2d(x)
-        return np.stack([np.searchsorted(e, x[:, j], side="right") + j * BINS for j, e in enumerate(self.edges)], 1)
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        """A row for each fold's model and one for their mean."""
+        found = self.weights[:, _columns(x, self.edges)].sum(2)
+        return np.concatenate([found, found.mean(0, keepdims=True)])
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.weights[self.columns(x)].sum(1) + self.bias
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.values) or not len(x):
+            return np.full(len(x), 0.5)
+        g = self.logits(x)[-1]
+        within = _sigmoid(g)  # keeps the order of documents within a step
+        return 0.999 * self.values[np.searchsorted(self.knots, g, side="right")] + 0.001 * within
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(statistics(text))[0], -60, 60))))
+        return float(self.scores(statistics(text)[None])[0])
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+NONE = PuModel(np.zeros((14, BINS - 1)), np.zeros((FOLDS, 14 * BINS)), np.zeros(0), np.zeros(0), 0.5)
 
 
-def _descend(cp: np.ndarray, cu: np.ndarray, size: int, prior: float | None, rounds: int = 1500, rate: float = 0.1, decay: float = 2e-5):
-    """Adam on all rows at once; without a prior the plain logistic loss between the samples."""
-    w = np.zeros(size + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
+def fit_weights(positive: np.ndarray, corpus: np.ndarray) -> PuModel:
+    """Weights of each fold, and knots, from rows of ``statistics``; positives are dealt to folds by position."""
+    if not len(positive) or not len(corpus):
+        return NONE
+    edges = np.quantile(np.concatenate([positive, corpus]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+    cp, cu, size = _columns(positive, edges), _columns(corpus, edges), len(edges) * BINS
+    fold = np.arange(len(cp)) % FOLDS
 
-    def push(c: np.ndarray, per_row: np.ndarray) -> np.ndarray:
-        g = np.bincount(c.ravel(), np.repeat(per_row, c.shape[1]), size).astype(float)
-        return np.append(g, per_row.sum()) / len(c)
+    def by_fold(slopes, decay: float) -> PuModel:
+        weights = np.stack([_descend(slopes, cp[fold != k] if (fold != k).any() else cp, cu, size, decay) for k in range(FOLDS)])
+        return PuModel(edges, weights, np.zeros(0), np.zeros(0), 0.5)
 
-    for t in range(1, rounds + 1):
-        gp, gu = w[cp].sum(1) + w[-1], w[cu].sum(1) + w[-1]
-        if prior is None:
-            grad = push(cp, -_sigmoid(-gp)) + push(cu, _sigmoid(gu))
-        else:
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            of_negative = push(cu, _sigmoid(gu)) - prior * push(cp, _sigmoid(gp))
-            grad = prior * push(cp, -_sigmoid(-gp)) + of_negative if negative >= 0 else -of_negative
-        grad[:-1] += decay * w[:-1]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, of scores of rows that the scoring model wasn't fitted on."""
-    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.9, 91)))
-    tail_p = np.array([(positive >= c).mean() for c in cuts])
-    tail_u = np.array([(unlabelled >= c).mean() for c in cuts])
-    margin = np.sqrt(np.log(40) / 2 / len(positive)) + np.sqrt(np.log(40) / 2 / len(unlabelled))
-    best = np.argmin((tail_u + margin) / tail_p)
-    # A prior above the truth would leave nothing to learn from the second term, so the error goes below it.
-    return float(np.clip((tail_u[best] - np.sqrt(np.log(40) / 2 / len(unlabelled))) / tail_p[best], 0.01, 0.99))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> PuModel:
-    """Rows of ``statistics``. Without positives or without unlabelled rows every score is one half."""
-    both = np.concatenate([positive, unlabelled]) if len(positive) and len(unlabelled) else np.zeros((0, 14))
-    if not len(both):
-        return PuModel(np.zeros((14, BINS - 1)), np.zeros(14 * BINS), 0.0, 0.5)
-    edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    model = PuModel(edges, np.zeros(len(edges) * BINS), 0.0, 0.5)
-    cp, cu, size = model.columns(positive), model.columns(unlabelled), len(edges) * BINS
-    if prior is None:
-        guesses = []
-        for half in (0, 1):
-            w, b = _descend(cp[half::2], cu[half::2], size, None) if len(cp) > 1 and len(cu) > 1 else _descend(cp, cu, size, None)
-            p, u = (cp[1 - half :: 2], cu[1 - half :: 2]) if len(cp) > 1 and len(cu) > 1 else (cp, cu)
-            guesses.append(estimate_prior(w[p].sum(1) + b, w[u].sum(1) + b))
-        prior = float(np.mean(guesses))
-    model.weights, model.bias = _descend(cp, cu, size, prior)
-    model.prior = prior
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> PuModel:
-    """Fit on at most ``sample`` documents labelled 1 that aren't held out, and at most ``sample`` without a label."""
+    first = by_fold(_told_apart, 1e-2)
+    return by_fold(_unbiased(_finish_in_memory(first, positive, corpus).prior), 1e-4)
+
+
+def cuts(model: PuModel, corpus: np.ndarray) -> np.ndarray:
+    """Bin ends of each model's scores, a row for each of ``logits``."""
+    return np.quantile(model.logits(corpus), np.linspace(0, 1, RANKS + 1)[1:-1], axis=1).T
+
+
+def finish(model: PuModel, ends: np.ndarray, counts: np.ndarray, positive: np.ndarray) -> PuModel:
+    """Prior and score of each rank; ``counts`` are those of all documents by model and bin of ``ends``."""
+    logits, fold = model.logits(positive), np.arange(len(positive)) % FOLDS
+    shares = np.cumsum(counts, 1) / np.maximum(counts.sum(1, keepdims=True), 1)
+    ranks = np.empty(len(positive))
+    for k in range(FOLDS):
+        at = np.searchsorted(ends[k], logits[k, fold == k], side="right")
+        ranks[fold == k] = shares[k, at] - counts[k, at] / np.maximum(counts[k].sum(), 1) / 2
+    prior, error = estimate_prior(ranks)
+    return PuModel(model.edges, model.weights, ends[-1], rising(ranks, counts[-1], prior), prior, error)
+
+
+def _finish_in_memory(model: PuModel, positive: np.ndarray, corpus: np.ndarray) -> PuModel:
+    ends = cuts(model, corpus)
+    counts = np.stack([np.bincount(np.searchsorted(e, g, side="right"), minlength=RANKS) for e, g in zip(ends, model.logits(corpus), strict=True)])
+    return finish(model, ends, counts, positive)
+
+
+def fit(positive: np.ndarray, corpus: np.ndarray) -> PuModel:
+    """All of ``train`` on rows of ``statistics`` in memory."""
+    model = fit_weights(positive, corpus)
+    return model if model is NONE else _finish_in_memory(model, positive, corpus)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, 14)
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, x binary) of each row: the statistics of its whole text, a null text as the empty one."""
     python_path(docs.sparkSession)
-    trusted = labelled_sample(labels.where(F.col(label_col) == 1), label_col, sample, id_col)
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
-    free = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).join(known, "id", "left_anti").distinct()
-    chosen = trusted.unionByName(least_hashed(free, sample).select("id", F.lit(0).alias("label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [statistics(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tolist() for r in x], pa.list_(pa.float64()))], names=["id", "label", "x"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = [statistics(t).astype("<f8").tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], names=["id", "held_out", "x"])
+
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, x binary")
 
-    rows = texts_of(docs, chosen, id_col, text_col).select("id", "label", "text").mapInArrow(run, "id long, label int, x array<double>").toPandas()
-    rows = rows.sort_values("id").drop_duplicates("id") if len(rows) else rows
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, 14)
-    is_trusted = rows["label"].to_numpy(dtype=int) == 1
-    return fit(x[is_trusted], x[~is_trusted])
+
+def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id") -> PuModel:
+    """Fit on ``features``: at most ``sample`` documents labelled 1 that aren't held out, weights on at most ``sample``
+    documents of the corpus (those with the smallest hash of the id), ranks on all. Of rows that repeat an id the one
+    with the smallest statistics is learned from."""
+    spark = python_path(found.sparkSession)
+    trusted = labelled_sample(labels.where(F.col(label_col) == 1), label_col, sample, id_col)
+    rows = found.where("id is not null").select(F.col("id").cast("long").alias("id"), "x")
+    every = least_hashed(rows.select("id").distinct(), sample)
+
+    def rows_of(ids: DataFrame) -> np.ndarray:
+        taken = rows.join(F.broadcast(ids.select("id")), "id").groupBy("id").agg(F.min("x").alias("x"))  # at most ``sample`` ids
+        table = taken.toPandas().sort_values("id")
+        return np.frombuffer(b"".join(map(bytes, table["x"])), dtype="<f8").reshape(-1, 14)
+
+    positive, corpus = rows_of(trusted), rows_of(every)
+    model = fit_weights(positive, corpus)
+    if model is NONE:
+        return NONE
+    ends = cuts(model, corpus)
+    sent = spark.sparkContext.broadcast((model, ends))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FOLDS + 1, RANKS), dtype=np.int64)
+        for batch in batches:
+            logits = sent.value[0].logits(_matrix(batch.column(0)))
+            for k, g in enumerate(logits):
+                total[k] += np.bincount(np.searchsorted(sent.value[1][k], g, side="right"), minlength=RANKS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+    counted = found.select("x").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # one row a bin
+    counts = np.zeros((FOLDS + 1) * RANKS, dtype=np.int64)
+    counts[[r["at"] for r in counted]] = [r["n"] for r in counted]
+    return finish(model, ends, counts.reshape(FOLDS + 1, RANKS), positive)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -156,14 +269,23 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: st
     Null texts are scored as empty ones; null ids count as held out; null labels are ignored; repeated rows come back
     as often as they occur; labels of unknown documents have no effect. Without labels every score is one half.
     Columns other than the id and the text are never read."""
-    model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
-    return score_texts(docs, model.score, threshold, id_col, text_col)
+    spark = python_path(docs.sparkSession)
+    found = durable(features(docs, id_col, text_col))
+    model = spark.sparkContext.broadcast(train(found, labels, id_col=id_col, **options))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.value.scores(_matrix(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return found.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``score`` predicts to be good, with all their columns."""
     spark = python_path(docs.sparkSession)
-    model = spark.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, **options))
+    model = spark.sparkContext.broadcast(train(durable(features(docs, id_col, text_col)), labels, id_col=id_col, **options))
 
     @F.pandas_udf("boolean")
     def good(texts):

@@ -1,7 +1,8 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A logistic model over the presence of words. The words that are worth a weight are chosen by Spark from all sampled
-documents (document counts by class). For every sampled document with identity terms, a counterfactual swaps each of
+documents (document counts by class): all that stand in three or more and differ between the classes by three standard
+errors, so there are at most as many as the sampled documents have words. For every sampled document with identity terms, a counterfactual swaps each of
 them for another term of its group; training adds strength * (g(x) - g(x'))^2 to the loss, so that the score of a text
 doesn't depend on which group it mentions, and terms carry no weight of their own beyond what their context explains.
 """
@@ -21,7 +22,6 @@ from .labelled import labelled_sample, score_texts, texts_of
 from .shingles import NO_LETTER, word_hashes
 
 SAMPLE = 20_000  # most labelled documents to fit on
-WORDS = 4_000  # most words with a weight, identity terms aside
 
 # Groups of identity terms (fixed values; a parameter of the functions below).
 IDENTITY = (
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
             found = [words(t).view(np.int64) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "label", "words"])
 
-    rows = texts_of(docs, chosen, id_col, text_col).dropDuplicates(["id"]).select("id", "label", "text")
+    rows = texts_of(docs, chosen, id_col, text_col).groupBy("id", "label").agg(F.min("text").alias("text"))  # of several texts the first in order
     rows = durable(rows.mapInArrow(run, "id long, label int, words array<long>"))
     totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
     n1, n0 = max(1, totals.p), max(1, totals.n - totals.p)
@@ -127,16 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
     share1, share0 = F.col("a") / n1, (F.col("c") - F.col("a")) / n0
     pooled = F.col("c") / (n1 + n0)
     z = F.abs(share1 - share0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    best = counts.where("c >= 3").withColumn("z", z).where("z >= 3").orderBy(F.desc("z"), "word").limit(WORDS).select("word")
+    best = counts.where("c >= 3").where(z >= 3).select("word")
     picked = np.array([r.word for r in best.collect()], dtype=np.int64).view(np.uint64)
     keys = np.unique(np.concatenate([picked, terms]))
-    sent = F.array(*[F.lit(int(x)) for x in keys.view(np.int64).tolist()]) if len(keys) <= 64 else None
-    if sent is None:
-        table = docs.sparkSession.createDataFrame([(int(x),) for x in keys.view(np.int64).tolist()], "word long")
-        kept = rows.select("id", "label", F.explode_outer("words").alias("word")).join(F.broadcast(table.withColumn("in", F.lit(True))), "word", "left")  # at most WORDS and the terms
-        kept = kept.groupBy("id", "label").agg(F.collect_set(F.when(F.col("in"), F.col("word"))).alias("words"))
-    else:
-        kept = rows.select("id", "label", F.array_intersect("words", sent).alias("words"))
+    table = docs.sparkSession.createDataFrame([(int(x),) for x in keys.view(np.int64).tolist()], "word long")
+    kept = rows.select("id", "label", F.explode_outer("words").alias("word")).join(F.broadcast(table.withColumn("in", F.lit(True))), "word", "left")  # words of the sample
+    kept = kept.groupBy("id", "label").agg(F.collect_set(F.when(F.col("in"), F.col("word"))).alias("words"))
     data = sorted((r.id, r.label, sorted(x % 2**64 for x in r.words)) for r in kept.collect())
     return fit([np.array(w, dtype=np.uint64) for _, _, w in data], np.array([y for _, y, _ in data]), keys, swap, strength)
 

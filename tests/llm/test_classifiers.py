@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -81,8 +82,72 @@ def test_keep_good_keeps_columns(spark):
 def test_the_prior_is_found():
     rng = np.random.default_rng(0)
     p = rng.normal(1.5, 1, 5000)
-    u = np.concatenate([rng.normal(1.5, 1, 3500), rng.normal(-1.5, 1, 1500)])
-    assert abs(quality_pu.estimate_prior(p, u) - 0.7) < 0.04
+    u = np.sort(np.concatenate([rng.normal(1.5, 1, 35000), rng.normal(-1.5, 1, 15000)]))
+    prior, error = quality_pu.estimate_prior(np.searchsorted(u, p) / len(u))
+    assert abs(prior - 0.7) < 0.03 and 0 < error < 0.03
+
+
+def test_scores_by_rank_as_brute_force():
+    """The steps have the least risk of all rising functions on a grid, for a few bins."""
+    counts, prior = np.array([40, 30, 15, 15]), 0.45
+    ranks = np.array([0.1] * 2 + [0.5] * 9 + [0.75] * 3 + [0.95] * 6)
+    p = np.array([2, 9, 3, 6]) / 20
+    u = counts / 100
+    grid = np.linspace(0.001, 0.999, 60)
+
+    def risk(s):
+        s = np.clip(s, 1e-6, 1 - 1e-6)
+        negative = -(u * np.log(1 - s)).sum() + prior * (p * np.log(1 - s)).sum()
+        return -prior * (p * np.log(s)).sum() + max(0, negative)
+
+    rising = quality_pu.rising(ranks, counts, prior)
+    assert (np.diff(rising) >= 0).all()
+    best = min(risk(np.array(s)) for s in itertools.combinations_with_replacement(grid, 4))
+    assert risk(rising) <= best + 1e-3
+
+
+def test_held_out_predictions_and_prior_at_two_sizes(spark):
+    priors = []
+    for sf, most in (("sf0.01", 1), ("sf0.1", 10)):
+        read = lambda t: spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet")  # noqa: E731, B023
+        truth = {r.doc_id: r.quality for r in read("labels").where("quality is not null").collect()}
+        got = [r for r in quality_pu.score(read("documents"), read("labels")).collect() if r.held_out and r.doc_id in truth]
+        assert sum(r.predicted for r in got if not truth[r.doc_id]) <= most
+        assert sum(not r.predicted for r in got if truth[r.doc_id]) <= 0.02 * len(got)
+        assert auc([(r.score, truth[r.doc_id]) for r in got]) > 0.99
+        likely = [r for r in got if r.score >= 0.5]
+        assert abs(np.mean([truth[r.doc_id] for r in likely]) - np.mean([r.score for r in likely])) < 0.05
+        priors.append(quality_pu.train(quality_pu.features(read("documents")), read("labels")).prior)
+    assert abs(priors[0] - priors[1]) < 0.03
+
+
+def test_whether_a_held_out_row_has_a_label_teaches_nothing(spark):
+    rows, labels, _ = corpus(300)
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    for module in (quality_pu, toxicity):
+        assert module.score(docs, table).collect() == module.score(docs, table.where(~held_out(F.col("doc_id")))).collect()
+
+
+def test_repeated_ids_with_other_texts_give_one_model(spark):
+    rows, labels, _ = corpus(200)
+    docs = spark.createDataFrame([*rows, *((i, t + " other " + t, s, x) for i, t, s, x in rows[:80])], DOCS)
+    table = spark.createDataFrame(labels, LABELS)
+    for module in (quality_pu, toxicity):
+        one, two = (sorted(map(str, module.score(docs.orderBy(F.xxhash64(F.lit(k), "text")), table).collect())) for k in (1, 2))
+        assert one == two
+
+
+def test_toxicity_fit_as_plain_logistic_regression():
+    """Without pairs the fit is a weighted logistic regression: its gradient is nearly 0 at the weights found."""
+    rows, labels, _ = corpus(400)
+    texts = {i: t for i, t, *_ in rows}
+    found, y = [toxicity.words(texts[i]) for i, *_ in labels], np.array([t for *_, t in labels])
+    keys = np.unique(np.concatenate(found))
+    model = toxicity.fit(found, y, keys, {}, rounds=4000, rate=0.02, decay=1e-3)
+    x = np.array([np.isin(keys, f) for f in found], dtype=float)
+    each = np.where(y == 1, 3.0, 1.0) / np.where(y == 1, 3.0, 1.0).sum()
+    slope = (1 / (1 + np.exp(-(x @ model.weights + model.bias))) - y) * each
+    assert np.abs(x.T @ slope + 1e-3 * model.weights).max() < 1e-3
 
 
 def test_counterfactuals_pull_identity_terms_together():

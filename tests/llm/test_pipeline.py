@@ -56,3 +56,26 @@ def test_stages(steps, spark):
 
 def test_run(spark, steps):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def odd_documents(spark):
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    rows += [(9_000_001, None, None, None, None), (9_000_002, "", "en", "s", 0), (None, "some words of a text without an id", "en", "s", 1), (9_000_003, "long " * 40_000, "en", "s", 1)]
+    rows += [(9_000_004, "twice the same", "en", "s", 1)] * 2 + [(9_000_004, "twice another text", "en", "s", 1), (None, None, None, None, None)]
+    more = ["gone", "hits", "added", "base", "every", "digest", "doc", "stripped", "line", "name", "first"]
+    return spark.createDataFrame([(*r, *range(len(more))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in more))
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    docs = odd_documents(spark)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        out.write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        if name in ("line_dedup", "pii"):
+            assert docs.count() == before.count()
+    ids = {r.doc_id for r in docs.collect()}
+    assert {9_000_004} & ids and docs.where("doc_id is null").count() > 0
