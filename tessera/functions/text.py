@@ -5,6 +5,9 @@ Several tokenizers differ in small ways on purpose; each is named after its use.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,8 +147,18 @@ def is_obvious_alias(a: Column, b: Column) -> Column:
     return one(a, b) | one(b, a) | prefix(a, b) | prefix(b, a) | unknown
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility composition, for queries that aren't plain ASCII; there is no expression for it."""
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.when(c.rlike(r"[^\x00-\x7f]"), composed(c)).otherwise(c)
+
+
 def search_query(c: Column) -> Column:
-    """A terminology query in the form that the dictionary is searched with (the input is taken as NFKC)."""
+    """A terminology query in the form that the dictionary is searched with; ``nfkc`` it first where it isn't ASCII."""
     s = F.regexp_replace(safe(c), "([a-z])([A-Z])", "$1 $2")
     s = F.regexp_replace(F.regexp_replace(s, "([0-9])([A-Za-z])", "$1 $2"), "([A-Za-z])([0-9])", "$1 $2")
     s = F.regexp_replace(F.translate(s, "_-/", "   "), r"[^\w\s]", " ")
@@ -243,3 +256,55 @@ def value_phrase(value: Column, label: Column, low: Column, high: Column) -> Col
 
 def category_phrase(value: Column, label: Column) -> Column:
     return F.when(trimmed(label) != "", F.concat(value, F.lit(" as a category of "), trimmed(label))).otherwise(value)
+
+
+def normalize_name(c: Column) -> Column:
+    """A name in lower case, cut at camel humps, with single spaces for underscores and hyphens."""
+    return F.regexp_replace(F.translate(F.lower(split_camel(trimmed(c))), "_-", "  "), r"\s+", " ")
+
+
+def string_hash(c: Column) -> Column:
+    """The 32-bit polynomial hash (base 31) of the UTF-16 units, as a signed number."""
+    data = F.hex(F.encode(safe(c), "UTF-16BE"))
+    at = F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data), F.lit(4))).otherwise(F.array().cast("array<int>"))
+    unit = lambda i: F.conv(F.substring(data, i, F.lit(4)), 16, 10).cast("bigint")
+    h = F.aggregate(at, F.lit(0).cast("bigint"), lambda h, i: (h * 31 + unit(i)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(h >= 2**31, h - F.lit(2**32)).otherwise(h)
+
+
+def fallback_code(term: Column, context: Column) -> Column:
+    """A code for a term that no dictionary knows; the terminology gate doesn't let it pass."""
+    return F.concat(F.lit("CONCEPT_"), F.lpad((F.abs(string_hash(F.concat(safe(term), safe(context)))) % 1_000_000_000).cast("string"), 9, "0"))
+
+
+def repaired_map(c: Column) -> Column:
+    """The JSON object that a model answered with: the text itself, else what stands between its first opening and its
+    last closing brace; an empty map where neither parses."""
+    parsed = lambda x: F.from_json(x, "map<string,string>")
+    return F.coalesce(parsed(c), parsed(F.regexp_extract(c, r"(?s)\{.*\}", 0)), F.create_map().cast("map<string,string>"))
+
+
+def column_prompt(name: Column, values: Column, stats: Column) -> Column:
+    """What is embedded of a column: name, type and range, eight of its first 15 values, and stems of those values."""
+    first = F.slice(F.coalesce(values, F.array().cast("array<string>")), 1, 15)
+    kept = F.filter(F.transform(F.filter(first, lambda x: ~F.lower(F.trim(x)).startswith("step:")), normalize_value), lambda x: x != "")
+    both = stats["num_min"].isNotNull() & stats["num_max"].isNotNull()
+    span = F.when(both, F.concat(F.lit("range "), trim_number(stats["num_min"]), F.lit(".."), trim_number(stats["num_max"])))
+    kinds = F.filter(F.transform(first, lambda x: F.lower(F.trim(x))), lambda x: x.isin("integer", "double", "date"))
+    return _prompt(F.nullif(trimmed(name), F.lit("")), F.nullif(F.concat_ws(" ", F.get(kinds, F.size(kinds) - 1), span), F.lit("")), kept, F.slice(kept, 1, 8))
+
+
+def field_prompt(name: Column, kind: Column, description: Column, enums: Column) -> Column:
+    """What is embedded of a schema field: name and type, description and its first 15 values, and stems of them."""
+    kept = F.slice(F.filter(F.transform(F.coalesce(enums, F.array().cast("array<string>")), normalize_value), lambda x: x != ""), 1, 15)
+    kind, name, said = trimmed(kind), trimmed(name), trimmed(description)
+    head = F.when(name == "", kind).when(kind == "", name).otherwise(F.concat(name, F.lit(" ("), kind, F.lit(")")))
+    head = F.concat_ws(" | ", F.nullif(head, F.lit("")), F.nullif(said, F.lit("")))
+    head = F.concat_ws(": ", F.nullif(head, F.lit("")), F.when(F.size(kept) > 0, F.array_join(kept, ", ")))
+    return _prompt(F.nullif(head, F.lit("")), F.lit(None).cast("string"), kept, F.array().cast("array<string>"))
+
+
+def _prompt(head: Column, kind: Column, kept: Column, shown: Column) -> Column:
+    stems = F.slice(F.array_distinct(F.filter(F.transform(kept, stem_hints), lambda x: x.isNotNull())), 1, 8)
+    hints = F.when(F.size(stems) > 0, F.concat(F.lit("stem_hints "), F.array_join(stems, ", ")))
+    return F.concat_ws(" | ", head, kind, F.when(F.size(shown) > 0, F.array_join(shown, ", ")), hints)

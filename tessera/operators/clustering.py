@@ -6,18 +6,21 @@ which is sequential by definition, so a request is folded in one task; requests
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import ROLES, column_role, is_flag
-from ..functions.text import concept_tokens, name_tokens, role_tokens, union_name
+from ..functions.text import concept_tokens, role_tokens, union_name
 from ..functions.vectors import sparse_value_vectors
 from ..runtime import python_path
 from ..settings import Settings
 from ..sources.profile import column_stats
 from .matching import column_prompts
+from .noise import leading_contexts
 
 # Endings that make a word a form of another, tokens whose columns give no value evidence.
 FORMS = {"ing", "ed", "er", "ers", "s", "es", "age"}
@@ -89,18 +92,40 @@ def _cosine(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return float(x.dot(y) / np.sqrt(n)) if n > 1e-24 else 0.0
 
 
+def composite_heads(label: str) -> list[str]:
+    """First words of the parts that a label joins by '+'; none unless there are two."""
+    parts = label.lower().split("+") if "+" in label else []
+    heads = [next((w for w in re.split("[^a-z0-9]+", p) if len(w) > 1), "") for p in parts]
+    heads = [h for h in heads if h]
+    return heads if len(heads) > 1 else []
+
+
 class Cluster:
-    """Members in order, with running mean directions in single precision."""
+    """Members in order, with running mean directions in single precision. Role, representative, tokens and labels are
+    kept as members come in."""
 
     def __init__(self, first: dict):
         self.members: list[dict] = []
         self.vec = self.value = None
         self.n_value = 0
+        self.tokens: set[str] = set()
+        self.heads: list[str] = []
+        self.labels = ""
+        self.flags: set[str] = set()
+        self.votes: dict[str, int] = {}
+        self.role = self.representative = ""
         self.add(first)
 
     def add(self, m: dict) -> None:
         k = len(self.members)
         self.members.append(m)
+        self.tokens |= {*m["concept_tokens"], *m["column_tokens"]}
+        self.heads = self.heads or composite_heads(m["column"]) or composite_heads(m["concept"] or "")
+        self.labels += "".join(" " + re.sub("[^a-z0-9]+", "", x.lower()) for x in (m["column"], m["concept"] or ""))
+        self.flags |= {name for name in ("life", "flag", "no_value_evidence") if m[name]}
+        self.votes[m["role"]] = self.votes.get(m["role"], 0) + 1
+        self.role = min(self.votes, key=lambda r: (-self.votes[r], ROLES.index(r)))
+        self.representative = self._shortest()
         self.vec = _fold(self.vec, m["vec"], k)
         if m["value_vec"] is not None:
             self.value, self.n_value = _fold(self.value, m["value_vec"], self.n_value), self.n_value + 1
@@ -109,23 +134,15 @@ class Cluster:
         for m in other.members:
             self.add(m)
 
-    @property
-    def role(self) -> str:
-        roles = [m["role"] for m in self.members]
-        return min(ROLES, key=lambda r: (-roles.count(r), ROLES.index(r)))
-
-    @property
-    def representative(self) -> str:
+    def _shortest(self) -> str:
         """The shortest concept that isn't structural, then by letters."""
         named = [m["concept"] for m in self.members if m["concept"]]
         plain = [c for c in named if not set(c.split()) <= STRUCTURAL]
         return min(plain or named or [self.members[0]["column"]], key=lambda c: (len(c), c.lower()))
 
-    def tokens(self) -> set[str]:
-        return {t for m in self.members for t in (*m["concept_tokens"], *m["column_tokens"])}
-
-    def any_flag(self, name: str) -> bool:
-        return any(m[name] for m in self.members)
+    def covers(self, other: Cluster) -> bool:
+        """Whether every part of the other's composite label stands in a label here."""
+        return all(h in self.labels for h in other.heads)
 
 
 def _fold(mean: np.ndarray | None, vec: np.ndarray, n: int) -> np.ndarray:
@@ -145,23 +162,23 @@ def roles_fit(a: str, b: str) -> bool:
 
 
 def merge_score(a: Cluster, b: Cluster) -> float | None:
-    """The ensemble score of merging, or None where nothing speaks for it."""
-    if not roles_fit(a.role, b.role):
-        return None
-    ta, tb = a.tokens(), b.tokens()
-    jaccard = len(ta & tb) / len(ta | tb) if ta | tb else 0.0
-    overlap = jaccard >= TOKEN_LEAST
-    name = b.representative
-    short = not overlap and any(is_abbreviation_pair(label, name, m["name_tokens"] if label == m["column"] else label.split(), name.split()) for m in a.members for label in (m["concept"], m["column"]))
-    if not short and a.any_flag("life") != b.any_flag("life"):
+    """The ensemble score of merging, or None where nothing speaks for it. Abbreviations are only looked for where
+    tokens don't overlap, and values only where names say nothing at all."""
+    if not (a.covers(b) and b.covers(a) and roles_fit(a.role, b.role)):
         return None
-    plain = not any(c.any_flag("no_value_evidence") or c.any_flag("flag") or c.role in ("TOTAL_SCORE", "ITEM_SCORE") for c in (a, b))
-    by_value = plain and VALUE_LEAST <= _cosine(a.value, b.value) < VALUE_MOST
-    if not (overlap or short or by_value):
+    shared = len(a.tokens & b.tokens)
+    jaccard = shared / len(a.tokens | b.tokens) if shared else 0.0
+    overlap, name = jaccard >= TOKEN_LEAST, b.representative
+    short = not overlap and any(is_abbreviation_pair(m["concept"], name, m["concept"].split(), name.split()) for m in a.members if m["concept"])
+    if not short and ("life" in a.flags) != ("life" in b.flags):
         return None
-    lexical = max(jaccard, 0.45 if short else 0.0)
-    role = 1.0 if a.role == b.role else 0.45 if {a.role, b.role} <= SCORES else 0.0
-    return min(1.0, _cosine(a.vec, b.vec) + 0.16 * lexical + 0.08 * (0.25 if by_value else 0.0) + 0.08 * role)
+    if not (overlap or short):
+        bare = any({"no_value_evidence", "flag"} & c.flags or c.role in ("TOTAL_SCORE", "ITEM_SCORE") for c in (a, b))
+        if bare or not VALUE_LEAST <= _cosine(a.value, b.value) < VALUE_MOST:
+            return None
+    lexical, by_value = max(jaccard, 0.45 if short else 0.0), 0.0 if overlap or short else 0.25
+    role = 0.0 if "UNKNOWN" in (a.role, b.role) else 1.0 if a.role == b.role else 0.45 if {a.role, b.role} <= SCORES else 0.0
+    return min(1.0, _cosine(a.vec, b.vec) + 0.16 * lexical + 0.08 * by_value + 0.08 * role)
 
 
 def fold(rows: list[dict], threshold: float) -> list[Cluster]:
@@ -206,9 +223,12 @@ def cluster_columns(columns: DataFrame, settings: Settings = Settings(), vectors
     texts = sparse(vectors if vectors is not None else sparse_value_vectors(column_prompts(rows), key, "prompts"), "cells")
     values = sparse(sparse_value_vectors(rows, key, "values"), "value_cells")
     names = role_tokens(F.concat_ws(" ", "column", "concept"))
+    contexts = leading_contexts(rows.select("request_id", "column")).groupBy("request_id").agg(F.collect_set("token").alias("contexts"))
+    rows = rows.join(contexts, "request_id", "left")
+    own = F.array_except(concept_tokens(F.col("column")), F.coalesce("contexts", F.array().cast("array<string>")))
     rows = rows.select(
         "request_id", "pos", "column", "concept", "role", initial_key(F.col("concept"), F.col("role")).alias("key"),
-        concept_tokens(F.col("concept")).alias("concept_tokens"), concept_tokens(F.col("column")).alias("column_tokens"), name_tokens(F.col("column")).alias("name_tokens"),
+        concept_tokens(F.col("concept")).alias("concept_tokens"), own.alias("column_tokens"),
         F.arrays_overlap(names, F.array(*map(F.lit, sorted(NO_VALUE_EVIDENCE)))).alias("no_value_evidence"),
         F.arrays_overlap(names, F.array(*map(F.lit, sorted(LIFE)))).alias("life"), is_flag(F.col("values")).alias("flag"),
     ).join(texts, key, "left").join(values, key, "left")
@@ -221,7 +241,6 @@ def cluster_columns(columns: DataFrame, settings: Settings = Settings(), vectors
             empty = np.zeros(len(index), dtype=np.float32)
             m["vec"] = v if (v := _dense(m["cells"], index)) is not None else empty
             m["value_vec"] = _dense(m["value_cells"], index)
-            m["name_tokens"] = list(m["name_tokens"])
         out = []
         for k, c in enumerate(fold(members, settings.cluster_threshold)):
             out += [(m["request_id"], m["pos"], k, c.representative, c.role, round(_cosine(m["vec"], c.vec), 6)) for m in c.members]

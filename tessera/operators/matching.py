@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import compact, guard_tokens, safe
+from ..functions.text import column_prompt, compact, field_prompt, guard_tokens, safe
 from ..functions.vectors import sparse_value_vectors
 from ..settings import Settings
 
@@ -100,17 +100,18 @@ def prompt_vectors(columns: DataFrame, fields: DataFrame) -> tuple[DataFrame, Da
 
 
 def column_prompts(columns: DataFrame) -> DataFrame:
-    return columns.withColumn("prompts", F.concat(F.array("concept"), F.slice("values", 1, 8)))
+    return columns.withColumn("prompts", F.array(column_prompt(F.col("concept"), F.col("values"), F.col("stats"))))
 
 
 def field_prompts(fields: DataFrame) -> DataFrame:
-    return fields.withColumn("prompts", F.concat(F.array("name", "description"), F.slice("enum_values", 1, 8)))
+    return fields.withColumn("prompts", F.array(field_prompt(F.col("name"), F.col("type"), F.col("description"), F.col("enum_values"))))
 
 
-def best_fields(columns: DataFrame, fields: DataFrame, contexts: DataFrame) -> DataFrame:
+def best_fields(columns: DataFrame, fields: DataFrame, contexts: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(request_id, pos, field_pos, name, quality, sim): the best field of each column; ties go to the earlier field.
-    Pairs are formed within a request only."""
-    cv, fv = prompt_vectors(column_prompts(columns), field_prompts(fields))
+    Pairs are formed within a request only. ``vectors`` (request_id, pos or field_pos, idx, w) of columns and fields, of
+    length 1, replace the default hashed embedding of the prompts."""
+    cv, fv = vectors or prompt_vectors(column_prompts(columns), field_prompts(fields))
     sims = cv.withColumnRenamed("w", "wc").join(fv.withColumnRenamed("w", "wf"), ["request_id", "idx"]).groupBy("request_id", "pos", "field_pos").agg(F.sum(F.col("wc") * F.col("wf")).alias("sim"))
     held = contexts.groupBy("request_id").agg(F.collect_set("token").alias("contexts"))
     pairs = columns.join(fields, "request_id").join(held, "request_id", "left").join(sims, ["request_id", "pos", "field_pos"], "left")
@@ -134,6 +135,12 @@ def round_robin_batches(members: DataFrame, cluster: list[str]) -> DataFrame:
     return members.withColumn("batch", F.row_number().over(order))
 
 
+def first_per_file(members: DataFrame, mapping: list[str]) -> DataFrame:
+    """The first column of each file in each mapping."""
+    order = Window.partitionBy(*mapping, "file_key").orderBy("pos")
+    return members.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+
+
 def uncovered(columns: DataFrame, used: DataFrame) -> DataFrame:
     """Columns that no mapping refers to."""
     return columns.join(used, ["request_id", "file_key", "column"], "left_anti")

@@ -18,10 +18,21 @@ def node_health(nodes: DataFrame, beats: DataFrame, now: Column) -> DataFrame:
     return rows.select("node_id", "last_seen", minutes.alias("minutes"), (minutes <= EXPIRY_MINUTES).alias("alive"))
 
 
-def registered(events: DataFrame) -> DataFrame:
-    """Registrations (ip, node_id, seq) and later ones that overwrite them: the last of each address."""
-    order = Window.partitionBy("ip").orderBy(F.desc("seq"))
-    return events.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+def registered(events: DataFrame, overwrite: bool = True) -> DataFrame:
+    """The nodes that are registered after events (ip, node_id, seq and, optionally, op: register or deregister).
+
+    Of the registrations of an address since it was last given up, the last one holds, or without ``overwrite`` the
+    first one: later ones are refused. Ties go to the smaller node."""
+    op = F.coalesce(F.col("op"), F.lit("register")) if "op" in events.columns else F.lit("register")
+    left = F.max(F.when(op == "deregister", F.col("seq"))).over(Window.partitionBy("ip"))
+    live = events.withColumn("since", left).where((op == "register") & (F.col("since").isNull() | (F.col("seq") > F.col("since")))).drop("since")
+    order = Window.partitionBy("ip").orderBy(F.desc("seq") if overwrite else F.asc("seq"), "node_id")
+    return live.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+
+
+def error_log(reports: DataFrame, path: str) -> None:
+    """Append reports of clients (at, level, message, ...) to the table at ``path``; those without a message are dropped."""
+    reports.where("trim(message) <> ''").write.mode("append").parquet(path)
 
 
 def job_states(events: DataFrame) -> DataFrame:

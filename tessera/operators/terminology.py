@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import (
-    category_phrase, is_generic_name, is_search_term, padded_term, plain_name, search_variant_rows, sentence, split_key,
+    category_phrase, is_generic_name, is_search_term, padded_term, plain_name, repaired_map, search_variant_rows, sentence, split_key,
     terminology_gate, terminology_label, value_phrase,
 )
 from ..functions.vectors import sparse_value_vectors
@@ -21,9 +21,15 @@ def _words(c):
 
 
 def concepts(raw: DataFrame) -> DataFrame:
-    """(concept_id, label) of active dictionary rows, the label out of term, pt, fsn in this order."""
-    label = F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in ("term", "pt", "fsn")))
-    return raw.where("active").select("concept_id", label.alias("label")).where("label is not null")
+    """(concept_id, label) of raw answers of a terminology server (JSON text in column item), by what it names first:
+    the item's own term, then preferred and fully specified names of its concept and of itself, then id and name
+    without their last two characters. Items without an id or a label are left out."""
+    at = lambda path: F.nullif(F.trim(F.get_json_object("item", path)), F.lit(""))
+    both = at("$.idAndFsnTerm")
+    cut = F.when(F.length(both) > 2, F.nullif(F.trim(F.left(both, F.length(both) - 2)), F.lit("")))
+    names = ("$.term", "$.concept.pt.term", "$.concept.fsn.term", "$.pt.term", "$.fsn.term")
+    label = F.coalesce(*(at(n) for n in names), cut)
+    return raw.select(F.coalesce(at("$.concept.conceptId"), at("$.conceptId")).alias("concept_id"), label.alias("label")).where("concept_id is not null and label is not null")
 
 
 def suggestions(queries: DataFrame, dictionary: DataFrame, top: int = TOP) -> DataFrame:
@@ -47,14 +53,48 @@ def nearest_concepts(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     return best.select("query", "b.concept_id", "b.label", "b.sim")
 
 
-def resolved(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(query, terminology): 'label | code' of the first suggestion, else of the nearest concept; later steps only see
-    what earlier ones missed. What the gate rejects is left out."""
+def missing(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(query, context) of lookups (pos, query, context) that gave nothing, once each, with its first context."""
+    rows = asked.where("trim(query) <> ''").join(found.select("query"), "query", "left_anti")
+    return rows.groupBy("query").agg(F.min_by("context", "pos").alias("context"))
+
+
+def resolved(queries: DataFrame, dictionary: DataFrame, paraphrase=None) -> DataFrame:
+    """(query, terminology): 'label | code' of the first suggestion, else of the first suggestion for a paraphrase, else
+    of the nearest concept; later steps only see what earlier ones missed. What the gate rejects is left out.
+    ``paraphrase``, a model's function from a text column to an array of texts (a pandas UDF, say), is asked for up to
+    four; without one the step is skipped."""
     asked = queries.select("query").distinct().where(is_search_term(F.col("query")))
     code = lambda df: df.select("query", terminology_gate(F.concat_ws(" | ", "label", F.col("concept_id").cast("string"))).alias("terminology"))
-    direct = code(suggestions(asked, dictionary, 1)).where("terminology <> ''")
-    rest = asked.join(direct, "query", "left_anti")
-    return direct.unionByName(code(nearest_concepts(rest, dictionary)).where("terminology <> ''"))
+    found = code(suggestions(asked, dictionary, 1)).where("terminology <> ''")
+    rest = asked.join(found, "query", "left_anti")
+    if paraphrase is not None:
+        others = rest.select(F.col("query").alias("first"), F.posexplode(F.slice(paraphrase(F.col("query")), 1, 4)).alias("n", "query")).where("trim(query) <> ''")
+        hits = code(suggestions(others, dictionary, 1)).where("terminology <> ''").join(others, "query")
+        hits = hits.groupBy(F.col("first").alias("query")).agg(F.min_by("terminology", "n").alias("terminology"))
+        found, rest = found.unionByName(hits), rest.join(hits, "query", "left_anti")
+    return found.unionByName(code(nearest_concepts(rest, dictionary)).where("terminology <> ''"))
+
+
+def value_specs(values: DataFrame, key: list[str], most: int = 10) -> DataFrame:
+    """(``key``, pos, name, lo, hi): the first ``most`` distinct names of each key of rows (``key``, pos, name, lo, hi).
+    Numeric names get the whole bounds of the key's numeric ones, where these differ; others keep their own."""
+    named = values.withColumn("name", F.trim("name")).where("name <> ''")
+    first = named.groupBy(*key, "name").agg(F.min("pos").alias("pos"), F.min_by("lo", "pos").alias("lo"), F.min_by("hi", "pos").alias("hi"))
+    order = Window.partitionBy(*key).orderBy("pos", "name")
+    first = first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+    whole, number = Window.partitionBy(*key), F.col("name").try_cast("double")
+    low, high = F.min(number).over(whole), F.max(number).over(whole)
+    bound = lambda end, own: F.when(number.isNull(), own).when(low < high, end.cast("bigint").cast("string"))
+    return first.select(*key, "pos", "name", bound(low, F.col("lo")).alias("lo"), bound(high, F.col("hi")).alias("hi"))
+
+
+def with_scale_labels(values: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows (context, value, query) whose query gets the label that a model's answer (context, answer) has for the value."""
+    maps = answers.groupBy("context").agg(F.max(F.struct("answer"))["answer"].alias("answer")).select("context", repaired_map(F.col("answer")).alias("labels"))
+    label = F.trim(F.coalesce(F.try_element_at(F.col("labels"), F.col("value")), F.lit("")))
+    rows = values.join(maps, "context", "left")
+    return rows.withColumn("query", F.when(label != "", F.concat_ws(" ", "query", label)).otherwise(F.col("query"))).drop("labels")
 
 
 def value_queries(values: DataFrame) -> DataFrame:

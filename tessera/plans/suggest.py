@@ -110,15 +110,45 @@ def suggest_schema(profiles: DataFrame, fields: DataFrame, settings: Settings =
     return out
 
 
-def hierarchy_json(mappings: DataFrame) -> DataFrame:
-    """(request_id, json): the response of each request in the shape that clients read, mappings in order."""
-    ref = lambda r: F.struct(r["column"].alias("groupColumn"), F.coalesce(r["value"], F.to_json(F.struct(r["lo"].alias("minValue"), r["hi"].alias("maxValue")))).alias("value"))
-    values = F.transform("values", lambda v: F.struct(v["name"].alias("name"), F.lit("").alias("terminology"), F.lit("").alias("description"), F.transform(v["refs"], ref).alias("mapping")))
-    body = F.struct(F.col("mapping_type").alias("mappingType"), "columns", F.array(F.struct(F.col("union_key").alias("column"), values.alias("values"))).alias("groups"))
-    rows = mappings.select("request_id", "ord", F.create_map("union_key", body).alias("m"))
+def _members_response(rows: DataFrame) -> DataFrame:
+    """Rows (request_id, ord, m, json text) as the response of each request, in order."""
     listed = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.to_json("m").alias("j")))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["j"]), ",")
-    return listed.select("request_id", F.concat(F.lit('{"success":true,"hierarchy":['), text, F.lit("]}")).alias("json"))
+    return listed.select("request_id", F.concat(F.lit('{"success":true,"message":"Suggestions computed.","hierarchy":['), text, F.lit("]}")).alias("json"))
+
+
+def hierarchy_json(mappings: DataFrame, profiles: DataFrame, enriched: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
+    """(request_id, json): the response of each request in the shape that clients read, mappings in order.
+
+    Each ref names its node, file and column out of ``profiles``; ``enriched`` (plans.enrich) gives terminology and
+    descriptions, which are empty without it. Requests of ``requests`` without a mapping get an empty hierarchy and say so."""
+    key = ["request_id", "ord"]
+    flat = mappings.select(*key, F.posexplode_outer("values").alias("v", "x")).select(*key, "v", F.col("x.name").alias("name"), F.posexplode_outer("x.refs").alias("n", "r"))
+    source = profiles.select("request_id", F.col("pos").cast("int").alias("pos"), "node_id", "file_name")
+    flat = flat.withColumn("pos", F.col("r.pos")).join(source, ["request_id", "pos"], "left")
+    value = F.coalesce("r.value", F.to_json(F.struct(F.col("r.lo").alias("minValue"), F.col("r.hi").alias("maxValue"))))
+    ref = F.struct(F.concat_ws("::", "node_id", "file_name").alias("groupKey"), F.col("r.column").alias("groupColumn"), F.col("file_name").alias("fileName"), F.col("node_id").alias("nodeId"), value.alias("value"))
+    refs = F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("n", ref.alias("ref")))))
+    values = flat.where("v is not null").groupBy(*key, "v", "name").agg(F.transform(refs, lambda x: x["ref"]).alias("mapping"))
+    if enriched is not None:
+        said = enriched.select(*key, F.posexplode("values").alias("v", "e")).select(*key, "v", "e.terminology", "e.description")
+        values = values.join(said, [*key, "v"], "left")
+    else:
+        values = values.withColumns({"terminology": F.lit(""), "description": F.lit("")})
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    values = values.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("v", "name", text("terminology"), text("description"), "mapping"))).alias("l"))
+    shown = F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["terminology"].alias("terminology"), x["description"].alias("description"), x["mapping"].alias("mapping")))
+    rows = mappings.drop("values").join(values.select(*key, shown.alias("values")), key, "left")
+    rows = rows.join(enriched.select(*key, "terminology", "description"), key, "left") if enriched is not None else rows.withColumns({"terminology": F.lit(""), "description": F.lit("")})
+    body = F.struct(
+        F.lit("standard").alias("mappingType"), F.lit("suggested_mapping").alias("fileName"), F.lit("").alias("nodeId"), "columns", text("terminology"), text("description"),
+        F.array(F.struct(F.col("union_key").alias("column"), F.coalesce("values", F.array()).alias("values"))).alias("groups"),
+    )
+    out = _members_response(rows.select(*key, F.create_map("union_key", body).alias("m")))
+    if requests is None:
+        return out
+    nothing = F.lit('{"success":true,"message":"No suggestions produced.","hierarchy":[]}')
+    return requests.select("request_id").distinct().join(out, "request_id", "left").withColumn("json", F.coalesce("json", nothing))
 
 
 def mapping_csv(mappings: DataFrame, path: str) -> None:
@@ -130,7 +160,7 @@ def mapping_csv(mappings: DataFrame, path: str) -> None:
 def n_triples(mappings: DataFrame, base: str = "urn:mapping:") -> DataFrame:
     """(value): N-Triples that say which columns belong to which key. The vocabulary is this library's own."""
     key = F.concat(F.lit(f"<{base}"), F.col("request_id"), F.lit("/"), F.col("union_key"), F.lit(">"))
-    column = F.regexp_replace("c", r'(["\\])', r"\\$1")
+    column = F.regexp_replace(F.regexp_replace(F.regexp_replace("c", r'(["\\])', r"\\$1"), "\n", r"\\n"), "\r", r"\\r")
     return mappings.select("request_id", "union_key", F.explode("columns").alias("c")).select(F.concat(key, F.lit(f' <{base}hasColumn> "'), column, F.lit('" .')).alias("value"))
 
 

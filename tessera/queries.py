@@ -19,17 +19,6 @@ from .sources.profile import PROFILE, column_stats, inferred_type, profile_table
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Names of the tables' columns, in order: metadata for the SQL of queries that only read names.
-NAMES = [
-    ("region", ["r_regionkey", "r_name"]),
-    ("nation", ["n_nationkey", "n_name", "n_regionkey"]),
-    ("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
-    ("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
-    ("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
-    ("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
-    ("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]),
-    ("events", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
-]
 # A small request with clinical columns: (node, file, column, values).
 CLINICAL = [
     ("n1", "a.csv", "TOTBarthel", ["integer", "min:0", "max:100"]),
@@ -93,7 +82,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_NAMES_SQL = "(VALUES " + ", ".join(f"({p}, '{t}', '{c}')" for p, (t, c) in enumerate((t, c) for t, cs in NAMES for c in cs)) + ") AS n(pos, file, col)"
+_NAMES_SQL = "(SELECT (row_number() OVER (ORDER BY list_position([" + ", ".join(f"'{t}'" for t in TABLES) + "], table_name), column_index) - 1)::INTEGER AS pos, table_name AS file, column_name AS col FROM duckdb_columns() WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")) AS n"
 _CAMEL_SQL = "regexp_replace(regexp_replace({0}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
 _TOKENS_SQL = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(" + _CAMEL_SQL + "), '([a-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g'), '[^a-z0-9]+'), lambda t: length(t) > 1 AND NOT regexp_full_match(t, '[0-9]+'))"
 _T_SQL = f"t AS (SELECT pos, file, col, {_TOKENS_SQL.format('col')} AS toks FROM {_NAMES_SQL})"
@@ -139,20 +128,30 @@ def fnv1a32_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_name").alias("s")).distinct().select("s", text.fnv1a32(F.col("s")).alias("h"))
 
 
+# Kinds of the tables' columns that aren't texts, for the SQL of profiles.
+_KINDS = {
+    "integer": "r_regionkey n_nationkey n_regionkey c_custkey c_nationkey s_suppkey s_nationkey p_partkey p_size o_orderkey o_custkey l_orderkey l_partkey l_suppkey l_linenumber event_id user_id".split(),
+    "double": "c_acctbal s_acctbal p_retailprice o_totalprice l_quantity l_extendedprice l_discount l_tax value".split(),
+    "date": "o_orderdate l_shipdate ts".split(),
+}
+_TEXTS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"]}
+_OWNER = {"r": "region", "n": "nation", "c": "customer", "s": "supplier", "p": "part", "o": "orders", "l": "lineitem"}
 _PROFILE_SQL = []
-for _table, _column, _kind in [("customer", "c_acctbal", "double"), ("lineitem", "l_quantity", "double"), ("part", "p_size", "integer"), ("orders", "o_orderkey", "integer"), ("orders", "o_orderdate", "date"), ("lineitem", "l_shipdate", "date"), ("orders", "o_orderstatus", ""), ("part", "p_name", ""), ("customer", "c_name", "")]:
-    if _kind == "":
-        _PROFILE_SQL.append(f"SELECT '{_table}.csv' AS file_name, '{_column}' AS \"column\", (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {_column} AS v FROM {_table} ORDER BY v LIMIT 80)) AS vals")
-    elif _kind == "date":
-        _PROFILE_SQL.append(f"SELECT '{_table}.csv', '{_column}', 'date|earliest:' || strftime(min({_column}), '%Y-%m-%dT%H:%M:%SZ') || '|latest:' || strftime(max({_column}), '%Y-%m-%dT%H:%M:%SZ') FROM {_table}")
-    else:
-        _f = "printf('%.4f', {0}({1}))" if _kind == "double" else "{0}({1})::VARCHAR"
-        _PROFILE_SQL.append(f"SELECT '{_table}.csv', '{_column}', '{_kind}|min:' || {_f.format('min', _column)} || '|max:' || {_f.format('max', _column)} FROM {_table}")
-
-
-@query(" UNION ALL ".join(_PROFILE_SQL[6:] + _PROFILE_SQL[:6]))
+for _kind, _columns in _KINDS.items():
+    for _column in _columns:
+        _table = _OWNER.get(_column.split("_")[0], "events")
+        if _kind == "date":
+            _PROFILE_SQL.append(f"SELECT '{_table}.csv' AS file_name, '{_column}' AS \"column\", 'date|earliest:' || strftime(min({_column}), '%Y-%m-%dT%H:%M:%SZ') || '|latest:' || strftime(max({_column}), '%Y-%m-%dT%H:%M:%SZ') AS vals FROM {_table}")
+        else:
+            _f = "printf('%.4f', {0}({1}) + 0)" if _kind == "double" else "{0}({1})::VARCHAR"
+            _PROFILE_SQL.append(f"SELECT '{_table}.csv' AS file_name, '{_column}' AS \"column\", '{_kind}|min:' || {_f.format('min', _column)} || '|max:' || {_f.format('max', _column)} AS vals FROM {_table}")
+for _table, _columns in _TEXTS.items():
+    for _column in _columns:
+        _PROFILE_SQL.append(f"SELECT '{_table}.csv' AS file_name, '{_column}' AS \"column\", (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {_column} AS v FROM {_table} WHERE {_column} IS NOT NULL ORDER BY v LIMIT 80)) AS vals")
+
+
+@query(" UNION ALL ".join(_PROFILE_SQL))
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # All columns; the SQL still has nine of them (see REPLY_r01.md).
     return profiles(spark, sf_dir).select("file_name", "column", F.array_join("values", "|").alias("vals"))
 
 
@@ -210,9 +209,6 @@ def leading_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise.leading_contexts(rows).select("token")
 
 
-_EXPECTED_ROLES = ["TOTAL_SCORE", "TOTAL_SCORE", "NUMERIC_MEASURE", "ITEM_SCORE", "NUMERIC_MEASURE", "NUMERIC_MEASURE", "CATEGORICAL", "CATEGORICAL", "DATE", "CATEGORICAL", "IDENTIFIER", "BOOLEAN_FLAG"]
-
-
 @query()
 def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prepared(profiles(spark, sf_dir).unionByName(clinical(spark)))
@@ -239,10 +235,9 @@ def concept_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
-s AS (SELECT q.vec_id AS a, e.vec_id AS b, round(list_cosine_similarity(q.v, e.v), 6) AS sim FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id)
+s AS (SELECT q.vec_id AS a, e.vec_id AS b, round(list_cosine_similarity(q.v, e.v), 6) AS sim FROM q JOIN e ON q.vec_id <> e.vec_id)
 SELECT a, max(sim) AS sim FROM s GROUP BY a""")
 def embedding_cosine_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # All rows are searched, whatever their label; the SQL still asks within a label (see REPLY_r01.md).
     best = vectors.nearest_cosines(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id", "embedding")
     return best.select("a", F.round("sim", 6).alias("sim"))
 
@@ -360,13 +355,16 @@ def enum_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(values.enum_buckets(_members(rows, "1"), enums))
 
 
-@query("""WITH q AS (SELECT item_id, lower(trim(regexp_replace(regexp_replace(translate(regexp_replace(left(text, 60), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_-/', '   '), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS q FROM benchmark),
-t AS (SELECT item_id, q, list_filter(string_split(q, ' '), lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+')) AS toks FROM q),
-v AS (SELECT item_id, q AS variant FROM t WHERE q <> '' UNION SELECT item_id, array_to_string(list_filter(string_split(q, ' '), lambda x: NOT regexp_full_match(x, '[0-9]*')), ' ') FROM t
-UNION SELECT item_id, array_to_string(list_slice(toks, s, s + k - 1), ' ') FROM t, range(1, 60) a(k), range(1, 60) b(s) WHERE s + k - 1 <= len(toks) AND (k = 1 OR k < len(toks)))
-SELECT DISTINCT item_id, variant FROM v WHERE variant <> ''""")
+_QUERY_SQL = "trim(regexp_replace(lower(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '_-/', '   '), '[^\\w\\s]', ' ', 'g')), '\\s+', ' ', 'g'))"
+_VARIANTS_SQL = """q AS (SELECT {key}, {query} AS q FROM {table}),
+t AS (SELECT {key}, q, list_filter(string_split(q, ' '), lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+')) AS toks FROM q),
+n AS (SELECT {key}, toks, unnest(range(1, len(toks) + 1)) AS k FROM t), r AS (SELECT {key}, toks, k, unnest(range(1, len(toks) - k + 2)) AS s FROM n),
+v AS (SELECT {key}, q AS variant FROM t WHERE q <> '' UNION SELECT {key}, array_to_string(list_filter(string_split(q, ' '), lambda x: NOT regexp_full_match(x, '[0-9]*')), ' ') FROM t
+UNION SELECT {key}, array_to_string(list_slice(toks, s, s + k - 1), ' ') FROM r WHERE k = 1 OR k < len(toks))"""
+
+
+@query("WITH " + _VARIANTS_SQL.format(key="item_id", query=_QUERY_SQL.format("text"), table="benchmark") + " SELECT DISTINCT item_id, variant FROM v WHERE variant <> ''")
 def search_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Of whole texts; the SQL still takes their first 60 characters (see REPLY_r01.md).
     return text.search_variant_rows(read(spark, sf_dir, "benchmark").select("item_id", "text"), "text").select("item_id", "variant").distinct()
 
 
