@@ -14,8 +14,8 @@ def register(spark: SparkSession) -> None:
     two are expressions and stay in the JVM."""
     python_path(spark)
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION fnv1a32(s STRING) RETURNS BIGINT RETURN
-        aggregate(transform(sequence(1, length(hex(encode(coalesce(s, ''), 'UTF-8'))) div 2), i -> cast(conv(substr(hex(encode(coalesce(s, ''), 'UTF-8')), 2 * i - 1, 2), 16, 10) AS BIGINT)),
-                  2166136261L, (h, b) -> ((h ^ b) * 16777619L) & 4294967295L)""")
+        CASE WHEN coalesce(s, '') = '' THEN 2166136261L ELSE aggregate(transform(sequence(1, length(hex(encode(coalesce(s, ''), 'UTF-8'))) div 2), i -> cast(conv(substr(hex(encode(coalesce(s, ''), 'UTF-8')), 2 * i - 1, 2), 16, 10) AS BIGINT)),
+                  2166136261L, (h, b) -> ((h ^ b) * 16777619L) & 4294967295L) END""")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION vector_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN
         aggregate(zip_with(slice(a, 1, least(size(a), size(b))), slice(b, 1, least(size(a), size(b))), (x, y) -> x * y), 0D, (s, x) -> s + x)""")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION vector_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN

@@ -6,11 +6,17 @@ samples of a text column, or markers: integer | double, min:, max:, step: for nu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..runtime import python_path
 
 PROFILE = "request_id string, pos int, node_id string, file_name string, column string, values array<string>"
 REQUEST = "request_id string, schema string, elementFiles array<struct<nodeId:string,fileName:string,column:string,values:array<string>,color:string>>"
@@ -38,10 +44,26 @@ def _text_number(c, kind: T.DataType):
     return c.cast("bigint").cast("string") if whole else F.format_string("%.4f", c.cast("double"))
 
 
+def _least_values(most: int):
+    """(k, v): the ``most`` smallest distinct values of each text column of a task's rows, by column number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Array] = {}
+        for batch in batches:
+            for k, column in enumerate(batch.columns):
+                new = column.unique().drop_null().cast(pa.string())
+                every = pa.concat_arrays([held[k], new]).unique() if k in held else new
+                held[k] = every.take(pc.array_sort_indices(every)[:most])
+        for k, values in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), pa.int32()), values], names=["k", "v"])
+
+    return run
+
+
 def profile_table(df: DataFrame, file_name: str, node_id: str, first: int, request_id: str = "tables") -> DataFrame:
-    """Profile all columns of a table: one aggregation for numbers and times, and for each text column its smallest
-    distinct values (a top-n without a sort of all of them)."""
-    spark, parts = df.sparkSession, []
+    """Profile all columns of a table: one aggregation for numbers and times, and one pass over all text columns for
+    their smallest distinct values, of which each task keeps no more than are asked for."""
+    spark, parts = python_path(df.sparkSession), []
     spans = [(i, f) for i, f in enumerate(df.schema.fields) if _numeric(f.dataType) or isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
     if spans:
         ends = df.agg(*(g(f.name).alias(f"{n}{i}") for i, f in spans for g, n in ((F.min, "lo"), (F.max, "hi"))))
@@ -56,10 +78,13 @@ def profile_table(df: DataFrame, file_name: str, node_id: str, first: int, reque
                 values = [F.lit("date"), F.concat(F.lit("earliest:"), iso(lo)), F.concat(F.lit("latest:"), iso(hi))]
             rows.append(F.struct(F.lit(first + i).alias("pos"), F.lit(f.name).alias("column"), F.filter(F.array(*values), lambda x: x.isNotNull()).alias("values")))
         parts.append(ends.select(F.inline(F.array(*rows))))
-    for i, f in enumerate(df.schema.fields):
-        if isinstance(f.dataType, T.StringType):
-            some = df.select(F.col(f.name).alias("v")).where("v is not null").distinct().orderBy("v").limit(SAMPLES)
-            parts.append(some.agg(F.array_sort(F.collect_list("v")).alias("values")).select(F.lit(first + i).alias("pos"), F.lit(f.name).alias("column"), "values"))
+    texts = [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
+    if texts:
+        found = df.select(*(F.col(n) for _, n in texts)).mapInArrow(_least_values(SAMPLES), "k int, v string").distinct()
+        ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("v"))).where(F.col("r") <= SAMPLES)
+        listed = ranked.groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("values"))
+        names = spark.createDataFrame([(k, first + i, n) for k, (i, n) in enumerate(texts)], "k int, pos int, column string")
+        parts.append(F.broadcast(names).join(listed, "k", "left").select("pos", "column", F.coalesce("values", F.array().cast("array<string>")).alias("values")))
     if not parts:
         return spark.createDataFrame([], PROFILE)
     rows = reduce(DataFrame.unionByName, parts)

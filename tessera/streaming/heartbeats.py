@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.platform import EXPIRY_MINUTES
+from ..operators.platform import EXPIRY_MINUTES, job_states
 
 EXPIRES_MS = (EXPIRY_MINUTES + 1) * 60_000
 
@@ -37,7 +37,7 @@ def liveness(beats: DataFrame, clock: str = "processing") -> DataFrame:
         else:
             state.setTimeoutDuration(EXPIRES_MS)
 
-    rows = beats.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    rows = beats.where("node_id is not null").withColumn("node_id", F.col("node_id").cast("string")).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
     if event:
         rows = rows.withWatermark("ts", "0 seconds")
     timeout = GroupStateTimeout.EventTimeTimeout if event else GroupStateTimeout.ProcessingTimeTimeout
@@ -45,15 +45,21 @@ def liveness(beats: DataFrame, clock: str = "processing") -> DataFrame:
 
 
 def last_states(events: DataFrame) -> DataFrame:
-    """Latest state of each job, from a stream of rows (job_id, seq, state, percent); write it in update mode."""
-    return events.groupBy("job_id").agg(F.max_by(F.struct("state", "percent"), "seq").alias("x")).select("job_id", "x.state", "x.percent")
+    """Latest state of each job with its percentage within bounds, from a stream of rows (job_id, seq, state, percent);
+    write it in update mode."""
+    return job_states(events)
 
 
-def each_request(profiles: DataFrame, suggest: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+def each_request(profiles: DataFrame, suggest: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, stream: str = "requests", report: Callable[[int, str], None] | None = None):
     """Run ``suggest`` on each micro-batch of profiles and append what it gives to ``path``; a batch that is run again
-    after a failure replaces its own rows."""
+    after a failure replaces its own rows, and ``stream`` keeps those of several streams on one path apart. ``report``
+    is told (percent, message) when a batch begins and ends."""
 
     def batch(df: DataFrame, number: int) -> None:
-        suggest(df).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        tell = report or (lambda percent, message: None)
+        tell(1, f"Batch {number}…")
+        rows = suggest(df).withColumns({"stream": F.lit(stream), "batch": F.lit(number)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(path)
+        tell(100, "Done.")
 
     return profiles.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

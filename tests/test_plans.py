@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,9 +46,18 @@ def test_schemaless_covers_each_column_once_a_file(spark):
 
 
 def test_response_and_triples(spark):
-    got = suggest_schemaless(profiles(spark, ROWS[:4]))
-    body = hierarchy_json(got).first().json
-    assert body.startswith('{"success":true,"hierarchy":[{') and '"groupColumn":"Sex"' in body
+    every = profiles(spark, ROWS[:4])
+    got = suggest_schemaless(every)
+    asked = spark.createDataFrame([("r1",), ("r9",)], "request_id string")
+    dictionary = spark.createDataFrame([(123456, "Barthel total")], "concept_id long, label string")
+    said = {r.request_id: json.loads(r.json) for r in hierarchy_json(got, every, enrich(got, dictionary), asked).collect()}
+    assert said["r9"] == {"success": True, "message": "No suggestions produced.", "hierarchy": []} and said["r1"]["message"] == "Suggestions computed."
+    flat = {k: m for one in said["r1"]["hierarchy"] for k, m in one.items()}
+    barthel = next(m for k, m in flat.items() if "arthel" in k)
+    assert barthel["terminology"] == "Barthel total | 123456" and barthel["mappingType"] == "standard" and barthel["fileName"] == "suggested_mapping"
+    refs = [r for m in flat.values() for g in m["groups"] for v in g["values"] for r in v["mapping"]]
+    assert {(r["nodeId"], r["fileName"], r["groupColumn"]) for r in refs} == {(n, f, c) for _, n, f, c, _ in ROWS[:4]}
+    assert all(r["groupKey"] == f"{r['nodeId']}::{r['fileName']}" for r in refs)
     assert n_triples(got).count() == 4
 
 
