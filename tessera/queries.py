@@ -249,7 +249,23 @@ def embedding_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("label", (F.col("p") + 1).alias("i")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
-@query()
+_FNV_SQL = "list_reduce([2166136261::HUGEINT] || list_transform(string_split({0}, ''), lambda c: ascii(c)::HUGEINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295)::BIGINT"
+_VALUES_SQL = " UNION ALL ".join(f"SELECT '{t}' AS file, '{c}' AS col, unnest(list_slice(list_sort(list(DISTINCT {c})), 1, 15)) AS value FROM {t} WHERE {c} IS NOT NULL" for t, cs in _TEXTS.items() for c in cs)
+_CLINICAL_SQL = "(VALUES " + ", ".join(f"({i}, '{v}')" for i, (_, _, _, vs) in enumerate(CLINICAL) for v in vs[:15]) + ") AS c(pos, value)"
+
+
+@query(f"""WITH x AS (SELECT 'tables' AS request_id, n.pos, v.value FROM ({_VALUES_SQL}) v JOIN {_NAMES_SQL} ON n.file = v.file AND n.col = v.col UNION ALL SELECT 'clinical', pos, value FROM {_CLINICAL_SQL}),
+s AS (SELECT request_id, pos, {_NV_SQL.format("value")} AS s FROM x),
+g AS (SELECT request_id, pos, unnest(list_filter(regexp_split_to_array(s, '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS g, 1.0::DOUBLE AS w FROM s
+UNION ALL SELECT request_id, pos, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))), 0.30 FROM s
+UNION ALL SELECT request_id, pos, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))), 0.70 FROM s
+UNION ALL SELECT request_id, pos, unnest(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4))), 0.55 FROM s),
+c AS (SELECT request_id, pos, g, sum(w) AS w FROM g GROUP BY ALL),
+i AS (SELECT request_id, pos, {_FNV_SQL.format("g")} & 2047 AS idx, sum(w) AS w FROM c GROUP BY ALL),
+m AS (SELECT request_id, pos, sqrt(sum(w * w)) AS norm FROM i GROUP BY ALL)
+SELECT a.request_id, a.pos AS a, b.pos AS b, round(sum(a.w * b.w) / any_value(ma.norm * mb.norm), 6) AS cosine
+FROM i a JOIN i b ON a.request_id = b.request_id AND a.idx = b.idx AND a.pos < b.pos
+JOIN m ma ON ma.request_id = a.request_id AND ma.pos = a.pos JOIN m mb ON mb.request_id = b.request_id AND mb.pos = b.pos GROUP BY a.request_id, a.pos, b.pos""")
 def value_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clinical(spark).unionByName(profiles(spark, sf_dir))
     pairs = vectors.sparse_cosines(vectors.sparse_value_vectors(rows, ["request_id", "pos"]), "pos", ["request_id"])
@@ -368,7 +384,18 @@ def search_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.search_variant_rows(read(spark, sf_dir, "benchmark").select("item_id", "text"), "text").select("item_id", "variant").distinct()
 
 
-@query()
+_WORDS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH src AS (SELECT p_name AS query FROM part UNION SELECT text FROM benchmark), q AS (SELECT query, {_QUERY_SQL.format("query")} AS q FROM src),
+t AS (SELECT query, q, list_filter(string_split(q, ' '), lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+')) AS toks FROM q),
+n AS (SELECT query, toks, unnest(range(1, len(toks) + 1)) AS k FROM t), r AS (SELECT query, toks, k, unnest(range(1, len(toks) - k + 2)) AS s FROM n),
+v AS (SELECT query, 0 AS ord, q AS variant FROM t UNION ALL SELECT query, 1, array_to_string(list_filter(string_split(q, ' '), lambda x: NOT regexp_full_match(x, '[0-9]*')), ' ') FROM t
+UNION ALL SELECT query, 2 + (len(toks) - k) * len(toks) + s, array_to_string(list_slice(toks, s, s + k - 1), ' ') FROM r WHERE k = 1 OR k < len(toks)),
+l AS (SELECT query, ord, variant, list_sort(list_transform({_WORDS_SQL.format("variant")}, lambda w: {{'n': length(w), 'w': w}}), 'DESC')[1].w AS longest FROM v WHERE variant <> ''),
+d AS (SELECT item_id, lower(text) AS label, {_WORDS_SQL.format("text")} AS words FROM benchmark),
+m AS (SELECT query, item_id, label, min(ord) AS ord FROM l JOIN d ON list_contains(words, longest) AND contains(label, variant) GROUP BY ALL)
+SELECT query, rank, concept_id FROM (SELECT query, item_id AS concept_id, (row_number() OVER (PARTITION BY query ORDER BY ord, item_id))::INTEGER AS rank FROM m) WHERE rank <= 12""")
 def term_lookup_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionary = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("concept_id"), F.col("text").alias("label"))
     queries = read(spark, sf_dir, "part").select(F.col("p_name").alias("query")).unionByName(dictionary.select(F.col("label").alias("query")))
