@@ -24,7 +24,3 @@ class Memory(dict):
                 self.before = dict(self)
                 self.clear()
             self[key] = value
-
-    def unknown(self, keys) -> list[str]:
-        """Those of ``keys`` that aren't remembered."""
-        return [k for k in keys if k not in self and k not in self.before]

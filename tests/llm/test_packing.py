@@ -139,3 +139,17 @@ def test_added_tokens_in_a_text_as_the_unmodified_library(spark):
         ids = [*want[i], 2]
         assert (n, crc) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
     assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(ids) + 1 for i, ids in enumerate(want)}
+
+
+def test_ids_of_mixed_letters_and_of_blocks(monkeypatch):
+    from tessera.llm import packing
+
+    rng, lib = random.Random(5), Tokenizer.from_file(PATH)
+    plain = [*"aAbZzéÉßÿ÷×'stredvml0 19  \n\t\r.,!@#", "'s", "'re", "'LL"]
+    mixed = [*plain, *"\x0b\x0c\x1c\x85\xa0µªº́你ş̈İ½²😀ﬁ", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for letters in (plain, mixed) for _ in range(1500)]
+    for block in (packing._BLOCK, 7):
+        monkeypatch.setattr(packing, "_BLOCK", block)
+        ours = WordTokens(PATH, added=True)
+        for text in texts:
+            assert np.frombuffer(ours.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, (block, text)
