@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,32 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; ``remove_folders`` takes it away."""
+    _WRITTEN.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read again: as ``durable``, but readers take the columns they need."""
+    spark, at = df.sparkSession, new_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def remove_folders(spark: SparkSession) -> int:
+    """Remove what this process has written by ``new_folder`` and ``stored``, once their results have been used; returns
+    the number of folders that were there. A session that ends without it leaves them for the folder's owner."""
+    jvm, conf, gone = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer partitions than the cluster has slots, dealt evenly: one file of one row group is one task. Larger
     inputs stay as they are, so what is shuffled here is never more than a small table."""

@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from .operators import clustering, matching, platform, terminology
 from .plans.enrich import enrich
 from .plans.suggest import hierarchy_json, prepared, suggest_schemaless
 from .queries import _CAMEL_SQL, _everything, clinical, query
-from .runtime import read, shared_folder
+from .runtime import new_folder, read
 from .sources import catalog
 from .streaming.heartbeats import liveness
 
@@ -182,7 +181,7 @@ def suggestion_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def liveness_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transitions of nodes that a replay of the events gives, by event time, in one run over what is there."""
-    at = f"{shared_folder(spark).rstrip('/')}/liveness-{uuid.uuid4().hex}"
+    at = new_folder(spark, "liveness")
     beats = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
     beats = beats.select(F.col("user_id").alias("node_id"), F.col("ts").cast("timestamp").alias("ts"))
     run = liveness(beats, "event").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
