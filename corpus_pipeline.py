@@ -6,7 +6,6 @@ writes each stage's rows to the shared folder and reads them again, so a lost ex
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,7 +18,7 @@ from tessera.llm.packing import pack
 from tessera.llm.pii_bootstrap import redact
 from tessera.llm.quality_pu import keep_good
 from tessera.llm.queries import PACKING
-from tessera.runtime import read, shared_folder, spread
+from tessera.runtime import new_folder, read, spread
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -63,7 +62,7 @@ ORACLE_SQL = None  # the classifier, the components and the packing have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = new_folder(spark, "pipeline")
     docs = spread(read(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import durable, python_path, shared_folder
+from ..runtime import durable, new_folder, python_path
 from .hot import hot_join, repeated
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -212,6 +212,6 @@ def resolved_records(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write ``pages`` to fresh archives in the shared folder and read them back."""
     spark = pages.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     write_archives(pages, path, **options)
     return resolved_records(spark, path)
