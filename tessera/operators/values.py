@@ -1,12 +1,15 @@
 """Value harmonization of mappings: ranges, ordinal crosswalks, enums, closed domains, identity and clustered values.
 
 Members of mappings are rows (request_id, mapping, pos, file_key, column, concept, values, stats, type). Buckets are rows
-(request_id, mapping, bucket int, name, refs array<struct<pos, column, value, lo, hi>>): ``value`` is a category, ``lo``
-and ``hi`` an interval. Values of one source never share a bucket unless they are equal once normalized.
+(request_id, mapping, bucket int, name, refs array<struct<pos, column, value, lo, hi>>): ``value`` is a category as its
+source writes it, ``lo`` and ``hi`` an interval. Values compare and name buckets once normalized; those of one source
+never share a bucket unless they are equal then, and a source that repeats a value has a ref for each time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,12 @@ def _refs(ref: Column) -> Column:
     return F.array_sort(F.collect_list(ref)).alias("refs")
 
 
+def _raw_refs() -> Column:
+    """The source's own values, in the order of sources and of their values."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), F.col("value_pos").alias("v"), _ref(F.col("raw"), None, None).alias("ref"))))
+    return F.transform(listed, lambda x: x["ref"]).alias("refs")
+
+
 def _ranked(buckets: DataFrame, *order: Column) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy(*order)
     return buckets.select(*KEY, (F.row_number().over(w) - 1).cast("int").alias("bucket"), "name", "refs")
@@ -73,10 +82,10 @@ def ordinal_crosswalk(members: DataFrame) -> DataFrame:
 
 
 def _values(members: DataFrame, settings: Settings, markers_out: bool) -> DataFrame:
-    """Distinct normalized values of a source, in order, of its first raw values."""
-    raw = F.transform(F.slice("values", 1, settings.values_per_source), lambda x: F.when(F.lower(F.trim(x)).rlike(MARKER), "").otherwise(normalize_value(x)) if markers_out else normalize_value(x))
-    rows = members.select(*KEY, "pos", "file_key", "column", F.posexplode(F.array_distinct(F.filter(raw, lambda x: x != ""))).alias("value_pos", "nv"))
-    return rows
+    """The first values of each source, a row each time: as they are (raw) and normalized (nv), without blank ones."""
+    rows = members.select(*KEY, "pos", "file_key", "column", F.posexplode(F.slice("values", 1, settings.values_per_source)).alias("value_pos", "raw"))
+    nv = normalize_value(F.col("raw"))
+    return rows.withColumn("nv", F.when(F.lower(F.trim("raw")).rlike(MARKER), "").otherwise(nv) if markers_out else nv).where("nv <> ''")
 
 
 def enum_buckets(members: DataFrame, enums: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -87,14 +96,14 @@ def enum_buckets(members: DataFrame, enums: DataFrame, settings: Settings = Sett
     right = sparse_value_vectors(enums.withColumn("v", F.array("enum")), [*KEY, "enum_pos", "enum"], "v").withColumnRenamed("w", "we")
     sims = left.join(right, [*KEY, "idx"]).groupBy(*KEY, "nv", "enum_pos", "enum").agg(F.sum(F.col("w") * F.col("we")).alias("sim")).where(F.col("sim") >= ENUM_LEAST)
     best = sims.groupBy(*KEY, "nv").agg(F.min(F.struct(-F.round("sim", 9), F.col("enum_pos"), F.col("enum"))).alias("b")).select(*KEY, "nv", "b.enum_pos", "b.enum")
-    out = values.join(best, [*KEY, "nv"]).groupBy(*KEY, "enum_pos", "enum").agg(_refs(_ref(F.col("nv"), None, None)))
+    out = values.join(best, [*KEY, "nv"]).groupBy(*KEY, "enum_pos", "enum").agg(_raw_refs())
     return out.select(*KEY, F.col("enum_pos").alias("bucket"), F.col("enum").alias("name"), "refs")
 
 
 def identity_buckets(members: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """A bucket for each distinct value, of mappings with 2 to 25 of them, the most frequent first."""
     values = _values(members, settings, True)
-    out = values.groupBy(*KEY, F.col("nv").alias("name")).agg(_refs(_ref(F.col("nv"), None, None)))
+    out = values.groupBy(*KEY, F.col("nv").alias("name")).agg(_raw_refs())
     sizes = out.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n").between(2, DOMAIN_MOST)).select(*KEY)
     return _ranked(out.join(sizes, KEY), F.size("refs").desc(), F.col("name"))
 
@@ -114,19 +123,19 @@ def closed_domain_edges(members: DataFrame, settings: Settings = Settings()) ->
 
 
 def closed_domain_components(members: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(request_id, mapping, t, root): values of closed domains with the smallest value they are linked to. Domains
-    have 25 values at most, so paths are found in a fixed number of doubling rounds."""
-    edges = durable(closed_domain_edges(members, settings))
+    """(request_id, mapping, t, root): values of closed domains with the smallest value they are linked to. A domain has
+    25 values at most, so its links are merged within a row: each gives all values of both ends the smaller root."""
     values = _values(members, settings, False)
-    closed = values.groupBy(*KEY).agg(F.countDistinct("nv").alias("n")).where(F.col("n").between(2, DOMAIN_MOST)).select(*KEY)
-    tokens = values.join(closed, KEY).select(*KEY, F.col("nv").alias("t")).distinct()
-    reach = edges.unionByName(edges.select(*KEY, F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(tokens.select(*KEY, F.col("t").alias("a"), F.col("t").alias("b"))).distinct()
-    reach, was = durable(reach), -1
-    while (now := reach.count()) != was:  # at most five rounds, as 2 ** 5 > 25
-        was = now
-        step = reach.select(*KEY, F.col("a").alias("b"), F.col("b").alias("c"))
-        reach = durable(reach.join(step, [*KEY, "b"]).select(*KEY, "a", F.col("c").alias("b")).distinct())
-    return reach.groupBy(*KEY, F.col("a").alias("t")).agg(F.min("b").alias("root"))
+    tokens = values.groupBy(*KEY).agg(F.array_sort(F.collect_set("nv")).alias("t")).where(F.size("t").between(2, DOMAIN_MOST))
+    edges = closed_domain_edges(members, settings).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("edges"))
+    rows = tokens.join(edges, KEY, "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<a:string,b:string>>")))
+
+    def merge(roots: Column, edge: Column) -> Column:
+        a, b = (F.element_at(roots, F.array_position("t", edge[end]).cast("int")) for end in "ab")
+        return F.transform(roots, lambda r: F.when((r == a) | (r == b), F.least(a, b)).otherwise(r))
+
+    rows = rows.withColumn("roots", F.aggregate("edges", F.col("t"), merge))
+    return rows.select(*KEY, F.inline(F.arrays_zip("t", F.col("roots").alias("root"))))
 
 
 def closed_domain_buckets(members: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -137,7 +146,7 @@ def closed_domain_buckets(members: DataFrame, settings: Settings = Settings()) -
     often = placed.groupBy(*KEY, "root", "nv").agg(F.count("*").alias("f"))
     merit = F.col("f") * 100 + F.least(F.length("nv"), F.lit(30)) - F.when(F.length("nv") == 1, 500).otherwise(0)
     names = often.groupBy(*KEY, "root").agg(F.min(F.struct((-merit).alias("k"), F.lower("nv").alias("l"), F.col("nv"))).alias("b")).select(*KEY, "root", F.col("b.nv").alias("name"))
-    out = placed.groupBy(*KEY, "root").agg(_refs(_ref(F.col("nv"), None, None))).where("size(refs) >= 2").join(names, [*KEY, "root"])
+    out = placed.groupBy(*KEY, "root").agg(_raw_refs()).where("size(refs) >= 2").join(names, [*KEY, "root"])
     files = members.groupBy(*KEY).agg(F.countDistinct("file_key").alias("n")).where("n >= 2").select(*KEY)
     enough = out.groupBy(*KEY).agg(F.count("*").alias("n")).where("n >= 2").select(*KEY)
     return _ranked(out.join(files, KEY).join(enough, KEY), F.size("refs").desc(), F.col("name"))
@@ -166,7 +175,7 @@ def clustered_buckets(members: DataFrame, settings: Settings = Settings()) -> Da
             else:
                 s, k = max(scored, default=(0.0, 0))
                 into = clusters[-k] if clusters and s >= CLUSTER_LEAST else None
-                if into is not None and any(p == r.pos and v != r.nv for p, v in into["refs"]):
+                if into is not None and any(p == r.pos and v != r.nv for p, v, _ in into["refs"]):
                     into = None
             if into is None:
                 into = {"sum": {}, "norm": 0.0, "names": {}, "refs": []}
@@ -175,14 +184,14 @@ def clustered_buckets(members: DataFrame, settings: Settings = Settings()) -> Da
                 into["sum"][i] = into["sum"].get(i, 0.0) + w
             into["norm"] = sum(w * w for w in into["sum"].values()) ** 0.5
             into["names"][r.nv] = into["names"].get(r.nv, 0) + 1
-            into["refs"].append((r.pos, r.nv))
+            into["refs"].append((r.pos, r.nv, r.raw))
         first = pdf.iloc[0]
         columns = dict(zip(pdf["pos"], pdf["column"], strict=True))
         ranked = sorted(clusters, key=lambda c: -len(c["refs"]))
         out = []
         for k, c in enumerate(ranked):
             name = min(c["names"], key=lambda v: (-c["names"][v], len(v)))
-            out.append((first.request_id, first.mapping, k, name, [{"pos": int(p), "column": columns[p], "value": v, "lo": None, "hi": None} for p, v in c["refs"]]))
+            out.append((first.request_id, first.mapping, k, name, [{"pos": int(p), "column": columns[p], "value": raw, "lo": None, "hi": None} for p, _, raw in c["refs"]]))
         return pd.DataFrame(out, columns=[*KEY, "bucket", "name", "refs"])
 
     kind = members.schema["mapping"].dataType.simpleString()
@@ -190,25 +199,26 @@ def clustered_buckets(members: DataFrame, settings: Settings = Settings()) -> Da
 
 
 def harmonized(members: DataFrame, enums: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
-    """Buckets of all mappings with their kind: each kind of plan sees only what the ones before left over."""
-    typed = members.groupBy(*KEY).agg(F.max("type").alias("mapping_type"))
-    rows = members.join(typed, KEY)
-    out, rest = None, durable(rows)
-
-    def take(kind: str, buckets: DataFrame) -> None:
-        nonlocal out, rest
-        found = durable(buckets.withColumn("kind", F.lit(kind)))
-        out = found if out is None else out.unionByName(found)
-        rest = durable(rest.join(found.select(*KEY).distinct(), KEY, "left_anti"))
+    """Buckets of all mappings with their kind.
 
+    Types and sizes of domains say which kinds a mapping may get: dates a range; numbers an ordinal crosswalk, else a
+    range; categories what their enum gives, else their closed domain, else their identity (2 to 25 values) or clusters,
+    else a range. Kinds that may apply are built side by side, and each mapping keeps the first that gave buckets."""
+    values = _values(members, settings, True)
+    sizes = values.groupBy(*KEY).agg(F.countDistinct("nv").alias("domain"))
+    typed = members.groupBy(*KEY).agg(F.max("type").alias("mapping_type")).join(sizes, KEY, "left")
+    rows = durable(members.join(typed, KEY))
     numeric = F.col("mapping_type").isin("integer", "number", "double", "float", "long")
-    take("range", range_buckets(rest.where(F.col("mapping_type").isin("date", "datetime"))))
-    take("ordinal", ordinal_crosswalk(rest.where(numeric)))
-    take("range", range_buckets(rest.where(numeric)))
+    date = F.col("mapping_type").isin("date", "datetime")
+    small = F.coalesce(F.col("domain").between(2, DOMAIN_MOST), F.lit(False))
+    plain = ~numeric & ~date | F.col("mapping_type").isNull()
+    kinds = [("range", range_buckets(rows.where(date | numeric)), 9), ("ordinal", ordinal_crosswalk(rows.where(numeric)), 0)]
     if enums is not None:
-        take("enum", enum_buckets(rest, enums, settings))
-    take("closed", closed_domain_buckets(rest, settings))
-    take("identity", identity_buckets(rest, settings))
-    take("clustered", clustered_buckets(rest, settings))
-    take("fallback", range_buckets(rest))
-    return out
+        kinds.append(("enum", enum_buckets(rows.where(plain), enums, settings), 0))
+    kinds += [
+        ("closed", closed_domain_buckets(rows.where(plain), settings), 1), ("identity", identity_buckets(rows.where(plain & small), settings), 2),
+        ("clustered", clustered_buckets(rows.where(plain & ~small), settings), 3), ("fallback", range_buckets(rows.where(plain)), 9),
+    ]
+    every = reduce(DataFrame.unionByName, (b.withColumns({"kind": F.lit(kind), "turn": F.lit(turn)}) for kind, b, turn in kinds))
+    first = F.min("turn").over(Window.partitionBy(*KEY))
+    return every.withColumn("first", first).where("turn = first").drop("turn", "first")

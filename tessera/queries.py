@@ -338,12 +338,22 @@ def range_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.when(F.col("column").startswith("l_"), "lineitem").otherwise("part").alias("file"), "column", "name", "lo", "hi")
 
 
-@query(f"""WITH v AS (SELECT DISTINCT 'o_orderstatus' AS col, {_NV_SQL.format('o_orderstatus')} AS nv FROM orders UNION ALL SELECT DISTINCT 'l_linestatus', {_NV_SQL.format('l_linestatus')} FROM lineitem),
-g AS (SELECT nv AS name, count(*) AS c FROM v WHERE nv <> '' GROUP BY nv), r AS (SELECT name, c, (row_number() OVER (ORDER BY c DESC, name) - 1)::INTEGER AS bucket FROM g WHERE (SELECT count(*) FROM g) BETWEEN 2 AND 25)
-SELECT r.bucket, r.name, v.col AS "column" FROM r JOIN v ON v.nv = r.name""")
+# Columns with few values; the first two make one mapping, as two sources of it, the others one each.
+_CATEGORIES = ["o_orderstatus", "l_linestatus", "o_orderpriority", "c_mktsegment", "l_returnflag", "r_name", "n_name", "event_type"]
+_CATEGORIES_SQL = " UNION ALL ".join(
+    f"SELECT {max(i - 1, 0)} AS mapping, '{c}' AS col, raw, {_NV_SQL.format('raw')} AS nv FROM (SELECT DISTINCT {c} AS raw FROM {_OWNER.get(c.split('_')[0], 'events') if c != 'event_type' else 'events'} WHERE {c} IS NOT NULL ORDER BY raw LIMIT 80)"
+    for i, c in enumerate(_CATEGORIES)
+)
+
+
+@query(f"""WITH v AS ({_CATEGORIES_SQL}), g AS (SELECT mapping, nv AS name, count(*) AS c FROM v WHERE nv <> '' GROUP BY ALL),
+r AS (SELECT mapping, name, (row_number() OVER (PARTITION BY mapping ORDER BY c DESC, name) - 1)::INTEGER AS bucket, count(*) OVER (PARTITION BY mapping) AS n FROM g)
+SELECT r.bucket, r.name, v.col AS "column", v.raw AS value FROM r JOIN v ON v.mapping = r.mapping AND v.nv = r.name WHERE r.n BETWEEN 2 AND 25""")
 def identity_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profile_tables({t: read(spark, sf_dir, t) for t in ("orders", "lineitem")}).where("column in ('o_orderstatus', 'l_linestatus')")
-    return _flat(values.identity_buckets(_members(rows, "1"))).select("bucket", "name", "column")
+    rows = profiles(spark, sf_dir).where(F.col("column").isin(_CATEGORIES))
+    mapping = F.greatest(F.array_position(F.lit(_CATEGORIES), F.col("column")) - 2, F.lit(0))
+    members = prepared(rows).withColumns({"mapping": mapping.cast("long"), "type": F.lit("")})
+    return _flat(values.identity_buckets(members)).select("bucket", "name", "column", "value")
 
 
 @query("SELECT 1::BIGINT AS mapping, * FROM (VALUES ('f', 'female'), ('m', 'male')) AS x(a, b)")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from tessera.operators.clustering import is_abbreviation_pair
 from tessera.operators.matching import best_fields
 from tessera.operators.noise import leading_contexts
-from tessera.operators.values import harmonized
+from tessera.operators.values import closed_domain_components, clustered_buckets, enum_buckets, harmonized, identity_buckets
 from tessera.plans.enrich import enrich
-from tessera.plans.suggest import hierarchy_json, n_triples, prepared, suggest_schema, suggest_schemaless
+from tessera.plans.suggest import hierarchy_json, mapping_csv, n_triples, prepared, suggest_schema, suggest_schemaless
 from tessera.sources.json_schema import schema_fields
 from tessera.sources.profile import PROFILE, column_stats
 
@@ -116,6 +116,42 @@ def test_values_of_one_source_stay_apart(spark):
     assert len(got) == 26 and {r.kind for r in got} == {"clustered"}
 
 
+def test_refs_carry_the_values_of_the_source(spark, tmp_path):
+    """As clients look their values up again: in their own case, and once for each time that they stand there."""
+    rows = [("r", "n1", "a.csv", "Sex", ["Male", "FEMALE", "male"]), ("r", "n2", "b.csv", "sex", ["M", "F"])]
+    every = profiles(spark, rows)
+    got = suggest_schemaless(every)
+    (one,) = got.collect()
+    assert one.kind == "closed"
+    assert {v.name: [(x.column, x.value) for x in v.refs] for v in one["values"]} == {"male": [("Sex", "Male"), ("Sex", "male"), ("sex", "M")], "female": [("Sex", "FEMALE"), ("sex", "F")]}
+    (said,) = hierarchy_json(got, every).collect()
+    refs = [x["value"] for m in json.loads(said.json)["hierarchy"] for one in m.values() for g in one["groups"] for v in g["values"] for x in v["mapping"]]
+    assert sorted(refs) == ["F", "FEMALE", "M", "Male", "male"]
+    mapping_csv(got, str(tmp_path / "csv"))
+    assert sorted(r.value for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()) == sorted(refs)
+
+
+def members_of(spark, *sources):
+    rows = prepared(profiles(spark, [("r", f"n{i}", "a.csv" if i == 0 else "b.csv", "col", v) for i, v in enumerate(sources)]))
+    return rows.withColumns({"mapping": F.lit(1).cast("long"), "type": F.lit("")}).select("request_id", "mapping", "pos", "file_key", "column", "concept", "values", "stats", "type")
+
+
+def test_raw_values_of_every_plan(spark):
+    flat = lambda df: sorted((r.name, x.value) for r in df.collect() for x in r.refs)
+    one = members_of(spark, ["Yes ", "NO", "no", "integer", "", None])
+    assert flat(identity_buckets(one)) == [("no", "NO"), ("no", "no"), ("yes", "Yes ")]
+    enums = spark.createDataFrame([("r", 1, 0, "yes"), ("r", 1, 1, "no")], "request_id string, mapping long, enum_pos int, enum string")
+    assert flat(enum_buckets(one, enums)) == [("no", "NO"), ("no", "no"), ("yes", "Yes ")]
+    many = members_of(spark, ["Value-A", "VALUE A"], ["value_a"])
+    assert flat(clustered_buckets(many)) == [("value a", "VALUE A"), ("value a", "Value-A"), ("value a", "value_a")]
+
+
+def test_components_of_chains(spark):
+    chain = members_of(spark, ["Ischemic", "hemorrhagic"], ["isch"], ["hem", "other"])
+    roots = {r.t: r.root for r in closed_domain_components(chain).collect()}
+    assert roots["isch"] == roots["ischemic"] == "isch" and roots["hem"] == roots["hemorrhagic"] == "hem" and roots["other"] == "other"
+
+
 def test_markers(spark):
     row = profiles(spark, [("r", "n", "f", "c", ["Integer", "min:x", "min:1", "max:2.5e1", "step:5", "earliest:2024-01-01T00:00:00Z", "max:nan"])]).select(column_stats(F.col("values")).alias("s")).first().s
     assert (row.has_int, row.has_double, row.num_min, row.num_max, row.step_hint, row.date_min_ms) == (True, False, 1.0, 25.0, 5, 1704067200000)
