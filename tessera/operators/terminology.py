@@ -11,6 +11,7 @@ from ..functions.text import (
     terminology_gate, terminology_label, value_phrase,
 )
 from ..functions.vectors import sparse_value_vectors
+from .nearest import near_pairs
 
 NEAREST_LEAST = 0.65
 TOP = 12
@@ -45,12 +46,14 @@ def suggestions(queries: DataFrame, dictionary: DataFrame, top: int = TOP) -> Da
 
 
 def nearest_concepts(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(query, concept_id, label, sim): the nearest concept by hashed vectors, where it is near enough."""
-    q = sparse_value_vectors(queries.select("query").distinct().withColumn("v", F.array("query")), ["query"], "v").withColumnRenamed("w", "wq")
-    d = sparse_value_vectors(dictionary.withColumn("v", F.array("label")), ["concept_id", "label"], "v")
-    sims = q.join(d, "idx").groupBy("query", "concept_id", "label").agg(F.sum(F.col("wq") * F.col("w")).alias("sim")).where(F.col("sim") > NEAREST_LEAST)
-    best = sims.groupBy("query").agg(F.min(F.struct((-F.round("sim", 9)).alias("k"), F.col("concept_id"), F.col("label"), F.col("sim"))).alias("b"))
-    return best.select("query", "b.concept_id", "b.label", "b.sim")
+    """(query, concept_id, label, sim): the nearest concept by hashed vectors, where it is near enough. Of labels that
+    several concepts share, the smallest id stands in the index."""
+    labels = dictionary.where("label is not null").groupBy("label").agg(F.min("concept_id").alias("concept_id"))
+    q = sparse_value_vectors(queries.select(F.col("query").alias("q")).distinct().withColumn("v", F.array("q")), ["q"], "v")
+    d = sparse_value_vectors(labels.select(F.col("label").alias("d"), F.array("label").alias("v")), ["d"], "v")
+    sims = near_pairs(q, d, NEAREST_LEAST).join(labels.withColumnRenamed("label", "d"), "d")
+    best = sims.groupBy("q").agg(F.min(F.struct((-F.round("sim", 9)).alias("k"), F.col("concept_id"), F.col("d"), F.col("sim"))).alias("b"))
+    return best.select(F.col("q").alias("query"), "b.concept_id", F.col("b.d").alias("label"), "b.sim")
 
 
 def missing(asked: DataFrame, found: DataFrame) -> DataFrame:

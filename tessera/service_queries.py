@@ -14,8 +14,11 @@ from .plans.enrich import enrich
 from .plans.suggest import hierarchy_json, prepared, suggest_schemaless
 from .queries import _CAMEL_SQL, _everything, clinical, query
 from .runtime import new_folder, read
+from .sources.server import register as register_source
+from .sources.server import write_pages
 from .sources import catalog
 from .streaming.heartbeats import liveness
+from .streaming.jobs import TRANSITIONS, replay
 
 
 @query("""SELECT row_number() OVER (ORDER BY t)::VARCHAR AS id, t AS label, '' AS description, 'http://example.org/ontology/' || t AS iri
@@ -34,13 +37,49 @@ def class_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.class_fields(forms.unionByName(broken))
 
 
-@query("""SELECT s_suppkey AS node_id, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS title, CASE WHEN s_suppkey % 7 <> 0 THEN 2 END AS datasets, CASE WHEN s_suppkey % 7 <> 0 THEN 3 END AS distributions FROM supplier""")
+_METADATA = """'{"@context":"x","dataset":' || CASE {0} % 5 WHEN 0 THEN '{"title":"' || {1} || '","keyword":"solo","publisher":{"name":"P' || {0} || '","country":"x"},"extra":[1,{"a":true}]}'
+WHEN 1 THEN '[{"title":"' || {1} || '","keyword":["k1",{"label":"k2"},3],"publisher":"plain","hasPersonalData":true},{"title":null,"distribution":{"format":"csv","odd":2.5}}]'
+WHEN 2 THEN '[{"keyword":{"prefLabel":"' || {1} || '"},"distribution":[{"title":"d","format":{"@id":"f"}},"text"],"variables":[{"name":"v1","dataType":["a","b"]},{"name":"v2"}]}]'
+WHEN 3 THEN '[]' ELSE '"none"' END || '}'"""
+_METADATA_SQL = "CASE WHEN s_suppkey % 7 = 0 THEN '{\"dataset\"' ELSE " + _METADATA.replace("{0}", "s_suppkey").replace("{1}", "s_name") + " END"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DCAT document for each supplier, with fields of every form; some don't parse."""
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), F.expr(_METADATA_SQL).alias("document"))
+
+
+_DATASETS_SQL = f"""d AS (SELECT s_suppkey AS node_id, try_cast({_METADATA_SQL} AS JSON) AS j FROM supplier),
+l AS (SELECT node_id, CASE json_type(j, '$.dataset') WHEN 'ARRAY' THEN CAST(json_extract(j, '$.dataset') AS JSON[]) WHEN 'OBJECT' THEN [json_extract(j, '$.dataset')] ELSE [] END AS l FROM d),
+s AS (SELECT node_id, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS dataset FROM l)"""
+
+
+@query(f"""WITH {_DATASETS_SQL},
+p AS (SELECT node_id, 'dataset' AS part, dataset, 0 AS item, o FROM s
+UNION ALL SELECT node_id, part, dataset, i, o FROM (SELECT node_id, part, dataset, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS i FROM (
+SELECT node_id, x.part, dataset, CASE json_type(o, x.path) WHEN 'ARRAY' THEN CAST(json_extract(o, x.path) AS JSON[]) WHEN 'OBJECT' THEN [json_extract(o, x.path)] ELSE [] END AS l
+FROM s, (VALUES ('distribution', '$.distribution'), ('variable', '$.variables')) AS x(part, path))) WHERE json_type(o) = 'OBJECT'),
+f AS (SELECT node_id, part, dataset, item, o, unnest(json_keys(o)) AS field FROM p),
+v AS (SELECT node_id, part, dataset, item, field, json_extract(o, '$."' || field || '"') AS v FROM f WHERE part <> 'dataset' OR field NOT IN ('distribution', 'variables')),
+i AS (SELECT node_id, part, dataset, item, field, unnest(l) AS v, generate_subscripts(l, 1) - 1 AS index FROM (SELECT *, CASE WHEN json_type(v) = 'ARRAY' THEN CAST(v AS JSON[]) ELSE [v] END AS l FROM v)),
+k AS (SELECT *, CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind FROM i WHERE json_type(v) <> 'NULL')
+SELECT node_id, part, dataset, item, field, index, kind,
+CASE WHEN kind = 'object' THEN coalesce(v->>'name', v->>'title', v->>'label', v->>'prefLabel', v->>'uri', v->>'$."@id"', v::VARCHAR) ELSE v->>'$' END AS text,
+list_contains(CASE part WHEN 'dataset' THEN {catalog.DATASET!r} WHEN 'distribution' THEN {catalog.DISTRIBUTION!r} ELSE {catalog.VARIABLE!r} END, field) AS known FROM k""")
 def node_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.concat(F.lit('{"title":"'), F.col("s_name"), F.lit('","more":{"x":1},"dataset":[{"title":"a","distribution":["csv","rdf"]},{"title":"b","distribution":["csv"],"variables":["v"]}]}'))
-    documents = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), F.when(F.col("s_suppkey") % 7 == 0, F.lit("<html>")).otherwise(whole).alias("document"))
-    rows = catalog.node_metadata(documents)
-    total = F.aggregate("datasets", F.lit(0), lambda a, x: a + x["distributions"])
-    return rows.select("node_id", "title", F.when(F.col("datasets").isNotNull(), F.size("datasets")).alias("datasets"), total.alias("distributions"))
+    rows = catalog.node_metadata(_documents(spark, sf_dir))
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("dataset", "index")})
+
+
+@query(f"""WITH {_DATASETS_SQL}, w AS (SELECT node_id, dataset, o, CASE json_type(o, '$.keyword') WHEN 'ARRAY' THEN CAST(o->'$.keyword' AS JSON[]) WHEN 'NULL' THEN [] ELSE CASE WHEN (o->'$.keyword') IS NULL THEN [] ELSE [o->'$.keyword'] END END AS k FROM s)
+SELECT node_id, dataset, o->>'$.title' AS title, array_to_string(list_transform(k, lambda x: coalesce(CASE WHEN json_type(x) = 'OBJECT' THEN coalesce(x->>'label', x->>'prefLabel') END, x->>'$')), '|') AS keywords,
+CASE WHEN json_type(o, '$.publisher') = 'OBJECT' THEN o->>'$.publisher.name' ELSE o->>'$.publisher' END AS publisher,
+(CASE json_type(o, '$.distribution') WHEN 'ARRAY' THEN 1 WHEN 'OBJECT' THEN 1 ELSE 0 END)::BIGINT AS distributions, coalesce(json_array_length(o, '$.variables'), 0)::BIGINT AS variables,
+coalesce(CASE WHEN (o->'$.extra') IS NOT NULL THEN (o->>'$.extra[0]') || '|' || (o->>'$.extra[1]') END, '') AS extra FROM w""")
+def node_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.node_datasets(_documents(spark, sf_dir))
+    extra = F.coalesce(F.try_element_at("additional", F.lit("extra")), F.lit(""))
+    return rows.select("node_id", F.col("dataset").cast("bigint").alias("dataset"), "title", F.array_join("keywords", "|").alias("keywords"), "publisher", "distributions", "variables", extra.alias("extra"))
 
 
 @query("""SELECT user_id AS slot, arg_max(coalesce(props, ''), event_id) AS schema FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'view'""")
@@ -192,3 +231,58 @@ def liveness_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def clinical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_columns(prepared(clinical(spark))).select("pos", "cluster", "representative", "role")
+
+
+@query("SELECT item_id::VARCHAR AS concept_id, trim(text) AS label FROM benchmark WHERE trim(text) <> ''")
+def terminology_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark as the kept answers of a terminology server, scanned page by page."""
+    register_source(spark)
+    at = new_folder(spark, "terminology")
+    item = F.to_json(F.struct(F.struct(F.col("item_id").cast("string").alias("conceptId"), F.struct(F.col("text").alias("term")).alias("pt")).alias("concept")))
+    write_pages(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("position"), item.alias("item")), at, page=16)
+    return terminology.concepts(spark.read.format("terminology").option("path", at).load())
+
+
+_GRAMS_SQL = """g AS (SELECT t, s, unnest(list_filter(regexp_split_to_array(s, '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS g, 1.0::DOUBLE AS w FROM s
+UNION ALL SELECT t, s, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))), 0.30 FROM s
+UNION ALL SELECT t, s, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))), 0.70 FROM s
+UNION ALL SELECT t, s, unnest(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4))), 0.55 FROM s),
+h AS (SELECT g, list_reduce([2166136261::HUGEINT] || list_transform(list_filter(range(0, octet_length(encode(g))), lambda i: true), lambda i: ('0x' || substr(hex(encode(g)), (2 * i + 1)::BIGINT, 2))::HUGEINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295)::BIGINT & 2047 AS idx FROM (SELECT DISTINCT g FROM g)),
+i AS (SELECT t, idx, sum(w) AS w FROM g JOIN h USING (g) GROUP BY ALL),
+n AS (SELECT t, idx, w / sqrt(sum(w * w) OVER (PARTITION BY t)) AS w FROM i)"""
+
+
+@query(f"""WITH q AS (SELECT DISTINCT p_name || ' ' || p_brand AS t FROM part), c AS (SELECT DISTINCT p_name AS t FROM part UNION SELECT text FROM benchmark),
+s AS (SELECT DISTINCT t, regexp_replace(translate(lower(trim(t)), '_-', '  '), '\\s+', ' ', 'g') AS s FROM (SELECT t FROM q UNION SELECT t FROM c)), {_GRAMS_SQL},
+p AS (SELECT a.t AS query, b.t AS label, sum(a.w * b.w) AS sim FROM n a JOIN n b USING (idx) WHERE a.t IN (SELECT t FROM q) AND b.t IN (SELECT t FROM c) GROUP BY ALL HAVING sum(a.w * b.w) > 0.65)
+SELECT query, label, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, label) AS r FROM p) WHERE r = 1""")
+def nearest_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of part names and benchmark texts for each part name with its brand."""
+    part = read(spark, sf_dir, "part")
+    labels = part.select(F.col("p_name").alias("label")).distinct().unionByName(read(spark, sf_dir, "benchmark").select(F.col("text").alias("label"))).where("label is not null").distinct()
+    found = terminology.nearest_concepts(part.select(F.concat_ws(" ", "p_name", "p_brand").alias("query")), labels.withColumn("concept_id", F.col("label")))
+    return found.select("query", "label", F.round("sim", 6).alias("sim"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS job_id, event_id AS seq, event_id % 7 AS op, (event_id % 150 - 20)::INTEGER AS percent, event_type AS message,
+row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id IS NOT NULL),
+r AS (SELECT job_id, k, seq, op = 0 AS taken, CASE WHEN op = 0 THEN 'QUEUED' END AS state, 0 AS percent, NULL::VARCHAR AS kept, NULL::VARCHAR AS result FROM e WHERE k = 1
+UNION ALL SELECT e.job_id, e.k, e.seq,
+CASE WHEN r.state IS NULL OR r.state = 'CLEARED' THEN e.op = 0 ELSE e.op IN (1, 2, 3, 4, 6) OR e.op = 5 AND r.state = 'DONE' END,
+CASE WHEN r.state IS NULL OR r.state = 'CLEARED' THEN CASE WHEN e.op = 0 THEN 'QUEUED' END WHEN e.op = 1 THEN 'RUNNING' WHEN e.op = 4 THEN 'DONE' WHEN e.op = 6 THEN 'FAILED' WHEN e.op = 5 AND r.state = 'DONE' THEN 'CLEARED' ELSE r.state END,
+CASE WHEN r.state IS NULL OR r.state = 'CLEARED' THEN 0 WHEN e.op = 1 THEN greatest(r.percent, 1) WHEN e.op IN (2, 3) THEN greatest(0, least(100, e.percent)) WHEN e.op = 4 THEN 100 ELSE r.percent END,
+CASE WHEN r.state IS NULL OR r.state = 'CLEARED' THEN NULL WHEN e.op = 4 THEN e.message ELSE r.kept END,
+CASE WHEN r.state = 'DONE' AND e.op = 5 THEN r.kept END
+FROM r JOIN e ON e.job_id = r.job_id AND e.k = r.k + 1)
+SELECT job_id, seq, state, percent, result FROM r WHERE taken""")
+def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as commands to jobs, one job a user, replayed through the stateful stream."""
+    at = new_folder(spark, "jobs")
+    op = F.get(F.lit(["create", "start", "update", "update", "complete", "read", "fail"]), (F.col("event_id") % 7).cast("int"))
+    events = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").cast("bigint").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), op.alias("op"),
+        (F.col("event_id") % 150 - 20).cast("int").alias("percent"), F.col("event_type").alias("message"),
+    )
+    events.write.parquet(f"{at}/in")
+    replay(spark, f"{at}/in", at, idle_ms=100 * 365 * 86_400_000, files=1000).awaitTermination()
+    return spark.read.schema(TRANSITIONS).parquet(f"{at}/out").select("job_id", "seq", "state", "percent", "result")
