@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,12 @@ from .functions.roles import column_role
 from .operators import clustering, matching, noise, platform, terminology, values
 from .plans.enrich import enrich
 from .plans.suggest import prepared, suggest_schema, suggest_schemaless
-from .runtime import durable, read
+from .runtime import durable, read, stored
 from .sources.json_schema import schema_fields
 from .sources.profile import PROFILE, column_stats, inferred_type, profile_tables
+from .sources.sketch import merge_sketches, sketch_table
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 # A small request with clinical columns: (node, file, column, values).
@@ -128,26 +130,43 @@ def fnv1a32_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_name").alias("s")).distinct().select("s", text.fnv1a32(F.col("s")).alias("h"))
 
 
-# Kinds of the tables' columns that aren't texts, for the SQL of profiles.
-_KINDS = {
-    "integer": "r_regionkey n_nationkey n_regionkey c_custkey c_nationkey s_suppkey s_nationkey p_partkey p_size o_orderkey o_custkey l_orderkey l_partkey l_suppkey l_linenumber event_id user_id".split(),
-    "double": "c_acctbal s_acctbal p_retailprice o_totalprice l_quantity l_extendedprice l_discount l_tax value".split(),
-    "date": "o_orderdate l_shipdate ts".split(),
+# The tables' columns by kind, for the SQL of profiles; embedding is of no kind that has values.
+_COLUMNS = {
+    "region": {"integer": "r_regionkey", "text": "r_name"},
+    "nation": {"integer": "n_nationkey n_regionkey", "text": "n_name"},
+    "customer": {"integer": "c_custkey c_nationkey", "double": "c_acctbal", "text": "c_name c_mktsegment"},
+    "supplier": {"integer": "s_suppkey s_nationkey", "double": "s_acctbal", "text": "s_name"},
+    "part": {"integer": "p_partkey p_size", "double": "p_retailprice", "text": "p_name p_brand p_type"},
+    "orders": {"integer": "o_orderkey o_custkey", "double": "o_totalprice", "date": "o_orderdate", "text": "o_orderstatus o_orderpriority"},
+    "lineitem": {"integer": "l_orderkey l_partkey l_suppkey l_linenumber", "double": "l_quantity l_extendedprice l_discount l_tax", "date": "l_shipdate", "text": "l_returnflag l_linestatus"},
+    "events": {"integer": "event_id user_id", "double": "value", "date": "ts", "text": "event_type props"},
+    "documents": {"integer": "doc_id n_chars", "text": "text lang source"},
+    "embeddings": {"integer": "vec_id label", "other": "embedding"},
+    "pages": {"integer": "page_id", "text": "url html"},
+    "benchmark": {"integer": "item_id", "text": "text"},
+    "labels": {"integer": "doc_id quality toxic"},
+    "conversations": {"integer": "conv_id turn", "text": "role text"},
 }
-_TEXTS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"]}
-_OWNER = {"r": "region", "n": "nation", "c": "customer", "s": "supplier", "p": "part", "o": "orders", "l": "lineitem"}
-_PROFILE_SQL = []
-for _kind, _columns in _KINDS.items():
-    for _column in _columns:
-        _table = _OWNER.get(_column.split("_")[0], "events")
-        if _kind == "date":
-            _PROFILE_SQL.append(f"SELECT '{_table}.csv' AS file_name, '{_column}' AS \"column\", 'date|earliest:' || strftime(min({_column}), '%Y-%m-%dT%H:%M:%SZ') || '|latest:' || strftime(max({_column}), '%Y-%m-%dT%H:%M:%SZ') AS vals FROM {_table}")
-        else:
-            _f = "printf('%.4f', {0}({1}) + 0)" if _kind == "double" else "{0}({1})::VARCHAR"
-            _PROFILE_SQL.append(f"SELECT '{_table}.csv' AS file_name, '{_column}' AS \"column\", '{_kind}|min:' || {_f.format('min', _column)} || '|max:' || {_f.format('max', _column)} AS vals FROM {_table}")
-for _table, _columns in _TEXTS.items():
-    for _column in _columns:
-        _PROFILE_SQL.append(f"SELECT '{_table}.csv' AS file_name, '{_column}' AS \"column\", (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {_column} AS v FROM {_table} WHERE {_column} IS NOT NULL ORDER BY v LIMIT 80)) AS vals")
+_TEXTS = {t: kinds["text"].split() for t, kinds in _COLUMNS.items() if "text" in kinds}
+_TABLE_OF = {c: t for t, kinds in reversed(_COLUMNS.items()) for own in kinds.values() for c in own.split()}
+_GCD_SQL = "(SELECT list_reduce([0::BIGINT] || list(DISTINCT {c}::BIGINT - m), lambda a, b: gcd(a, b)) FROM {t}, (SELECT min({c})::BIGINT AS m FROM {t}) WHERE {c} IS NOT NULL)"
+
+
+def _profile_sql(table: str, column: str, kind: str) -> str:
+    if kind == "other":
+        vals = "SELECT ''"
+    elif kind == "text":
+        vals = f"SELECT CASE WHEN max(length({column})) <= 200 THEN (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {column} AS v FROM {table} WHERE {column} IS NOT NULL ORDER BY v LIMIT 80)) ELSE '' END FROM {table}"
+    elif kind == "date":
+        vals = f"SELECT 'date|earliest:' || strftime(min({column}), '%Y-%m-%dT%H:%M:%SZ') || '|latest:' || strftime(max({column}), '%Y-%m-%dT%H:%M:%SZ') FROM {table}"
+    else:
+        f = "printf('%.4f', {0}({1}) + 0)" if kind == "double" else "{0}({1})::VARCHAR"
+        step = f" || CASE WHEN s > 1 THEN '|step:' || s ELSE '' END FROM (SELECT {_GCD_SQL.format(c=column, t=table)} AS s), {table} GROUP BY s" if kind == "integer" else f" FROM {table}"
+        vals = f"SELECT '{kind}|min:' || {f.format('min', column)} || '|max:' || {f.format('max', column)}{step}"
+    return f"SELECT '{table}.csv' AS file_name, '{column}' AS \"column\", ({vals}) AS vals"
+
+
+_PROFILE_SQL = [_profile_sql(t, c, kind) for t, kinds in _COLUMNS.items() for kind, own in kinds.items() for c in own.split()]
 
 
 @query(" UNION ALL ".join(_PROFILE_SQL))
@@ -155,6 +174,18 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(spark, sf_dir).select("file_name", "column", F.array_join("values", "|").alias("vals"))
 
 
+@query(f"""SELECT column_name AS "column", s AS step, lo::BIGINT AS lo, hi::BIGINT AS hi, n FROM (SELECT 'event_id' AS column_name, {_GCD_SQL.format(c='event_id', t='events')} AS s, min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM events
+UNION ALL SELECT 'user_id', {_GCD_SQL.format(c='user_id', t='events')}, min(user_id), max(user_id), count(*) FROM events
+UNION ALL SELECT 'ten', (SELECT 10 * s FROM (SELECT {_GCD_SQL.format(c='user_id', t='events')} AS s)), min(user_id) * 10 + 3, max(user_id) * 10 + 3, count(*) FROM events)""")
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the events of each month, kept and merged."""
+    events = read(spark, sf_dir, "events").withColumn("month", F.month("ts")).select("event_id", "user_id", (F.col("user_id") * 10 + 3).alias("ten"), "month")
+    months = [r.month for r in events.select("month").distinct().collect()]  # twelve at most
+    parts = [sketch_table(events.where(F.col("month").eqNullSafe(m)).drop("month"), "events.csv", "n") for m in months]
+    kept = stored(reduce(DataFrame.unionByName, parts), "sketches")
+    return merge_sketches(kept).select("column", "step", F.col("lo_i").alias("lo"), F.col("hi_i").alias("hi"), "n")
+
+
 @query("""SELECT 'l_quantity' AS "column", false AS has_int, true AS has_double, false AS has_date, round(min(l_quantity), 4) AS num_min, round(max(l_quantity), 4) AS num_max, 0::BIGINT AS first_ms FROM lineitem
 UNION ALL SELECT 'p_size', true, false, false, min(p_size)::DOUBLE, max(p_size)::DOUBLE, 0 FROM part
 UNION ALL SELECT 'l_shipdate', false, false, true, 0, 0, epoch_ms(min(l_shipdate)) FROM lineitem""")
@@ -163,10 +194,10 @@ def parse_col_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("s", column_stats(F.col("values"))).select("column", "s.has_int", "s.has_double", "s.has_date", *(F.coalesce(f"s.{a}", F.lit(0)).alias(b) for a, b in (("num_min", "num_min"), ("num_max", "num_max"), ("date_min_ms", "first_ms"))))
 
 
-@query("""SELECT 'l_quantity' AS "column", 'double' AS type UNION ALL SELECT 'p_size', 'integer' UNION ALL SELECT 'l_shipdate', 'date' UNION ALL SELECT 'l_returnflag', ''""")
+@query("""SELECT table_name || '.csv' AS file_name, column_name AS "column", CASE WHEN data_type LIKE '%[]' THEN '' WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'date'
+WHEN data_type IN ('DOUBLE', 'FLOAT') OR data_type LIKE 'DECIMAL%' THEN 'double' WHEN data_type LIKE '%INT%' THEN 'integer' ELSE '' END AS type FROM duckdb_columns() WHERE table_name IN (""" + ", ".join(f"'{t}'" for t in TABLES) + ")")
 def type_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profile_tables({t: read(spark, sf_dir, t) for t in ("part", "lineitem")}).where("column in ('l_quantity', 'p_size', 'l_shipdate', 'l_returnflag')")
-    return rows.select("column", inferred_type(column_stats(F.col("values"))).alias("type"))
+    return profiles(spark, sf_dir).select("file_name", "column", inferred_type(column_stats(F.col("values"))).alias("type"))
 
 
 @query(f"WITH {_T_SQL} SELECT token, count(*) AS df FROM (SELECT DISTINCT pos, unnest(toks) AS token FROM t) GROUP BY token")
@@ -250,7 +281,7 @@ def embedding_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FNV_SQL = "list_reduce([2166136261::HUGEINT] || list_transform(string_split({0}, ''), lambda c: ascii(c)::HUGEINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295)::BIGINT"
-_VALUES_SQL = " UNION ALL ".join(f"SELECT '{t}' AS file, '{c}' AS col, unnest(list_slice(list_sort(list(DISTINCT {c})), 1, 15)) AS value FROM {t} WHERE {c} IS NOT NULL" for t, cs in _TEXTS.items() for c in cs)
+_VALUES_SQL = " UNION ALL ".join(f"SELECT '{t}' AS file, '{c}' AS col, unnest(list_slice(list_sort(list(DISTINCT {c})), 1, 15)) AS value FROM {t} WHERE {c} IS NOT NULL HAVING max(length({c})) <= 200" for t, cs in _TEXTS.items() for c in cs)
 _CLINICAL_SQL = "(VALUES " + ", ".join(f"({i}, '{v}')" for i, (_, _, _, vs) in enumerate(CLINICAL) for v in vs[:15]) + ") AS c(pos, value)"
 
 
@@ -341,7 +372,7 @@ def range_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Columns with few values; the first two make one mapping, as two sources of it, the others one each.
 _CATEGORIES = ["o_orderstatus", "l_linestatus", "o_orderpriority", "c_mktsegment", "l_returnflag", "r_name", "n_name", "event_type"]
 _CATEGORIES_SQL = " UNION ALL ".join(
-    f"SELECT {max(i - 1, 0)} AS mapping, '{c}' AS col, raw, {_NV_SQL.format('raw')} AS nv FROM (SELECT DISTINCT {c} AS raw FROM {_OWNER.get(c.split('_')[0], 'events') if c != 'event_type' else 'events'} WHERE {c} IS NOT NULL ORDER BY raw LIMIT 80)"
+    f"SELECT {max(i - 1, 0)} AS mapping, '{c}' AS col, raw, {_NV_SQL.format('raw')} AS nv FROM (SELECT DISTINCT {c} AS raw FROM {_TABLE_OF[c]} WHERE {c} IS NOT NULL ORDER BY raw LIMIT 80)"
     for i, c in enumerate(_CATEGORIES)
 )
 

@@ -6,21 +6,15 @@ samples of a text column, or markers: integer | double, min:, max:, step: for nu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from ..runtime import python_path
+from .sketch import kind_of, merge_sketches, profiles_of, sketch_table
 
 PROFILE = "request_id string, pos int, node_id string, file_name string, column string, values array<string>"
 REQUEST = "request_id string, schema string, elementFiles array<struct<nodeId:string,fileName:string,column:string,values:array<string>,color:string>>"
-SAMPLES = 80  # samples of a text column: the smallest values
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -35,69 +29,29 @@ def request_profiles(requests: DataFrame) -> DataFrame:
     return rows.select("request_id", "pos", F.col("x.nodeId").alias("node_id"), F.col("x.fileName").alias("file_name"), F.col("x.column").alias("column"), F.coalesce("x.values", F.array().cast("array<string>")).alias("values"))
 
 
-def _numeric(kind: T.DataType) -> bool:
-    return isinstance(kind, T.NumericType)
-
-
-def _text_number(c, kind: T.DataType):
-    whole = isinstance(kind, T.IntegralType)
-    return c.cast("bigint").cast("string") if whole else F.format_string("%.4f", c.cast("double"))
-
-
-def _least_values(most: int):
-    """(k, v): the ``most`` smallest distinct values of each text column of a task's rows, by column number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, pa.Array] = {}
-        for batch in batches:
-            for k, column in enumerate(batch.columns):
-                new = column.unique().drop_null().cast(pa.string())
-                every = pa.concat_arrays([held[k], new]).unique() if k in held else new
-                held[k] = every.take(pc.array_sort_indices(every)[:most])
-        for k, values in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), pa.int32()), values], names=["k", "v"])
-
-    return run
-
-
 def profile_table(df: DataFrame, file_name: str, node_id: str, first: int, request_id: str = "tables") -> DataFrame:
-    """Profile all columns of a table: one aggregation for numbers and times, and one pass over all text columns for
-    their smallest distinct values, of which each task keeps no more than are asked for."""
-    spark, parts = python_path(df.sparkSession), []
-    spans = [(i, f) for i, f in enumerate(df.schema.fields) if _numeric(f.dataType) or isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
-    if spans:
-        ends = df.agg(*(g(f.name).alias(f"{n}{i}") for i, f in spans for g, n in ((F.min, "lo"), (F.max, "hi"))))
-        rows = []
-        for i, f in spans:
-            lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-            if _numeric(f.dataType):
-                kind = "integer" if isinstance(f.dataType, T.IntegralType) else "double"
-                values = [F.lit(kind), F.concat(F.lit("min:"), _text_number(lo, f.dataType)), F.concat(F.lit("max:"), _text_number(hi, f.dataType))]
-            else:
-                iso = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-                values = [F.lit("date"), F.concat(F.lit("earliest:"), iso(lo)), F.concat(F.lit("latest:"), iso(hi))]
-            rows.append(F.struct(F.lit(first + i).alias("pos"), F.lit(f.name).alias("column"), F.filter(F.array(*values), lambda x: x.isNotNull()).alias("values")))
-        parts.append(ends.select(F.inline(F.array(*rows))))
-    texts = [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
-    if texts:
-        found = df.select(*(F.col(n) for _, n in texts)).mapInArrow(_least_values(SAMPLES), "k int, v string").distinct()
-        ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("v"))).where(F.col("r") <= SAMPLES)
-        listed = ranked.groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("values"))
-        names = spark.createDataFrame([(k, first + i, n) for k, (i, n) in enumerate(texts)], "k int, pos int, column string")
-        parts.append(F.broadcast(names).join(listed, "k", "left").select("pos", "column", F.coalesce("values", F.array().cast("array<string>")).alias("values")))
-    if not parts:
-        return spark.createDataFrame([], PROFILE)
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.select(F.lit(request_id).alias("request_id"), "pos", F.lit(node_id).alias("node_id"), F.lit(file_name).alias("file_name"), "column", "values")
+    """Profile all columns of a table in one pass; an empty table has profiles too."""
+    return _profiles([sketch_table(df, file_name, node_id, first, request_id)], {(file_name, node_id, first): df}, request_id)
 
 
 def profile_tables(tables: dict[str, DataFrame], request_id: str = "tables") -> DataFrame:
-    """One request over several tables; each is a file of a node of its own."""
-    parts, first = [], 0
+    """One request over several tables, in one job; each is a file of a node of its own."""
+    named, parts, first = {}, [], 0
     for k, (name, df) in enumerate(tables.items()):
-        parts.append(profile_table(df, f"{name}.csv", f"node-{k}", first, request_id))
+        named[f"{name}.csv", f"node-{k}", first] = df
+        parts.append(sketch_table(df, f"{name}.csv", f"node-{k}", first, request_id))
         first += len(df.columns)
-    return reduce(DataFrame.unionByName, parts)
+    return _profiles(parts, named, request_id)
+
+
+def _profiles(parts: list[DataFrame], tables: dict[tuple[str, str, int], DataFrame], request_id: str) -> DataFrame:
+    spark = parts[0].sparkSession
+    found = profiles_of(merge_sketches(reduce(DataFrame.unionByName, parts)))
+    every = [(request_id, first + i, node_id, file_name, f.name, kind_of(f.dataType)) for (file_name, node_id, first), df in tables.items() for i, f in enumerate(df.schema.fields)]
+    names = spark.createDataFrame(every, "request_id string, pos int, node_id string, file_name string, column string, kind string")  # a row a column
+    kind = F.when(F.col("kind").isin("integer", "double", "date"), F.array("kind")).otherwise(F.array().cast("array<string>"))
+    rows = F.broadcast(names).join(found.select("request_id", "pos", "values"), ["request_id", "pos"], "left")
+    return rows.select("request_id", "pos", "node_id", "file_name", "column", F.coalesce("values", kind).alias("values"))
 
 
 def column_stats(values):
