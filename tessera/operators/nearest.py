@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..runtime import stored
 
-SLACK = 1e-9  # room for rounding in bounds
+SLACK = 1e-6  # room for rounding in bounds and in lengths
 
 
 def _prefixes(cells: DataFrame, key: str, ranks: DataFrame, most: str, least: float) -> DataFrame:
@@ -24,7 +24,7 @@ def _prefixes(cells: DataFrame, key: str, ranks: DataFrame, most: str, least: fl
     rest = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rows = cells.join(F.broadcast(ranks), "idx")  # a row a cell: as many as a vector has dimensions
     square = F.sum(F.col("w") * F.col("w")).over(rest)
-    bound = F.least(F.sqrt(square), F.sum(F.col("w") * F.col(most)).over(rest))
+    bound = F.least(F.sqrt(square), F.sum(F.abs("w") * F.col(most)).over(rest))
     rows = rows.withColumns({"square": square, "bound": bound}).where(F.col("bound") > least - SLACK)
     return rows.select("idx", key, "w", "rank", F.sqrt(F.greatest(F.col("square") - F.col("w") * F.col("w"), F.lit(0.0))).alias("after"))
 
@@ -35,10 +35,10 @@ def _product(a: Column, b: Column) -> Column:
 
 
 def candidates(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """(q, d, partial, bound) of pairs that may have a product above ``least``, from (q, idx, w) and (d, idx, w). Weights
-    aren't negative and vectors have length 1 or less."""
-    counts = known.groupBy("idx").agg(F.count("*").alias("n"), F.max("w").alias("most_d"))
-    most = asked.groupBy("idx").agg(F.max("w").alias("most_q"))
+    """(q, d, partial, bound) of pairs that may have a product above ``least``, from (q, idx, w) and (d, idx, w). Vectors
+    have length 1 or less; ``least`` is above 0."""
+    counts = known.groupBy("idx").agg(F.count("*").alias("n"), F.max(F.abs("w")).alias("most_d"))
+    most = asked.groupBy("idx").agg(F.max(F.abs("w")).alias("most_q"))
     ranks = counts.join(most, "idx").withColumn("rank", F.row_number().over(Window.orderBy("n", "idx"))).drop("n")  # a row a cell; cells of one side alone add nothing
     ranks = stored(ranks, "ranks")
     q = _prefixes(asked, "q", ranks, "most_d", least).select("idx", "q", "rank", F.col("w").alias("wq"), F.col("after").alias("aq"))

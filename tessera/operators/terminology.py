@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import (
-    category_phrase, is_generic_name, is_search_term, padded_term, plain_name, repaired_map, search_variant_rows, sentence, split_key,
+    category_phrase, fallback_code, is_generic_name, is_search_term, padded_term, plain_name, repaired_map, search_variant_rows, sentence, split_key,
     terminology_gate, terminology_label, value_phrase,
 )
-from ..functions.vectors import sparse_value_vectors
+from ..runtime import durable
+from .models import Embed, text_vectors
 from .nearest import near_pairs
 
 NEAREST_LEAST = 0.65
@@ -45,12 +46,12 @@ def suggestions(queries: DataFrame, dictionary: DataFrame, top: int = TOP) -> Da
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query", "rank", "concept_id", "label")
 
 
-def nearest_concepts(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(query, concept_id, label, sim): the nearest concept by hashed vectors, where it is near enough. Of labels that
+def nearest_concepts(queries: DataFrame, dictionary: DataFrame, embed: Embed | None = None) -> DataFrame:
+    """(query, concept_id, label, sim): the nearest concept by hashed vectors, or those of ``embed``, where it is near enough. Of labels that
     several concepts share, the smallest id stands in the index."""
     labels = dictionary.where("label is not null").groupBy("label").agg(F.min("concept_id").alias("concept_id"))
-    q = sparse_value_vectors(queries.select(F.col("query").alias("q")).distinct().withColumn("v", F.array("q")), ["q"], "v")
-    d = sparse_value_vectors(labels.select(F.col("label").alias("d"), F.array("label").alias("v")), ["d"], "v")
+    q = text_vectors(queries.select(F.col("query").alias("q")).distinct().withColumn("v", F.array("q")), ["q"], "v", embed)
+    d = text_vectors(labels.select(F.col("label").alias("d"), F.array("label").alias("v")), ["d"], "v", embed)
     sims = near_pairs(q, d, NEAREST_LEAST).join(labels.withColumnRenamed("label", "d"), "d")
     best = sims.groupBy("q").agg(F.min(F.struct((-F.round("sim", 9)).alias("k"), F.col("concept_id"), F.col("d"), F.col("sim"))).alias("b"))
     return best.select(F.col("q").alias("query"), "b.concept_id", F.col("b.d").alias("label"), "b.sim")
@@ -62,11 +63,12 @@ def missing(asked: DataFrame, found: DataFrame) -> DataFrame:
     return rows.groupBy("query").agg(F.min_by("context", "pos").alias("context"))
 
 
-def resolved(queries: DataFrame, dictionary: DataFrame, paraphrase=None) -> DataFrame:
+def resolved(queries: DataFrame, dictionary: DataFrame, paraphrase=None, embed: Embed | None = None, fallback: bool = False) -> DataFrame:
     """(query, terminology): 'label | code' of the first suggestion, else of the first suggestion for a paraphrase, else
     of the nearest concept; later steps only see what earlier ones missed. What the gate rejects is left out.
     ``paraphrase``, a model's function from a text column to an array of texts (a pandas UDF, say), is asked for up to
-    four; without one the step is skipped."""
+    four; without one the step is skipped. ``embed`` replaces the hashed vectors of the last step. With ``fallback``, what
+    is left gets a code of its own, which no dictionary has."""
     asked = queries.select("query").distinct().where(is_search_term(F.col("query")))
     code = lambda df: df.select("query", terminology_gate(F.concat_ws(" | ", "label", F.col("concept_id").cast("string"))).alias("terminology"))
     found = code(suggestions(asked, dictionary, 1)).where("terminology <> ''")
@@ -76,7 +78,12 @@ def resolved(queries: DataFrame, dictionary: DataFrame, paraphrase=None) -> Data
         hits = code(suggestions(others, dictionary, 1)).where("terminology <> ''").join(others, "query")
         hits = hits.groupBy(F.col("first").alias("query")).agg(F.min_by("terminology", "n").alias("terminology"))
         found, rest = found.unionByName(hits), rest.join(hits, "query", "left_anti")
-    return found.unionByName(code(nearest_concepts(rest, dictionary)).where("terminology <> ''"))
+    found = found.unionByName(code(nearest_concepts(rest, dictionary, embed)).where("terminology <> ''"))
+    if fallback:
+        found = durable(found)
+        left = asked.join(found, "query", "left_anti")
+        found = found.unionByName(left.select("query", fallback_code(F.col("query"), F.lit("")).alias("terminology")))
+    return found
 
 
 def value_specs(values: DataFrame, key: list[str], most: int = 10) -> DataFrame:

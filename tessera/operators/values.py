@@ -18,9 +18,10 @@ from pyspark.sql.window import Window
 from ..functions.roles import MARKER
 from ..functions.scales import categories_of, ordinal_bucket, scale_domain, scale_label, scale_rank
 from ..functions.text import is_obvious_alias, normalize_value
-from ..functions.vectors import sparse_cosines, sparse_value_vectors
+from ..functions.vectors import sparse_cosines
 from ..runtime import durable, python_path
 from ..settings import Settings
+from .models import Embed, text_vectors
 
 KEY = ["request_id", "mapping"]
 REFS = "array<struct<pos:int,column:string,value:string,lo:double,hi:double>>"
@@ -88,12 +89,12 @@ def _values(members: DataFrame, settings: Settings, markers_out: bool) -> DataFr
     return rows.withColumn("nv", F.when(F.lower(F.trim("raw")).rlike(MARKER), "").otherwise(nv) if markers_out else nv).where("nv <> ''")
 
 
-def enum_buckets(members: DataFrame, enums: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def enum_buckets(members: DataFrame, enums: DataFrame, settings: Settings = Settings(), embed: Embed | None = None) -> DataFrame:
     """Each value goes to the nearest enum value by hashed vectors; ``enums`` are rows (request_id, mapping, enum_pos,
     enum). Buckets without values are left out."""
     values = _values(members, settings, False)
-    left = sparse_value_vectors(values.select(*KEY, "nv").distinct().withColumn("v", F.array("nv")), [*KEY, "nv"], "v")
-    right = sparse_value_vectors(enums.withColumn("v", F.array("enum")), [*KEY, "enum_pos", "enum"], "v").withColumnRenamed("w", "we")
+    left = text_vectors(values.select(*KEY, "nv").distinct().withColumn("v", F.array("nv")), [*KEY, "nv"], "v", embed)
+    right = text_vectors(enums.withColumn("v", F.array("enum")), [*KEY, "enum_pos", "enum"], "v", embed).withColumnRenamed("w", "we")
     sims = left.join(right, [*KEY, "idx"]).groupBy(*KEY, "nv", "enum_pos", "enum").agg(F.sum(F.col("w") * F.col("we")).alias("sim")).where(F.col("sim") >= ENUM_LEAST)
     best = sims.groupBy(*KEY, "nv").agg(F.min(F.struct(-F.round("sim", 9), F.col("enum_pos"), F.col("enum"))).alias("b")).select(*KEY, "nv", "b.enum_pos", "b.enum")
     out = values.join(best, [*KEY, "nv"]).groupBy(*KEY, "enum_pos", "enum").agg(_raw_refs())
@@ -108,7 +109,7 @@ def identity_buckets(members: DataFrame, settings: Settings = Settings()) -> Dat
     return _ranked(out.join(sizes, KEY), F.size("refs").desc(), F.col("name"))
 
 
-def closed_domain_edges(members: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def closed_domain_edges(members: DataFrame, settings: Settings = Settings(), embed: Embed | None = None) -> DataFrame:
     """(request_id, mapping, a, b): pairs of values of closed domains that are aliases or near, never of one source."""
     values = _values(members, settings, False)
     closed = values.groupBy(*KEY).agg(F.countDistinct("nv").alias("n")).where(F.col("n").between(2, DOMAIN_MOST)).select(*KEY)
@@ -116,18 +117,18 @@ def closed_domain_edges(members: DataFrame, settings: Settings = Settings()) ->
     a = tokens.select(*KEY, F.col("t").alias("a"), F.col("sources").alias("sa"))
     b = tokens.select(*KEY, F.col("t").alias("b"), F.col("sources").alias("sb"))
     pairs = a.join(b, KEY).where("a < b").where(~F.arrays_overlap("sa", "sb"))  # at most 25 values a mapping
-    near = sparse_cosines(sparse_value_vectors(tokens.withColumn("v", F.array("t")), [*KEY, "t"], "v"), "t", KEY)
+    near = sparse_cosines(text_vectors(tokens.withColumn("v", F.array("t")), [*KEY, "t"], "v", embed), "t", KEY)
     pairs = pairs.join(near, [*KEY, "a", "b"], "left")
     close = (F.least(F.length("a"), F.length("b")) >= 3) & (F.coalesce("cosine", F.lit(0.0)) >= ALIAS_LEAST)
     return pairs.where(is_obvious_alias(F.col("a"), F.col("b")) | close).select(*KEY, "a", "b")
 
 
-def closed_domain_components(members: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def closed_domain_components(members: DataFrame, settings: Settings = Settings(), embed: Embed | None = None) -> DataFrame:
     """(request_id, mapping, t, root): values of closed domains with the smallest value they are linked to. A domain has
     25 values at most, so its links are merged within a row: each gives all values of both ends the smaller root."""
     values = _values(members, settings, False)
     tokens = values.groupBy(*KEY).agg(F.array_sort(F.collect_set("nv")).alias("t")).where(F.size("t").between(2, DOMAIN_MOST))
-    edges = closed_domain_edges(members, settings).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("edges"))
+    edges = closed_domain_edges(members, settings, embed).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("edges"))
     rows = tokens.join(edges, KEY, "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<a:string,b:string>>")))
 
     def merge(roots: Column, edge: Column) -> Column:
@@ -138,11 +139,11 @@ def closed_domain_components(members: DataFrame, settings: Settings = Settings()
     return rows.select(*KEY, F.inline(F.arrays_zip("t", F.col("roots").alias("root"))))
 
 
-def closed_domain_buckets(members: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def closed_domain_buckets(members: DataFrame, settings: Settings = Settings(), embed: Embed | None = None) -> DataFrame:
     """Components as buckets, named by their best value (frequent, then long, single characters last). They stand where
     the sources lie in two files or more, and two buckets or more have two refs or more."""
     values = _values(members, settings, False)
-    placed = values.join(closed_domain_components(members, settings).withColumnRenamed("t", "nv"), [*KEY, "nv"])
+    placed = values.join(closed_domain_components(members, settings, embed).withColumnRenamed("t", "nv"), [*KEY, "nv"])
     often = placed.groupBy(*KEY, "root", "nv").agg(F.count("*").alias("f"))
     merit = F.col("f") * 100 + F.least(F.length("nv"), F.lit(30)) - F.when(F.length("nv") == 1, 500).otherwise(0)
     names = often.groupBy(*KEY, "root").agg(F.min(F.struct((-merit).alias("k"), F.lower("nv").alias("l"), F.col("nv"))).alias("b")).select(*KEY, "root", F.col("b.nv").alias("name"))
@@ -152,7 +153,7 @@ def closed_domain_buckets(members: DataFrame, settings: Settings = Settings()) -
     return _ranked(out.join(files, KEY).join(enough, KEY), F.size("refs").desc(), F.col("name"))
 
 
-def clustered_buckets(members: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def clustered_buckets(members: DataFrame, settings: Settings = Settings(), embed: Embed | None = None) -> DataFrame:
     """Leader clusters of values, in order: a value joins the nearest cluster that reaches the threshold unless that one
     holds another value of its source; single characters join their like only. Sequential by definition, so a mapping
     (at most 220 values) is folded in one task."""
@@ -160,7 +161,7 @@ def clustered_buckets(members: DataFrame, settings: Settings = Settings()) -> Da
     values = _values(members, settings, False)
     order = Window.partitionBy(*KEY).orderBy("pos", "value_pos")
     values = values.withColumn("i", F.row_number().over(order)).where(F.col("i") <= settings.values_per_mapping)
-    vectors = sparse_value_vectors(values.select(*KEY, "nv").distinct().withColumn("v", F.array("nv")), [*KEY, "nv"], "v")
+    vectors = text_vectors(values.select(*KEY, "nv").distinct().withColumn("v", F.array("nv")), [*KEY, "nv"], "v", embed)
     cells = vectors.groupBy(*KEY, "nv").agg(F.collect_list(F.struct("idx", "w")).alias("cells"))
     rows = values.join(cells, [*KEY, "nv"], "left")
 
@@ -198,7 +199,7 @@ def clustered_buckets(members: DataFrame, settings: Settings = Settings()) -> Da
     return rows.groupBy(*KEY).applyInPandas(run, f"request_id string, mapping {kind}, bucket int, name string, refs {REFS}")
 
 
-def harmonized(members: DataFrame, enums: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+def harmonized(members: DataFrame, enums: DataFrame | None = None, settings: Settings = Settings(), embed: Embed | None = None) -> DataFrame:
     """Buckets of all mappings with their kind.
 
     Types and sizes of domains say which kinds a mapping may get: dates a range; numbers an ordinal crosswalk, else a
@@ -214,10 +215,10 @@ def harmonized(members: DataFrame, enums: DataFrame | None = None, settings: Set
     plain = ~numeric & ~date | F.col("mapping_type").isNull()
     kinds = [("range", range_buckets(rows.where(date | numeric)), 9), ("ordinal", ordinal_crosswalk(rows.where(numeric)), 0)]
     if enums is not None:
-        kinds.append(("enum", enum_buckets(rows.where(plain), enums, settings), 0))
+        kinds.append(("enum", enum_buckets(rows.where(plain), enums, settings, embed), 0))
     kinds += [
-        ("closed", closed_domain_buckets(rows.where(plain), settings), 1), ("identity", identity_buckets(rows.where(plain & small), settings), 2),
-        ("clustered", clustered_buckets(rows.where(plain & ~small), settings), 3), ("fallback", range_buckets(rows.where(plain)), 9),
+        ("closed", closed_domain_buckets(rows.where(plain), settings, embed), 1), ("identity", identity_buckets(rows.where(plain & small), settings), 2),
+        ("clustered", clustered_buckets(rows.where(plain & ~small), settings, embed), 3), ("fallback", range_buckets(rows.where(plain)), 9),
     ]
     every = reduce(DataFrame.unionByName, (b.withColumns({"kind": F.lit(kind), "turn": F.lit(turn)}) for kind, b, turn in kinds))
     first = F.min("turn").over(Window.partitionBy(*KEY))

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import union_name
 from ..operators.clustering import cluster_columns
-from ..operators.matching import best_fields, one_per_file, round_robin_batches, uncovered
+from ..operators.matching import best_fields, column_prompts, field_prompts, one_per_file, round_robin_batches, uncovered
+from ..operators.models import Embed, text_vectors
 from ..operators.noise import leading_contexts, with_concepts, without_contexts
 from ..operators.values import harmonized
 from ..runtime import durable, python_path
@@ -55,10 +56,10 @@ def _base_name(fallback: Column) -> Column:
     return F.coalesce(F.nullif(union_name(F.when(same, own).otherwise(fallback)), F.lit("")), F.lit("field"))
 
 
-def assembled(members: DataFrame, enums: DataFrame | None, settings: Settings) -> DataFrame:
+def assembled(members: DataFrame, enums: DataFrame | None, settings: Settings, embed: Embed | None = None) -> DataFrame:
     """Members (request_id, mapping, label, pos, ...) to mappings with values and unique names."""
     members = durable(members)
-    buckets = harmonized(members.drop("label"), enums, settings)
+    buckets = harmonized(members.drop("label"), enums, settings, embed)
     values = buckets.groupBy("request_id", "mapping").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("bucket", "name", "refs"))).alias("values"))
     whole = members.groupBy("request_id", "mapping").agg(
         F.max("type").alias("mapping_type"),
@@ -79,10 +80,13 @@ def _mapping_type(rows: DataFrame) -> DataFrame:
     return rows.withColumn("type", F.when(top == 3, "date").when(top == 2, "double").when(top == 1, "integer").otherwise(""))
 
 
-def suggest_schemaless(profiles: DataFrame, settings: Settings = Settings(), vectors: DataFrame | None = None) -> DataFrame:
+def suggest_schemaless(profiles: DataFrame, settings: Settings = Settings(), vectors: DataFrame | None = None, embed: Embed | None = None) -> DataFrame:
     """Cluster the columns; each cluster gives up to six batches of one column a file; the largest 40 clusters count,
-    and every column that none of them holds gets a mapping of its own."""
+    and every column that none of them holds gets a mapping of its own. ``embed`` (operators.models) gives the vectors of
+    columns, unless they come as ``vectors``, and of values."""
     columns = durable(prepared(profiles, settings))
+    if vectors is None and embed is not None:
+        vectors = text_vectors(column_prompts(columns), ["request_id", "pos"], "prompts", embed)
     clusters = durable(cluster_columns(columns, settings, vectors))
     sizes = clusters.groupBy("request_id", "cluster").agg(F.count("*").alias("n"), F.first("representative").alias("label"))
     by_size = Window.partitionBy("request_id").orderBy(F.desc("n"), F.lower("label"), "cluster")
@@ -93,21 +97,23 @@ def suggest_schemaless(profiles: DataFrame, settings: Settings = Settings(), vec
     left = uncovered(columns, batches.select("request_id", "file_key", "column").distinct())
     left = left.withColumns({"mapping": (F.lit(10_000_000) + F.col("pos")).cast("long"), "label": F.coalesce(F.nullif("concept", F.lit("")), "column")})
     keep = ["request_id", "mapping", "label", "pos", "file_key", "column", "concept", "values", "stats"]
-    return assembled(_mapping_type(batches.select(*keep).unionByName(left.select(*keep))), None, settings)
+    return assembled(_mapping_type(batches.select(*keep).unionByName(left.select(*keep))), None, settings, embed)
 
 
-def suggest_schema(profiles: DataFrame, fields: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def suggest_schema(profiles: DataFrame, fields: DataFrame, settings: Settings = Settings(), embed: Embed | None = None) -> DataFrame:
     """Match columns to the schema fields of their request, the best column of each file; what matches nothing is left
     out. ``fields`` are those of sources.json_schema."""
     columns = durable(prepared(profiles, settings))
-    matched = best_fields(columns, fields, leading_contexts(profiles))
+    vectors = None
+    if embed is not None:
+        vectors = text_vectors(column_prompts(columns), ["request_id", "pos"], "prompts", embed), text_vectors(field_prompts(fields), ["request_id", "field_pos"], "prompts", embed)
+    matched = best_fields(columns, fields, leading_contexts(profiles), vectors)
     rows = columns.join(matched, ["request_id", "pos"])
     rows = one_per_file(rows, ["request_id", "field_pos"], settings)
     rows = rows.join(fields.select("request_id", "field_pos", F.lower("type").alias("type"), "enum_values"), ["request_id", "field_pos"])
     members = rows.select("request_id", F.col("field_pos").cast("long").alias("mapping"), F.col("name").alias("label"), "pos", "file_key", "column", "concept", "values", "stats", "type")
     enums = fields.select("request_id", F.col("field_pos").cast("long").alias("mapping"), F.posexplode("enum_values").alias("enum_pos", "enum"))
-    out = assembled(members, enums, settings)
-    return out
+    return assembled(members, enums, settings, embed)
 
 
 def _members_response(rows: DataFrame) -> DataFrame:

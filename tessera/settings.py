@@ -8,6 +8,8 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Settings:
     described_columns: int = 60
+    described_values: int = 10
+    description_waves: int = 4
     max_enum: int = 120
     cluster_threshold: float = 0.56
     batches_per_cluster: int = 6
