@@ -39,7 +39,6 @@ CLINICAL = [
 SCHEMA = """{"properties": {"sex": {"type": "string", "enum": ["male", "female"]}, "barthel_total": {"type": "integer"},
 "admission_date": {"type": "date"}, "stroke_type": {"type": ["string", "null"], "enum": ["Ischemic", "Hemorrhagic"], "description": " Kind of stroke "},
 "codes": {"type": "array", "items": {"type": "string"}}}}"""
-LABELS = ["Diabetes mellitus | 73211009", "73211009", "12345", "CONCEPT_000000001", "Pain | 12345", " Stroke | 230690007 ", "a phrase", ""]
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +55,17 @@ def clinical(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("clinical", i, *row) for i, row in enumerate(CLINICAL)], PROFILE)
 
 
+def clinic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each nation: its suppliers are nodes, each with a file of clinical columns of one of two kinds."""
+    columns = spark.createDataFrame([(int(n == "n2"), i, f, c, v) for i, (n, f, c, v) in enumerate(CLINICAL)], "kind int, i int, file_name string, column string, values array<string>")
+    nodes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey", (F.col("s_suppkey") % 2).cast("int").alias("kind"))
+    rows = nodes.join(F.broadcast(columns), "kind").join(F.broadcast(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")), "s_nationkey")
+    return rows.select(F.col("n_name").alias("request_id"), (F.col("k") * 12 + F.col("i")).cast("int").alias("pos"), F.concat(F.lit("node-"), "k").alias("node_id"), "file_name", "column", "values")
+
+
+_CLINIC_SQL = "n AS (SELECT n_name AS request_id, s_suppkey AS k, s_suppkey % 2 AS kind FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_tables({t: read(spark, sf_dir, t) for t in TABLES})
 
@@ -303,9 +313,16 @@ def value_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("request_id", "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query("SELECT * FROM (VALUES (0, 'sex', 'string', '', 'male|female'), (1, 'barthel_total', 'integer', '', ''), (2, 'admission_date', 'date', '', ''), (3, 'stroke_type', 'string', 'Kind of stroke', 'Ischemic|Hemorrhagic'), (4, 'codes', 'array<string>', '', '')) AS x(field_pos, name, type, description, enums)")
+@query("""SELECT p_brand AS request_id, 0 AS field_pos, 'type' AS name, 'string' AS type, '' AS description, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS enums FROM part GROUP BY p_brand
+UNION ALL SELECT p_brand, 1, 'size', 'integer', 'Sizes of ' || p_brand || ', up to ' || max(p_size), '' FROM part GROUP BY p_brand
+UNION ALL SELECT DISTINCT p_brand, 2, 'names', 'array<string>', '', '' FROM part""")
 def schema_fields_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fields(spark).select("field_pos", "name", "type", "description", F.array_join("enum_values", "|").alias("enums"))
+    """A JSON Schema for each brand of parts."""
+    brands = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("types"), F.max("p_size").alias("most"))
+    told = F.concat(F.lit(' {"type": "integer", "description": "  Sizes of '), "p_brand", F.lit(", up to "), "most", F.lit(' "}'))
+    body = F.concat(F.lit('{"properties": {"type": {"type": ["string", "null"], "enum": '), F.to_json("types"), F.lit('}, "size":'), told, F.lit(', "names": {"type": "array", "items": {"type": "string"}}}}'))
+    fields = schema_fields(brands.select(F.col("p_brand").alias("request_id"), body.alias("schema")))
+    return fields.select("request_id", "field_pos", "name", "type", "description", F.array_join("enum_values", "|").alias("enums"))
 
 
 def _everything(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,26 +355,31 @@ def round_robin_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.round_robin_batches(rows, ["cluster"]).select("cluster", "pos", "batch")
 
 
-@query("SELECT c_custkey AS pos FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("""SELECT c_custkey AS pos FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
 def coverage_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = read(spark, sf_dir, "customer").select(F.lit("r").alias("request_id"), F.lit("f").alias("file_key"), F.col("c_custkey").alias("column"))
-    used = read(spark, sf_dir, "orders").select(F.lit("r").alias("request_id"), F.lit("f").alias("file_key"), F.col("o_custkey").alias("column")).distinct()
+    urgent = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    used = urgent.select(F.lit("r").alias("request_id"), F.lit("f").alias("file_key"), F.col("o_custkey").alias("column")).distinct()
     return matching.uncovered(columns, used).select(F.col("column").alias("pos"))
 
 
-@query("""SELECT * FROM (VALUES ('TOTBarthel', 'BARTHEL_TOTAL', 0, 100, 5), ('barthel_total', 'BARTHEL_TOTAL', 0, 100, 10), ('BToilet', 'BARTHEL_ITEM', 0, 10, 5), ('FIM_toilet', 'FIM', 1, 7, 1), ('NIHSS_admission', 'NIHSS', 0, 42, 1), ('painScore', 'PAIN_NRS', 0, 10, 1)) AS x("column", kind, lo, hi, step)""")
+@query(f"""WITH {_CLINIC_SQL} SELECT request_id, (k * 12 + i)::INTEGER AS pos, "column", x.kind AS kind, lo, hi, step FROM n JOIN (VALUES (0, 0, 'TOTBarthel', 'BARTHEL_TOTAL', 0, 100, 5), (1, 1, 'barthel_total', 'BARTHEL_TOTAL', 0, 100, 10),
+(0, 2, 'BToilet', 'BARTHEL_ITEM', 0, 10, 5), (1, 3, 'FIM_toilet', 'FIM', 1, 7, 1), (0, 4, 'NIHSS_admission', 'NIHSS', 0, 42, 1), (1, 5, 'painScore', 'PAIN_NRS', 0, 10, 1)) AS x(parity, i, "column", kind, lo, hi, step) ON x.parity = n.kind""")
 def scale_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values.scale_domains(_members(clinical(spark), "pos")).where("domain is not null")
-    return rows.select("column", "domain.kind", "domain.lo", "domain.hi", "domain.step")
+    rows = values.scale_domains(_members(clinic(spark, sf_dir), "pos")).where("domain is not null")
+    return rows.select("request_id", "pos", "column", "domain.kind", "domain.lo", "domain.hi", "domain.step")
 
 
-@query("""WITH f AS (SELECT unnest(range(1, 8)) AS cat), j AS (SELECT cat, floor((cat - 1) * 2.0 / 6 + 0.5) AS b FROM f),
-x AS (SELECT b, min(cat) AS lo, max(cat) AS hi FROM j GROUP BY b)
-SELECT 1::BIGINT AS mapping, b::INTEGER AS bucket, (b * 5)::INTEGER::VARCHAR AS name, 'FIM_toilet' AS "column", lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM x
-UNION ALL SELECT 1, i::INTEGER, (i * 5)::VARCHAR, 'BToilet', (i * 5)::DOUBLE, CASE WHEN i < 2 THEN i * 5 + 4 ELSE 10 END::DOUBLE FROM range(3) r(i)""")
+@query(f"""WITH {_CLINIC_SQL}, r AS (SELECT request_id, count(*) AS c, min(kind) AS least FROM n GROUP BY 1 HAVING count(*) >= 2),
+f AS (SELECT unnest(range(1, 8)) AS cat), j AS (SELECT cat, floor((cat - 1) * 2.0 / 6 + 0.5) AS b FROM f), x AS (SELECT b, min(cat) AS lo, max(cat) AS hi FROM j GROUP BY b),
+o AS (SELECT 0 AS least, 1 AS kind, b::INTEGER AS bucket, (b * 5)::INTEGER::VARCHAR AS name, 'FIM_toilet' AS "column", lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM x
+UNION ALL SELECT 0, 0, i::INTEGER, (i * 5)::VARCHAR, 'BToilet', (i * 5)::DOUBLE, CASE WHEN i < 2 THEN i * 5 + 4 ELSE 10 END::DOUBLE FROM range(3) r(i)
+UNION ALL SELECT 1, 1, cat::INTEGER - 1, cat::VARCHAR, 'FIM_toilet', cat::DOUBLE, cat::DOUBLE FROM f)
+SELECT n.request_id, n.k, o.bucket, o.name, o."column", o.lo, o.hi FROM n JOIN r USING (request_id) JOIN o ON o.least = r.least AND o.kind = n.kind""")
 def ordinal_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clinical(spark).where("column in ('BToilet', 'FIM_toilet')")
-    return _flat(values.ordinal_crosswalk(_members(rows, "1"))).drop("value")
+    rows = clinic(spark, sf_dir).where("column in ('BToilet', 'FIM_toilet')")
+    out = values.ordinal_crosswalk(_members(rows, "1")).select("request_id", "bucket", "name", F.explode("refs").alias("r"))
+    return out.select("request_id", F.floor(F.col("r.pos") / 12).alias("k"), "bucket", "name", "r.column", "r.lo", "r.hi")
 
 
 @query("""SELECT 'lineitem' AS file, 'l_quantity' AS "column", 'double' AS name, round(min(l_quantity), 4) AS lo, round(max(l_quantity), 4) AS hi FROM lineitem
@@ -387,16 +409,15 @@ def identity_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(values.identity_buckets(members)).select("bucket", "name", "column", "value")
 
 
-@query("SELECT 1::BIGINT AS mapping, * FROM (VALUES ('f', 'female'), ('m', 'male')) AS x(a, b)")
+@query(f"""WITH {_CLINIC_SQL} SELECT request_id, 1::BIGINT AS mapping, a, b FROM (SELECT request_id FROM n GROUP BY 1 HAVING count(DISTINCT kind) = 2), (VALUES ('f', 'female'), ('m', 'male')) AS x(a, b)""")
 def closed_domain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values.closed_domain_edges(_members(clinical(spark).where("lower(column) = 'sex'"), "1")).drop("request_id")
+    return values.closed_domain_edges(_members(clinic(spark, sf_dir).where("lower(column) = 'sex'"), "1"))
 
 
-@query("""WITH RECURSIVE e(a, b) AS (VALUES ('f', 'female'), ('m', 'male')), n AS (SELECT unnest(['f', 'm', 'female', 'male']) AS t),
-r(t, root) AS (SELECT t, t FROM n UNION SELECT CASE WHEN r.root = e.a THEN r.t ELSE r.t END, CASE WHEN r.root = e.a THEN e.b ELSE e.a END FROM r JOIN e ON r.root IN (e.a, e.b))
-SELECT t, min(root) AS root FROM r GROUP BY t""")
+@query(f"""WITH {_CLINIC_SQL}, t AS (SELECT DISTINCT request_id, kind, t FROM n JOIN (VALUES (0, 'm'), (0, 'f'), (1, 'male'), (1, 'female')) AS x(parity, t) ON parity = kind)
+SELECT a.request_id, a.t, min(b.t) AS root FROM t a JOIN t b ON a.request_id = b.request_id AND left(a.t, 1) = left(b.t, 1) GROUP BY 1, 2""")
 def closed_domain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values.closed_domain_components(_members(clinical(spark).where("lower(column) = 'sex'"), "1")).select("t", "root")
+    return values.closed_domain_components(_members(clinic(spark, sf_dir).where("lower(column) = 'sex'"), "1")).select("request_id", "t", "root")
 
 
 @query()
@@ -443,9 +464,13 @@ def term_lookup_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminology.suggestions(queries, dictionary).select("query", "rank", "concept_id")
 
 
-@query("SELECT label, CASE WHEN regexp_full_match(trim(label), '.+ [|] [0-9]{6,}') OR regexp_full_match(trim(label), '[0-9]{6,}') THEN trim(label) ELSE '' END AS gated FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in LABELS) + "]) AS label)")
+_LABEL_SQL = "CASE p_partkey % 5 WHEN 0 THEN p_name || ' | ' || p_partkey * p_size * 37 WHEN 1 THEN ' ' || p_partkey * 1000 WHEN 2 THEN p_name || '|' || p_partkey * 100000 WHEN 3 THEN p_type || ' | C' || p_partkey * 100000 ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, label, CASE WHEN regexp_full_match(trim(label), '.+ [|] [0-9]{{6,}}') OR regexp_full_match(trim(label), '[0-9]{{6,}}') THEN trim(label) ELSE '' END AS gated FROM (SELECT p_partkey, {_LABEL_SQL} AS label FROM part)")
 def terminology_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in LABELS], "label string").select("label", text.terminology_gate(F.col("label")).alias("gated"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.expr(_LABEL_SQL).alias("label"))
+    return rows.select("p_partkey", "label", text.terminology_gate(F.col("label")).alias("gated"))
 
 
 @query("SELECT DISTINCT p_size, p_brand, (length(p_brand) >= 2 AND NOT regexp_full_match(p_brand, '[0-9]+') AND length(regexp_replace(p_brand, '[^A-Za-z]', '', 'g')) >= 2) AS valid, CASE WHEN length(p_size::VARCHAR) < 3 THEN p_size::VARCHAR || ' ' || p_brand ELSE p_size::VARCHAR END AS padded FROM part")
@@ -491,9 +516,11 @@ def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["job_latest_state"] = "SELECT user_id AS job_id, arg_max(event_type, event_id) AS state, least(100, greatest(0, arg_max(round(value), event_id)))::INTEGER AS percent FROM events GROUP BY user_id"
 
 
-@query("SELECT i AS failures, least(60000, 2000 * (2 ** least(10, i - 1)))::BIGINT AS wait_ms FROM range(1, 15) r(i)")
+@query("""SELECT user_id, failures, least(60000, 2000 * (2 ** least(10, failures - 1)))::BIGINT AS wait_ms FROM (SELECT user_id, count(*) AS failures FROM events WHERE value < 10 GROUP BY user_id)""")
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 15).select(F.col("id").alias("failures"), scales.backoff_ms(F.col("id")).alias("wait_ms"))
+    """How long each user waits after the failures that its events count."""
+    failed = read(spark, sf_dir, "events").where("value < 10").groupBy("user_id").agg(F.count("*").alias("failures"))
+    return failed.select("user_id", "failures", scales.backoff_ms(F.col("failures")).alias("wait_ms"))
 
 
 @query("SELECT (SELECT count(*) FROM customer) AS members, (SELECT count(*) FROM nation) AS nodes, (SELECT count(*) FROM supplier) AS datasets, (SELECT max(o_orderdate) FROM orders) AS last_access")

@@ -12,7 +12,7 @@ from .functions.register import register
 from .operators import clustering, matching, platform, terminology
 from .plans.enrich import enrich
 from .plans.suggest import hierarchy_json, prepared, suggest_schemaless
-from .queries import _CAMEL_SQL, _everything, clinical, query
+from .queries import _CAMEL_SQL, _everything, clinic, query
 from .runtime import new_folder, read
 from .sources.server import register as register_source
 from .sources.server import write_pages
@@ -22,10 +22,11 @@ from .streaming.jobs import TRANSITIONS, replay
 
 
 @query("""SELECT row_number() OVER (ORDER BY t)::VARCHAR AS id, t AS label, '' AS description, 'http://example.org/ontology/' || t AS iri
-FROM (SELECT DISTINCT p_type AS t FROM part) WHERE contains(lower(t), 'brass')""")
+FROM (SELECT DISTINCT p_type AS t FROM part) WHERE contains(lower(t), lower((SELECT max(split_part(p_type, ' ', 1)) FROM part)))""")
 def ontology_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = read(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct().select(F.col("name").alias("pos"), "name")
-    return catalog.ontology_classes(types, "BRASS")
+    (word,) = types.agg(F.max(F.split_part("name", F.lit(" "), F.lit(1)))).first()
+    return catalog.ontology_classes(types, word.upper())
 
 
 @query("""SELECT n_name AS class, 0 AS pos, 'key' AS name, n_nationkey % 2 = 0 AS optional, 'integer' AS type FROM nation
@@ -230,7 +231,7 @@ def liveness_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clinical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.cluster_columns(prepared(clinical(spark))).select("pos", "cluster", "representative", "role")
+    return clustering.cluster_columns(prepared(clinic(spark, sf_dir))).select("request_id", "pos", "cluster", "representative", "role")
 
 
 @query("SELECT item_id::VARCHAR AS concept_id, trim(text) AS label FROM benchmark WHERE trim(text) <> ''")
