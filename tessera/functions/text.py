@@ -95,10 +95,6 @@ def is_structural_suffix(t: Column) -> Column:
     return t.rlike("^[0-9]+$") | (F.length(t) == 1) | ((F.length(t) <= 4) & ~t.rlike("[aeiou]"))
 
 
-def is_acronym_like(t: Column) -> Column:
-    return F.length(t).between(3, 6) & (F.length(F.regexp_replace(t, "[^aeiou]", "")) <= 1)
-
-
 def guard_stem(t: Column) -> Column:
     n = F.length(t)
     cut = lambda k: F.substring(t, F.lit(1), n - k)
@@ -158,7 +154,7 @@ def nfkc(c: Column) -> Column:
 
 
 def search_query(c: Column) -> Column:
-    """A terminology query in the form that the dictionary is searched with; ``nfkc`` it first where it isn't ASCII."""
+    """A terminology query in the form that the dictionary is searched with, of a text that ``nfkc`` has composed."""
     s = F.regexp_replace(safe(c), "([a-z])([A-Z])", "$1 $2")
     s = F.regexp_replace(F.regexp_replace(s, "([0-9])([A-Za-z])", "$1 $2"), "([A-Za-z])([0-9])", "$1 $2")
     s = F.regexp_replace(F.translate(s, "_-/", "   "), r"[^\w\s]", " ")

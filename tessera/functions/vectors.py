@@ -74,8 +74,12 @@ def nearest_cosines(rows: DataFrame, queries: Column, id_col: str, vector_col: s
     vector = F.transform(F.coalesce(F.col(vector_col), F.array().cast("array<double>")), lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))
     vecs = rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("id is not null")
     asked = vecs.where("asks").select("id", "v")
-    asks = durable(_blocks(asked.repartition(max(1, -(-asked.count() // (4 * block)))), 4 * block)).toDF("q_dim", "q_ids", "q_vecs")
-    every = durable(_blocks(vecs.select("id", "v"), block))
+    parts = durable(_blocks(asked.repartition(max(1, -(-asked.count() // (4 * block)))), 4 * block)).toDF("q_dim", "q_ids", "q_vecs")
+    parts = durable(parts.withColumn("part", F.monotonically_increasing_id()))
+    salts = rows.sparkSession.sparkContext.defaultParallelism
+    asks = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    every = durable(_blocks(vecs.select("id", "v"), block)).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    every = every.withColumn("part", F.explode(F.array(*(F.lit(r.part) for r in parts.select("part").collect()))))  # a number for each 4,096 queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, np.ndarray] = {}
@@ -90,12 +94,8 @@ def nearest_cosines(rows: DataFrame, queries: Column, id_col: str, vector_col: s
             known = found > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q_ids, "<i8")[known]), pa.array(found[known])], names=["a", "sim"])
 
-    return every.crossJoin(asks).mapInArrow(run, "a long, sim double").groupBy("a").agg(F.max("sim").alias("sim"))
-
-
-def l2_normalized(a: Column) -> Column:
-    norm = F.sqrt(dot(a, a))
-    return F.when(norm > 1e-12, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    met = every.hint("shuffle_hash").join(asks, ["part", "salt"]).select("dim", "ids", "vecs", "q_dim", "q_ids", "q_vecs")
+    return met.mapInArrow(run, "a long, sim double").groupBy("a").agg(F.max("sim").alias("sim"))
 
 
 def _grams(s: Column, n: int) -> Column:

@@ -51,6 +51,11 @@ def _vowels(token: str) -> int:
     return sum(c in "aeiou" for c in token)
 
 
+def is_acronym_like(token: str) -> bool:
+    """Three to six characters with one vowel at most."""
+    return 3 <= len(token) <= 6 and _vowels(token) <= 1
+
+
 def _abbreviates(short: list[str], full: list[str]) -> bool:
     if len(full) == 1:
         whole = full[0]
@@ -65,8 +70,7 @@ def _abbreviates(short: list[str], full: list[str]) -> bool:
         for k, whole in enumerate(full):
             if whole.startswith(token) and whole != token:
                 rest, others = [x for x in short if x != token], full[:k] + full[k + 1 :]
-                acronym = 3 <= len(whole) <= 6 and _vowels(whole) <= 1
-                if not rest or acronym or all(any(x.startswith(y) or y.startswith(x) for y in others) for x in rest):
+                if not rest or is_acronym_like(whole) or all(any(x.startswith(y) or y.startswith(x) for y in others) for x in rest):
                     return True
     return False
 

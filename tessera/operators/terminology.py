@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import (
-    category_phrase, fallback_code, is_generic_name, is_search_term, padded_term, plain_name, repaired_map, search_variant_rows, sentence, split_key,
+    category_phrase, fallback_code, is_generic_name, nfkc, is_search_term, padded_term, plain_name, repaired_map, search_variant_rows, sentence, split_key,
     terminology_gate, terminology_label, value_phrase,
 )
 from ..runtime import durable
@@ -37,7 +37,7 @@ def concepts(raw: DataFrame) -> DataFrame:
 def suggestions(queries: DataFrame, dictionary: DataFrame, top: int = TOP) -> DataFrame:
     """(query, rank, concept_id, label): the first ``top`` concepts that contain a search variant, by variant, then by
     concept id. A variant meets labels through its longest word, which is an equi-join, before containment is tested."""
-    variants = search_variant_rows(queries.select("query").distinct(), "query")
+    variants = search_variant_rows(queries.select("query").distinct().withColumn("composed", nfkc(F.col("query"))), "composed")
     longest = F.array_max(F.transform(_words(F.col("variant")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     terms = dictionary.select("concept_id", "label", F.explode(F.array_distinct(_words(F.col("label")))).alias("word"))
     met = variants.withColumn("word", longest).join(terms, "word").where(F.lower("label").contains(F.col("variant")))

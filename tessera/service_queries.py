@@ -16,7 +16,7 @@ from .queries import _CAMEL_SQL, _everything, clinic, query
 from .runtime import new_folder, read
 from .sources.server import register as register_source
 from .sources.server import write_pages
-from .sources import catalog
+from .sources import catalog, collections
 from .streaming.heartbeats import liveness
 from .streaming.jobs import TRANSITIONS, replay
 
@@ -287,3 +287,26 @@ def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.write.parquet(f"{at}/in")
     replay(spark, f"{at}/in", at, idle_ms=100 * 365 * 86_400_000, files=1000).awaitTermination()
     return spark.read.schema(TRANSITIONS).parquet(f"{at}/out").select("job_id", "seq", "state", "percent", "result")
+
+
+@query("""SELECT c_custkey::VARCHAR AS user_id, c_name AS username, CASE c_custkey % 3 WHEN 0 THEN 'ADMIN|USER' WHEN 1 THEN 'USER' ELSE '' END AS roles,
+CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey % 150) THEN (c_custkey % 150)::VARCHAR ELSE '' END AS node_ids FROM customer""")
+def user_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users (customers) with roles and nodes (suppliers) that they refer to; some nodes aren't there any more."""
+    q = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    ref = lambda kind, v: F.concat(F.lit(f'{{"$ref":"{kind}","$id":"'), v, F.lit('"}'))
+    k = F.col("c_custkey")
+    held = F.when(k % 3 == 0, F.concat(F.lit("["), ref("roles", F.lit("r1")), F.lit(","), ref("roles", F.lit("r2")), F.lit("]"))).when(k % 3 == 1, ref("roles", F.lit("r2"))).otherwise(F.lit("null"))
+    body = F.concat(F.lit('{"_id":{"$oid":'), q("c_custkey"), F.lit('},"username":'), q("c_name"), F.lit(',"password":"x","roles":'), held, F.lit(',"nodeIds":["'), (k % 150).cast("string"), F.lit('"]}'))
+    people = read(spark, sf_dir, "customer").select(body.alias("document"))
+    names = spark.createDataFrame([('{"_id":"r1","name":"ADMIN"}',), ('{"id":"r2","name":"USER"}',), ("{",), ('{"name":"none"}',)], "document string")
+    machines = read(spark, sf_dir, "supplier").select(F.concat(F.lit('{"nodeId":'), q("s_suppkey"), F.lit(',"name":'), q("s_name"), F.lit("}")).alias("document"))
+    found = collections.permissions(people, names, machines)
+    return found.select("user_id", "username", F.array_join("roles", "|").alias("roles"), F.array_join("node_ids", "|").alias("node_ids"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS project_id, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS badge, CASE WHEN p_partkey % 4 = 0 THEN octet_length(encode(p_name))::INTEGER END AS image_bytes FROM part""")
+def project_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = F.when(F.col("p_partkey") % 4 == 0, F.base64(F.encode("p_name", "UTF-8")))
+    body = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("badge"), image.alias("imageBytes")))
+    return collections.projects(read(spark, sf_dir, "part").select(body.alias("document"))).select("project_id", "name", "badge", "image_bytes")
