@@ -105,13 +105,14 @@ def job_transitions(commands: DataFrame, idle_ms: int = IDLE_MS, clock: str = "p
 
 def replay(spark: SparkSession, source: str, target: str, idle_ms: int = IDLE_MS, files: int = 1, clock: str = "event"):
     """Run the commands that are stored at ``source`` through ``job_transitions``, ``files`` files a batch, and append
-    the transitions to ``target``/out; returns the query. State is kept in RocksDB, in ``target``/state."""
-    name = "spark.sql.streaming.stateStore.providerClass"
+    the transitions to ``target``/out; returns the query. State is kept in RocksDB, in ``target``/state. By ``event`` time the
+    query ends with the input; by ``processing`` time, whose timers go on, it runs until it is stopped."""
+    name, when = "spark.sql.streaming.stateStore.providerClass", {"availableNow": True} if clock == "event" else {"processingTime": "1 second"}
     before = spark.conf.get(name, None)
     spark.conf.set(name, STORE)
     try:
         commands = spark.readStream.schema(COMMANDS).option("maxFilesPerTrigger", files).parquet(source)
         out = job_transitions(commands, idle_ms, clock)
-        return out.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+        return out.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(**when).start()
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import threading
+import time
 from collections import defaultdict
 from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -16,7 +17,7 @@ from tessera.operators.nearest import candidates, near_pairs
 from tessera.operators.terminology import concepts, nearest_concepts
 from tessera.runtime import new_folder, remove_folders
 from tessera.sources.server import limit_of, register, write_pages
-from tessera.streaming.jobs import COMMANDS, replay
+from tessera.streaming.jobs import COMMANDS, TRANSITIONS, replay
 
 
 class Server(BaseHTTPRequestHandler):
@@ -173,6 +174,13 @@ def test_jobs_by_the_servers_clock(spark, tmp_path):
     rows = [("a", i, start, op, None, m) for i, (op, m) in enumerate([("create", None), ("start", None), ("complete", "the result"), ("read", None), ("read", None)])]
     for part in (rows[:3], rows[3:]):
         spark.createDataFrame(part, COMMANDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    replay(spark, str(tmp_path / "in"), str(tmp_path / "job"), clock="processing").awaitTermination()
-    got = [(r.seq, r.state, r.result) for r in spark.read.parquet(str(tmp_path / "job" / "out")).orderBy("seq").collect()]
+    run, until, got = replay(spark, str(tmp_path / "in"), str(tmp_path / "job"), clock="processing"), time.time() + 60, []
+    try:
+        while len(got) < 4 and time.time() < until and run.isActive:
+            time.sleep(1)
+            if (tmp_path / "job" / "out" / "_spark_metadata").exists():
+                rows = spark.read.schema(TRANSITIONS).parquet(str(tmp_path / "job" / "out"))
+                got = sorted((r.seq, r.state, r.result) for r in rows.collect())
+    finally:
+        run.stop()
     assert got == [(0, "QUEUED", None), (1, "RUNNING", None), (2, "DONE", None), (3, "CLEARED", "the result")]
