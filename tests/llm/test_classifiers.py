@@ -163,3 +163,64 @@ def test_counterfactuals_pull_identity_terms_together():
         model = toxicity.fit(found, y, keys, swap, strength)
         gaps.append(abs(model.logit(toxicity.words("the muslim")) - model.logit(toxicity.words("the christian"))))
     assert gaps[1] < 0.2 * gaps[0]
+
+
+def _few(seed=3, n=60):
+    rng = np.random.default_rng(seed)
+    keys = np.arange(1, 13, dtype=np.uint64) * np.uint64(1000)
+    rows = [np.sort(rng.choice(keys, rng.integers(0, 7), replace=False)) for _ in range(n)]
+    y = (rng.random(n) < 0.4).astype(int)
+    return keys, rows, y, {1000: 2000, 2000: 3000, 3000: 1000, 4000: 5000, 5000: 4000, 77: 1000}
+
+
+def test_the_objective_with_pairs_as_brute_force():
+    """Loss by sets of words, pair by pair; gradient by differences; the fit ends where the gradient is nearly 0."""
+    keys, rows, y, swap = _few()
+    aim = toxicity.Objective(rows, y, keys, swap, strength=0.7, weight=3.0, decay=1e-2)
+    w = np.random.default_rng(1).normal(size=len(keys) + 1)
+    value = {int(k): x for k, x in zip(keys, w, strict=False)}
+    g = lambda words: sum(value[x] for x in words) + w[-1]
+    loss = lambda words, label: np.log1p(np.exp(g(words))) - label * g(words)
+    known = {x: o for x, o in swap.items() if x in value}
+    each = np.where(y == 1, 3.0, 1.0) / np.where(y == 1, 3.0, 1.0).sum()
+    total, natural, put_in = 0.0, [], []
+    for r, label, share, a, b in zip(rows, y, each, keys[aim.a].tolist(), keys[aim.b].tolist(), strict=True):
+        words = set(r.tolist())
+        assert known[a] == b
+        total += share * (loss(words, label) + loss(words | {a}, label)) / 2
+        put_in.append((g(words | {a}) - g(words | {b})) ** 2)
+        if words & set(known):
+            natural.append((g(words) - g({known.get(x, x) for x in words})) ** 2)
+    assert aim.natural == len(natural) > 5 and aim.mentions == len(rows) and len(set(aim.a.tolist())) == 5
+    brute = total + 0.7 * (np.mean(natural) + np.mean(put_in)) + 0.005 * (w[:-1] ** 2).sum()
+    assert abs(aim.loss(w) - brute) < 1e-9
+    steps = np.eye(len(w)) * 1e-6
+    slopes = np.array([(aim.loss(w + s) - aim.loss(w - s)) / 2e-6 for s in steps])
+    assert np.abs(aim.gradient(w) - slopes).max() < 1e-6
+    model = toxicity.fit(rows, y, keys, swap, 0.7, rounds=6000, rate=0.01, decay=1e-2)
+    assert np.abs(aim.gradient(np.append(model.weights, model.bias))).max() < 1e-3
+
+
+def test_a_term_stands_in_one_group():
+    terms = [w for group in toxicity.IDENTITY for w in group]
+    assert len(terms) == len(set(terms)) and all(len(toxicity.word_hashes(w, toxicity.NO_LETTER)) == 1 for w in terms)
+    assert set(toxicity.GROUPS) == {"en", "fr", "de", "es"}
+
+
+def test_counterfactuals_act_on_texts_without_terms(spark):
+    """No text of the tables holds a term; the mentions put in still give pairs that the penalty draws together, and a
+    neutral mention turns no clean held-out document toxic."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    reports = {}
+    for strength in (0.0, 1.0):
+        reports[strength] = {}
+        model = toxicity.train(docs, labels, strength=strength, report=reports[strength])
+    assert reports[1.0]["mentions"] > 100 and reports[0.0]["mentions"] == reports[1.0]["mentions"]
+    assert reports[1.0]["gap"] < 0.1 * reports[0.0]["gap"] and reports[0.0]["gap"] > 0
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where(held_out(F.col("doc_id"))).select("text").limit(40).collect()
+    turned = 0
+    for r in clean:
+        found = toxicity.words(r.text or "")
+        if model.logit(found) < 0:
+            turned += sum(model.logit(np.union1d(found, toxicity.words(t))) >= 0 for group in toxicity.IDENTITY for t in group)
+    assert turned == 0
