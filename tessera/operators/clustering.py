@@ -30,6 +30,8 @@ SCORES = {"TOTAL_SCORE", "ITEM_SCORE", "NUMERIC_MEASURE"}
 LIFE = {"birth", "born", "death", "deceased"}
 STRUCTURAL = {"id", "code", "name", "value", "flag", "indicator", "status", "type"}
 TOKEN_LEAST, VALUE_LEAST, VALUE_MOST = 0.15, 0.30, 0.99
+LEXICAL_WEIGHT, VALUE_WEIGHT, ROLE_WEIGHT = 0.16, 0.08, 0.08
+BONUS = LEXICAL_WEIGHT + VALUE_WEIGHT + ROLE_WEIGHT  # most that evidence other than the cosine adds to a score
 
 
 def with_roles(columns: DataFrame) -> DataFrame:
@@ -182,11 +184,34 @@ def merge_score(a: Cluster, b: Cluster) -> float | None:
             return None
     lexical, by_value = max(jaccard, 0.45 if short else 0.0), 0.0 if overlap or short else 0.25
     role = 0.0 if "UNKNOWN" in (a.role, b.role) else 1.0 if a.role == b.role else 0.45 if {a.role, b.role} <= SCORES else 0.0
-    return min(1.0, _cosine(a.vec, b.vec) + 0.16 * lexical + 0.08 * by_value + 0.08 * role)
+    return min(1.0, _cosine(a.vec, b.vec) + LEXICAL_WEIGHT * lexical + VALUE_WEIGHT * by_value + ROLE_WEIGHT * role)
+
+
+class _Directions:
+    """Mean directions of the clusters so far, as one matrix that grows."""
+
+    def __init__(self, dim: int):
+        self.rows, self.n = np.zeros((64, dim), dtype=np.float32), 0
+
+    def put(self, at: int, vec: np.ndarray) -> None:
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        norm = np.sqrt(vec.astype(np.float64) @ vec.astype(np.float64))
+        self.rows[at] = vec / norm if norm > 1e-12 else 0
+        self.n = max(self.n, at + 1)
+
+    def near(self, vec: np.ndarray, least: float) -> list[int]:
+        """Clusters whose cosine with ``vec`` is ``least`` or more, with room for rounding, in order."""
+        norm = np.sqrt(vec.astype(np.float64) @ vec.astype(np.float64))
+        sims = self.rows[: self.n] @ (vec / norm if norm > 1e-12 else np.zeros_like(vec)).astype(np.float32)
+        return np.flatnonzero(sims >= least - 1e-4).tolist()
 
 
 def fold(rows: list[dict], threshold: float) -> list[Cluster]:
-    """Initial clusters by key, then each joins the best earlier one that reaches the threshold."""
+    """Initial clusters by key, then each joins the best earlier one that reaches the threshold.
+
+    A score is a cosine and at most ``BONUS``, so only clusters whose cosine, taken for all at once, is within that of
+    the threshold are scored; the rest can't be joined."""
     first: dict[str, Cluster] = {}
     for m in rows:
         if m["key"] in first:
@@ -194,16 +219,19 @@ def fold(rows: list[dict], threshold: float) -> list[Cluster]:
         else:
             first[m["key"]] = Cluster(m)
     out: list[Cluster] = []
+    means = _Directions(len(rows[0]["vec"]) if rows else 0)
     for c in first.values():
         best, at = threshold, None
-        for other in out:
-            s = merge_score(other, c)
+        for i in means.near(c.vec, threshold - BONUS):
+            s = merge_score(out[i], c)
             if s is not None and (s > best or (at is None and s >= best)):
-                best, at = s, other
+                best, at = s, i
         if at is None:
             out.append(c)
+            means.put(len(out) - 1, c.vec)
         else:
-            at.merge(c)
+            out[at].merge(c)
+            means.put(at, out[at].vec)
     return out
 
 

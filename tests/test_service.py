@@ -75,6 +75,59 @@ def test_context_tokens_are_no_overlap(spark):
     assert len({got[0], got[1], got[2]}) == 3
 
 
+def wide(n, dim, seed):
+    """Columns of many names, some of which share tokens, abbreviate each other or have values in common."""
+    rng = np.random.default_rng(seed)
+    words = ["heart", "rate", "hr", "blood", "pressure", "bp", "weight", "wt", "walking", "walk", "stairs", "total", "score"]
+    topics = rng.normal(size=(max(2, n // 8), dim))
+    out = []
+    for k in range(n):
+        names = rng.choice(words, rng.integers(1, 3), replace=False).tolist()
+        m = member(" ".join(names) + f" {k % 5}", " ".join(names), str(rng.choice(["NUMERIC_MEASURE", "UNKNOWN", "ITEM_SCORE"])), topics[rng.integers(len(topics))] + rng.normal(0, 0.5, dim))
+        v = rng.random(6).astype(np.float32) if rng.random() < 0.7 else None
+        out.append({**m, "key": f"{names}{k // 3}{m['role']}", "value_vec": v})
+    return out
+
+
+def every_pair_fold(rows, threshold):
+    first = {}
+    for m in rows:
+        if m["key"] in first:
+            first[m["key"]].add(m)
+        else:
+            first[m["key"]] = clustering.Cluster(m)
+    out = []
+    for c in first.values():
+        scored = [(s, -i) for i, o in enumerate(out) if (s := clustering.merge_score(o, c)) is not None and s >= threshold]
+        if scored:
+            out[-max(scored)[1]].merge(c)
+        else:
+            out.append(c)
+    return out
+
+
+def test_fold_of_near_clusters_is_that_of_all_pairs():
+    sizes = lambda found: [(c.representative, c.role, len(c.members), [m["column"] for m in c.members]) for c in found]
+    for seed, threshold in ((1, 0.56), (2, 0.56), (3, 0.2), (4, 0.9)):
+        rows = wide(160, 12, seed)
+        assert sizes(clustering.fold(rows, threshold)) == sizes(every_pair_fold(rows, threshold))
+    assert clustering.fold([], 0.56) == []
+
+
+def test_a_wide_request_scores_few_pairs(monkeypatch):
+    rows, asked, real = wide(5000, 48, 7), [0], clustering.merge_score
+
+    def counted(a, b):
+        asked[0] += 1
+        return real(a, b)
+
+    monkeypatch.setattr(clustering, "merge_score", counted)
+    found = clustering.fold(rows, 0.56)
+    n = len({m["key"] for m in rows})
+    assert sum(len(c.members) for c in found) == 5000 and len(found) > 100
+    assert asked[0] < 0.05 * n * (n - 1) / 2
+
+
 def test_liveness_stream_as_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     seen = defaultdict(list)
