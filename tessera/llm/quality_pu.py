@@ -3,42 +3,47 @@
 Trusted positives are labelled documents; the unlabelled class is the whole corpus, good and bad mixed. Which documents
 carry a label, and what a label of 0 says, is never used.
 
-Models are additive over quantile bins of text statistics and fitted on folds of the positives, each against one sample
-of the corpus. A positive is ranked by the model that hasn't seen it: its rank is the share of documents that score
+Models are additive over quantile bins of text statistics and fitted on folds of the positives, each against the whole
+corpus: Newton's method, with sums over all rows from one pass of mergeable integers a step. A positive is ranked by the model that hasn't seen it: its rank is the share of documents that score
 lower. The class prior is the share of documents above a rank over the share of positives above it, at the rank where
 the upper end of that ratio's sampling error is least.
 
 1. Models that tell positives from the corpus give a first prior.
 2. With it, models g minimise the non-negative unbiased risk
        prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),   l the logistic loss,
-   stepping the other way where the second term falls below zero.
+   with the least penalty on weights, of a row of doublings, at whose minimum the second term isn't below zero.
 3. Their ranks among *all* documents, from counts over the whole corpus, give the final prior and the score: the function
    of the rank, rising by steps, that minimises the same risk over the counts of all documents and all positives:
    prior * (positives' density) / (documents' density), pooled where it would fall, and no more than 1, where the
    second term would go below zero.
 
-Only labelled rows and the sample that shapes the statistics' weights are bounded; ranks, prior and scores come from
-counts of all rows.
+Only labelled rows are bounded; bins, weights, ranks, prior and scores come from sums over all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import durable, python_path
-from .labelled import held_out, labelled_sample, least_hashed
+from ..runtime import durable, python_path, stored
+from .labelled import held_out, labelled_sample
 from .shingles import U64, word_hashes
 
-SAMPLE = 20_000  # most positives, and most documents of the corpus, to fit weights on
+SAMPLE = 20_000  # most positives to fit on
+FEW = 4_096  # most rows that lend their curvature to the steps of the fit
 BINS = 32
 FOLDS = 4
 RANKS = 1024
+GRID = 1 << 14
+UNIT = 1 << 22
+DECAY = 15.0  # the penalty on weights at first is this over the number of positives
+TOLERANCE = 1e-6
 
 _KINDS = np.full(256, 7)
 for _k, _chars in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\v\f\r", b"\n", b".,;:'\"()-?", b"!"]):
@@ -77,35 +82,97 @@ def _columns(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, j], side="right") + j * BINS for j, e in enumerate(edges)], 1)
 
 
-def _descend(slopes, cp: np.ndarray, cu: np.ndarray, size: int, decay: float, rounds: int = 400, rate: float = 0.1) -> np.ndarray:
-    """Adam over weights by bin, all rows at once. ``slopes`` gets the two samples' logits and gives the loss's slope in
-    each of them."""
-    w = np.zeros(size)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    flat, each = np.concatenate([cp, cu]).ravel(), cp.shape[1]
-    for t in range(1, rounds + 1):
-        g = w[flat].reshape(-1, each).sum(1)
-        slope = np.concatenate(slopes(g[: len(cp)], g[len(cp) :]))
-        grad = np.bincount(flat, np.repeat(slope, each), size) + decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+def _cells(x: np.ndarray) -> np.ndarray:
+    """Cells of a grid that is the same for every corpus: a statistic and the leading 18 bits of its value as float32
+    (10 of the mantissa), so a cell is less than 0.1 % wide."""
+    lead = np.maximum(x, 0).astype(np.float32).view(np.uint32) >> 13
+    return lead.astype(np.int64) + (np.arange(x.shape[1]) << 18)
 
 
-def _told_apart(gp: np.ndarray, gu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slopes of the logistic loss between the samples, each with half the weight."""
-    return -_sigmoid(-gp) / 2 / len(gp), _sigmoid(gu) / 2 / len(gu)
+def quantile_edges(counts: np.ndarray) -> np.ndarray:
+    """Lower ends of the cells that hold the quantiles of each statistic, from the counts of all rows by cell."""
+    edges = []
+    for each in counts.reshape(-1, 1 << 18):
+        ends = np.cumsum(each)
+        at = np.searchsorted(ends, np.arange(1, BINS) * ends[-1] / BINS)
+        edges.append((at.astype(np.uint32) << 13).view(np.float32).astype(float))
+    return np.stack(edges)
 
 
-def _unbiased(prior: float):
-    """Slopes of the non-negative unbiased risk."""
+def slopes_of(columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A row for each model: sums over the rows of log(1 + e^g) and of the slope of that in each weight. In units of
+    1 / UNIT, rounded a row, so that they don't depend on how rows are dealt to tasks."""
+    flat, out = columns.ravel(), np.empty((len(weights), 1 + weights.shape[1]), dtype=np.int64)
+    for k, w in enumerate(weights):
+        g = w[columns].sum(1)
+        out[k, 0] = np.rint(np.logaddexp(0, g) * UNIT).sum()
+        out[k, 1:] = np.bincount(flat, np.repeat(np.rint(_sigmoid(g) * UNIT), columns.shape[1]), weights.shape[1])
+    return out
 
-    def slopes(gp: np.ndarray, gu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        of_p, of_u = -prior * _sigmoid(gp) / len(gp), _sigmoid(gu) / len(gu)
-        return (of_p - prior * _sigmoid(-gp) / len(gp), of_u) if negative >= 0 else (-of_p, -of_u)
 
-    return slopes
+class Risk:
+    """What a fold's model minimises, from its positives and the corpus's sums: the value, its slope and its second
+    term. With a prior the non-negative unbiased risk, whose first part is linear for the logistic loss:
+    prior * (l(g) - l(-g)) = -prior * g. Without one the loss of telling positives from the corpus."""
+
+    def __init__(self, columns: np.ndarray, size: int, prior: float | None, decay: float):
+        self.columns, self.size, self.prior, self.decay = columns, size, prior, decay
+
+    def at(self, w: np.ndarray, loss: float, slope: np.ndarray) -> tuple[float, np.ndarray, float]:
+        g, each = w[self.columns].sum(1), self.columns.shape[1]
+        kept = self.decay / 2 * (w**2).sum()
+        if self.prior is None:
+            ours, of = np.logaddexp(0, -g).mean() / 2, -_sigmoid(-g) / 2 / len(g)
+            value, slope, negative = ours + loss / 2 + kept, slope / 2, 0.0
+        else:
+            value, of = loss - self.prior * g.mean() + kept, np.full(len(g), -self.prior / len(g))
+            negative = loss - self.prior * np.logaddexp(0, g).mean()
+        return value, slope + np.bincount(self.columns.ravel(), np.repeat(of, each), self.size) + self.decay * w, negative
+
+    def step(self, w: np.ndarray, slope: np.ndarray, few: np.ndarray) -> np.ndarray:
+        """Newton's step, with the curvature of a few rows of the corpus (and as many positives)."""
+
+        def curvature(columns: np.ndarray) -> np.ndarray:
+            p = _sigmoid(w[columns].sum(1))
+            hot = np.zeros((len(columns), self.size), dtype=np.float32)
+            np.put_along_axis(hot, columns, 1, 1)
+            return (hot.T @ (hot * (p * (1 - p) / len(p)).astype(np.float32)[:, None])).astype(float)
+
+        found = curvature(few)
+        if self.prior is None:
+            found = (found + curvature(self.columns[: len(few)])) / 2
+        return -np.linalg.solve(found + self.decay * np.eye(self.size), slope)
+
+
+def minimise(risks: list[Risk], sums: Callable[[np.ndarray], np.ndarray], few: np.ndarray, rows: int, passes: int = 40) -> np.ndarray:
+    """Weights of each risk by Newton's method; ``sums`` gives ``slopes_of`` over all rows, one pass for all models. A
+    step is halved until the risk falls. Where the second term is negative at the minimum, the penalty on weights
+    doubles and the search goes on from there, so at the end the unbiased risk and the non-negative one agree. ``few``
+    rows shape the steps; where they end is for all rows to say."""
+    w = np.zeros((len(risks), risks[0].size))
+    trial, step, slope, value = w.copy(), np.zeros_like(w), np.zeros_like(w), np.full(len(w), np.inf)
+    size, going = np.ones(len(w)), np.ones(len(w), dtype=bool)
+    for _ in range(passes):
+        found = sums(trial) / UNIT / rows
+        for k in np.flatnonzero(going):
+            risk = risks[k]
+            v, s, negative = risk.at(trial[k], found[k, 0], found[k, 1:])
+            if v <= value[k] + 1e-4 * size[k] * (slope[k] @ step[k]):
+                w[k], value[k], slope[k], size[k] = trial[k], v, s, 1.0
+                step[k] = risk.step(w[k], s, few)
+                if -(s @ step[k]) < TOLERANCE and negative < 0:
+                    value[k] += risk.decay / 2 * (w[k] ** 2).sum()
+                    slope[k] = s + risk.decay * w[k]
+                    risk.decay *= 2
+                    step[k] = risk.step(w[k], slope[k], few)
+                going[k] = -(slope[k] @ step[k]) >= TOLERANCE
+            else:
+                size[k] /= 2
+                going[k] = size[k] > 1e-3
+            trial[k] = w[k] + size[k] * step[k] if going[k] else w[k]
+        if not going.any():
+            break
+    return w
 
 
 def estimate_prior(ranks: np.ndarray) -> tuple[float, float]:
@@ -146,7 +213,10 @@ class PuModel:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         """A row for each fold's model and one for their mean."""
-        found = self.weights[:, _columns(x, self.edges)].sum(2)
+        return self.of_bins(_columns(x, self.edges))
+
+    def of_bins(self, columns: np.ndarray) -> np.ndarray:
+        found = self.weights[:, columns].sum(2)
         return np.concatenate([found, found.mean(0, keepdims=True)])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -156,56 +226,38 @@ class PuModel:
         within = _sigmoid(g)  # keeps the order of documents within a step
         return 0.999 * self.values[np.searchsorted(self.knots, g, side="right")] + 0.001 * within
 
-    def score(self, text: str) -> float:
-        return float(self.scores(statistics(text)[None])[0])
-
-
 NONE = PuModel(np.zeros((14, BINS - 1)), np.zeros((FOLDS, 14 * BINS)), np.zeros(0), np.zeros(0), 0.5)
 
 
-def fit_weights(positive: np.ndarray, corpus: np.ndarray) -> PuModel:
-    """Weights of each fold, and knots, from rows of ``statistics``; positives are dealt to folds by position."""
-    if not len(positive) or not len(corpus):
-        return NONE
-    edges = np.quantile(np.concatenate([positive, corpus]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    cp, cu, size = _columns(positive, edges), _columns(corpus, edges), len(edges) * BINS
-    fold = np.arange(len(cp)) % FOLDS
-
-    def by_fold(slopes, decay: float) -> PuModel:
-        weights = np.stack([_descend(slopes, cp[fold != k] if (fold != k).any() else cp, cu, size, decay) for k in range(FOLDS)])
-        return PuModel(edges, weights, np.zeros(0), np.zeros(0), 0.5)
-
-    first = by_fold(_told_apart, 1e-2)
-    return by_fold(_unbiased(_finish_in_memory(first, positive, corpus).prior), 1e-4)
+def grid(weights: np.ndarray) -> np.ndarray:
+    """Ends of even bins of each model's logits, a row for each of ``logits``, over all that its weights can give."""
+    ends = []
+    for w in [*weights, weights.mean(0)]:
+        by = w.reshape(-1, BINS)
+        ends.append(np.linspace(by.min(1).sum(), by.max(1).sum(), GRID + 1)[1:-1])
+    return np.stack(ends)
 
 
-def cuts(model: PuModel, corpus: np.ndarray) -> np.ndarray:
-    """Bin ends of each model's scores, a row for each of ``logits``."""
-    return np.quantile(model.logits(corpus), np.linspace(0, 1, RANKS + 1)[1:-1], axis=1).T
+def coarser(ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and counts of at most RANKS bins of about as many rows each, joined from those of the grid."""
+    upto = np.cumsum(counts)
+    at = np.unique(np.searchsorted(upto, np.arange(1, RANKS) * upto[-1] / RANKS))
+    at = at[at < len(ends)]
+    return ends[at], np.diff(np.concatenate([[0], upto[at], upto[-1:]]))
 
 
 def finish(model: PuModel, ends: np.ndarray, counts: np.ndarray, positive: np.ndarray) -> PuModel:
     """Prior and score of each rank; ``counts`` are those of all documents by model and bin of ``ends``."""
     logits, fold = model.logits(positive), np.arange(len(positive)) % FOLDS
-    shares = np.cumsum(counts, 1) / np.maximum(counts.sum(1, keepdims=True), 1)
+    bins = [coarser(e, c) for e, c in zip(ends, counts, strict=True)]
     ranks = np.empty(len(positive))
     for k in range(FOLDS):
-        at = np.searchsorted(ends[k], logits[k, fold == k], side="right")
-        ranks[fold == k] = shares[k, at] - counts[k, at] / np.maximum(counts[k].sum(), 1) / 2
+        cut, each = bins[k]
+        at = np.searchsorted(cut, logits[k, fold == k], side="right")
+        ranks[fold == k] = (np.cumsum(each)[at] - each[at] / 2) / max(each.sum(), 1)
     prior, error = estimate_prior(ranks)
-    return PuModel(model.edges, model.weights, ends[-1], rising(ranks, counts[-1], prior), prior, error)
-
-
-def _finish_in_memory(model: PuModel, positive: np.ndarray, corpus: np.ndarray) -> PuModel:
-    ends = cuts(model, corpus)
-    counts = np.stack([np.bincount(np.searchsorted(e, g, side="right"), minlength=RANKS) for e, g in zip(ends, model.logits(corpus), strict=True)])
-    return finish(model, ends, counts, positive)
-
-
-def fit(positive: np.ndarray, corpus: np.ndarray) -> PuModel:
-    """All of ``train`` on rows of ``statistics`` in memory."""
-    model = fit_weights(positive, corpus)
-    return model if model is NONE else _finish_in_memory(model, positive, corpus)
+    knots, each = bins[-1]
+    return PuModel(model.edges, model.weights, knots, rising(ranks, each, prior), prior, error)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -227,40 +279,70 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, x binary")
 
 
-def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id") -> PuModel:
-    """Fit on ``features``: at most ``sample`` documents labelled 1 that aren't held out, weights on at most ``sample``
-    documents of the corpus (those with the smallest hash of the id), ranks on all. Of rows that repeat an id the one
-    with the smallest statistics is learned from."""
+def _totals(rows: DataFrame, tally: Callable[[np.ndarray], np.ndarray], decode: Callable[[pa.Array], np.ndarray], size: int) -> np.ndarray:
+    """Sums over all rows of integers that ``tally`` finds for a batch; a task adds its own up before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += tally(decode(batch.column(0)))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    found = rows.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most ``size`` rows
+    out = np.zeros(size, dtype=np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _binned(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 14) + np.arange(14) * BINS
+
+
+def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, few: int = FEW, id_col: str = "doc_id") -> PuModel:
+    """Fit on ``features``: at most ``sample`` documents labelled 1 that aren't held out, and all rows as the unlabelled
+    ones, one pass over their bins (14 bytes a row) for each step of the fit. ``few`` rows lend the steps their
+    curvature and change no result. Of labelled rows that repeat an id the one with the smallest statistics is learned from."""
     spark = python_path(found.sparkSession)
     trusted = labelled_sample(labels.where(F.col(label_col) == 1), label_col, sample, id_col)
     rows = found.where("id is not null").select(F.col("id").cast("long").alias("id"), "x")
-    every = least_hashed(rows.select("id").distinct(), sample)
-
-    def rows_of(ids: DataFrame) -> np.ndarray:
-        taken = rows.join(F.broadcast(ids.select("id")), "id").groupBy("id").agg(F.min("x").alias("x"))  # at most ``sample`` ids
-        table = taken.toPandas().sort_values("id")
-        return np.frombuffer(b"".join(map(bytes, table["x"])), dtype="<f8").reshape(-1, 14)
-
-    positive, corpus = rows_of(trusted), rows_of(every)
-    model = fit_weights(positive, corpus)
-    if model is NONE:
+    taken = rows.join(F.broadcast(trusted.select("id")), "id").groupBy("id").agg(F.min("x").alias("x"))  # at most ``sample`` ids
+    table = taken.toPandas().sort_values("id")
+    positive = np.frombuffer(b"".join(map(bytes, table["x"])), dtype="<f8").reshape(-1, 14)
+    if not len(positive):
         return NONE
-    ends = cuts(model, corpus)
-    sent = spark.sparkContext.broadcast((model, ends))
+    edges = quantile_edges(_totals(found.select("x"), lambda x: np.bincount(_cells(x).ravel(), minlength=14 << 18), _matrix, 14 << 18))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FOLDS + 1, RANKS), dtype=np.int64)
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = sent.value[0].logits(_matrix(batch.column(0)))
-            for k, g in enumerate(logits):
-                total[k] += np.bincount(np.searchsorted(sent.value[1][k], g, side="right"), minlength=RANKS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+            c = (_columns(_matrix(batch.column(1)), edges) - np.arange(14) * BINS).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in c], pa.binary())], names=["id", "c"])
+
+    binned = stored(found.select("id", "x").mapInArrow(bins, f"id {found.schema['id'].dataType.simpleString()}, c binary"), "bins")
+    only = binned.select("c")
+    n = only.count()
+    shape = binned.orderBy(F.xxhash64("id", "c"), "c").select("c").limit(few).toArrow()["c"].combine_chunks()
+    cp, cu, size = _columns(positive, edges), _binned(shape), 14 * BINS
+    fold = np.arange(len(cp)) % FOLDS
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(weights)
+        return _totals(only, lambda c: slopes_of(c, sent.value).ravel(), _binned, weights.shape[0] * (1 + size)).reshape(len(weights), -1)
+
+    def fitted(prior: float | None) -> PuModel:
+        risks = [Risk(cp[fold != k] if (fold != k).any() else cp, size, prior, DECAY / len(cp)) for k in range(FOLDS)]
+        model = PuModel(edges, minimise(risks, sums, cu, n), np.zeros(0), np.zeros(0), 0.5)
+        ends = grid(model.weights)
+        sent = spark.sparkContext.broadcast((model, ends))
+
+        def tally(c: np.ndarray) -> np.ndarray:
+            of, cut = sent.value
+            return np.concatenate([np.bincount(np.searchsorted(e, g, side="right"), minlength=GRID) for e, g in zip(cut, of.of_bins(c), strict=True)])
+
+        return finish(model, ends, _totals(only, tally, _binned, (FOLDS + 1) * GRID).reshape(FOLDS + 1, GRID), positive)
 
-    counted = found.select("x").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # one row a bin
-    counts = np.zeros((FOLDS + 1) * RANKS, dtype=np.int64)
-    counts[[r["at"] for r in counted]] = [r["n"] for r in counted]
-    return finish(model, ends, counts.reshape(FOLDS + 1, RANKS), positive)
+    return fitted(min(fitted(None).prior, 0.99))  # at 1 the second term would be 0 without any weights
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -289,6 +371,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col
 
     @F.pandas_udf("boolean")
     def good(texts):
-        return texts.fillna("").map(lambda t: model.value.score(t) >= threshold).astype(bool)
+        found = np.zeros(len(texts), dtype=bool)
+        for at in range(0, len(texts), 512):  # statistics are cheaper to find again than texts are to store with them
+            x = np.stack([statistics(t) for t in texts.iloc[at : at + 512].fillna("")])
+            found[at : at + 512] = model.value.scores(x) >= threshold
+        return pd.Series(found)
 
     return docs.where(good(F.col(text_col)))

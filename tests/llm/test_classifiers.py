@@ -106,6 +106,59 @@ def test_scores_by_rank_as_brute_force():
     assert risk(rising) <= best + 1e-3
 
 
+def _binned_rows(seed, n, shift):
+    return np.abs(np.random.default_rng(seed).normal(shift, 1, (n, 14)))
+
+
+def test_bins_hold_equal_shares_of_all_rows():
+    x = _binned_rows(5, 20_000, 2.0)
+    x[:, 3] = 0  # a statistic that is the same everywhere
+    edges = quality_pu.quantile_edges(np.bincount(quality_pu._cells(x).ravel(), minlength=14 << 18))
+    want = np.quantile(x, np.arange(1, quality_pu.BINS) / quality_pu.BINS, axis=0).T
+    assert (edges[3] == 0).all() and np.abs(edges - want).max() < 0.01
+
+
+def test_the_risk_and_its_minimum_as_brute_force():
+    """Value and slope by single rows and by differences; at the end the slope over all rows is nearly 0 and the second
+    term isn't negative, whichever rows lend the curvature."""
+    p, u = _binned_rows(1, 80, 1.2), np.concatenate([_binned_rows(2, 500, 1.2), _binned_rows(3, 300, 2.5)])
+    edges = quality_pu.quantile_edges(np.bincount(quality_pu._cells(u).ravel(), minlength=14 << 18))
+    cp, cu, size, prior = quality_pu._columns(p, edges), quality_pu._columns(u, edges), 14 * quality_pu.BINS, 0.6
+    sums = lambda w: quality_pu.slopes_of(cu, w)
+    loss = lambda z: np.log1p(np.exp(-z))
+    w = np.random.default_rng(4).normal(size=size) / 3
+    risk = quality_pu.Risk(cp, size, prior, 0.05)
+
+    def at(w):
+        found = sums(w[None])[0] / quality_pu.UNIT / len(cu)
+        return risk.at(w, found[0], found[1:])
+
+    gp, gu = np.array([sum(w[c]) for c in cp]), np.array([sum(w[c]) for c in cu])
+    negative = loss(-gu).mean() - prior * loss(-gp).mean()
+    value, slope, second = at(w)
+    assert abs(second - negative) < 1e-6 and abs(value - (prior * loss(gp).mean() + negative + 0.025 * (w**2).sum())) < 1e-6
+    for j in (0, 40, 200, 447):
+        e = np.eye(size)[j] * 1e-2
+        assert abs((at(w + e)[0] - at(w - e)[0]) / 2e-2 - slope[j]) < 1e-4
+    ends = []
+    for few in (cu, cu[:200]):
+        risks = [quality_pu.Risk(cp, size, prior, 15 / len(cp))]
+        ends.append(quality_pu.minimise(risks, sums, few, len(cu), passes=200)[0])
+        risk = risks[0]
+        assert np.abs(at(ends[-1])[1]).max() < 2e-3 and at(ends[-1])[2] >= 0
+    assert np.abs(ends[0] - ends[1]).max() < 0.02
+
+
+def test_all_rows_are_learned_from(spark):
+    """The curvature of 200 rows instead of all gives nearly the same scores, and rows dealt otherwise the same ones."""
+    rows, labels, _ = corpus(600)
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    by = lambda d, **o: {r.doc_id: r.score for r in quality_pu.score(d, table, **o).collect()}
+    every, few, dealt = by(docs), by(docs, few=200), by(docs.repartition(7, F.xxhash64("text")))
+    assert every == dealt
+    assert np.mean([abs(every[i] - few[i]) for i in every]) < 0.02
+
+
 def test_held_out_predictions_and_prior_at_two_sizes(spark):
     priors = []
     for sf, most in (("sf0.01", 1), ("sf0.1", 10)):
