@@ -42,6 +42,7 @@ FOLDS = 4
 RANKS = 1024
 GRID = 1 << 14
 UNIT = 1 << 22
+CELLS, LOWEST = 1 << 16, 96 << 10
 DECAY = 15.0  # the penalty on weights at first is this over the number of positives
 TOLERANCE = 1e-6
 
@@ -83,19 +84,21 @@ def _columns(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _cells(x: np.ndarray) -> np.ndarray:
-    """Cells of a grid that is the same for every corpus: a statistic and the leading 18 bits of its value as float32
-    (10 of the mantissa), so a cell is less than 0.1 % wide."""
+    """Cells of a grid that is the same for every corpus: a statistic, and the six lower bits of the exponent and ten of
+    the mantissa of its value as float32, so a cell is less than 0.1 % wide; what is below 2^-31 counts as 0, and what
+    is above 2^33 as that."""
     lead = np.maximum(x, 0).astype(np.float32).view(np.uint32) >> 13
-    return lead.astype(np.int64) + (np.arange(x.shape[1]) << 18)
+    return np.clip(lead.astype(np.int64) - LOWEST, 0, CELLS - 1) + np.arange(x.shape[1]) * CELLS
 
 
 def quantile_edges(counts: np.ndarray) -> np.ndarray:
     """Lower ends of the cells that hold the quantiles of each statistic, from the counts of all rows by cell."""
     edges = []
-    for each in counts.reshape(-1, 1 << 18):
+    for each in counts.reshape(-1, CELLS):
         ends = np.cumsum(each)
         at = np.searchsorted(ends, np.arange(1, BINS) * ends[-1] / BINS)
-        edges.append((at.astype(np.uint32) << 13).view(np.float32).astype(float))
+        ends_at = ((at + LOWEST).astype(np.uint32) << 13).view(np.float32).astype(float)
+        edges.append(np.where(at > 0, ends_at, 0.0))
     return np.stack(edges)
 
 
@@ -296,6 +299,33 @@ def _totals(rows: DataFrame, tally: Callable[[np.ndarray], np.ndarray], decode:
     return out
 
 
+def _sums(rows: DataFrame, tally: Callable[[np.ndarray], np.ndarray], parts: int) -> np.ndarray:
+    """As ``_totals``, of rows of bins in ``parts`` partitions, for short vectors that every task fills: a task's vector is
+    one value, and at most 64 of them come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total = total + tally(_binned(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    def added(values: list[bytes]) -> np.ndarray:
+        total = np.zeros(1, dtype=np.int64)
+        for v in values:
+            total = total + np.frombuffer(v, dtype=np.int64)
+        return total
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = added([v for batch in batches for v in batch.column(0).to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    found = rows.mapInArrow(run, "v binary")
+    if parts > 64:
+        found = found.repartition(64).mapInArrow(join, "v binary")
+    return added(found.toArrow()["v"].to_pylist())
+
+
 def _binned(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 14) + np.arange(14) * BINS
 
@@ -312,7 +342,7 @@ def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", sampl
     positive = np.frombuffer(b"".join(map(bytes, table["x"])), dtype="<f8").reshape(-1, 14)
     if not len(positive):
         return NONE
-    edges = quantile_edges(_totals(found.select("x"), lambda x: np.bincount(_cells(x).ravel(), minlength=14 << 18), _matrix, 14 << 18))
+    edges = quantile_edges(_totals(found.select("x"), lambda x: np.bincount(_cells(x).ravel(), minlength=14 * CELLS), _matrix, 14 * CELLS))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,14 +351,14 @@ def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", sampl
 
     binned = stored(found.select("id", "x").mapInArrow(bins, f"id {found.schema['id'].dataType.simpleString()}, c binary"), "bins")
     only = binned.select("c")
-    n = only.count()
+    n, parts = only.count(), only.rdd.getNumPartitions()
     shape = binned.orderBy(F.xxhash64("id", "c"), "c").select("c").limit(few).toArrow()["c"].combine_chunks()
     cp, cu, size = _columns(positive, edges), _binned(shape), 14 * BINS
     fold = np.arange(len(cp)) % FOLDS
 
     def sums(weights: np.ndarray) -> np.ndarray:
         sent = spark.sparkContext.broadcast(weights)
-        return _totals(only, lambda c: slopes_of(c, sent.value).ravel(), _binned, weights.shape[0] * (1 + size)).reshape(len(weights), -1)
+        return _sums(only, lambda c: slopes_of(c, sent.value).ravel(), parts).reshape(len(weights), -1)
 
     def fitted(prior: float | None) -> PuModel:
         risks = [Risk(cp[fold != k] if (fold != k).any() else cp, size, prior, DECAY / len(cp)) for k in range(FOLDS)]

@@ -113,7 +113,7 @@ def _binned_rows(seed, n, shift):
 def test_bins_hold_equal_shares_of_all_rows():
     x = _binned_rows(5, 20_000, 2.0)
     x[:, 3] = 0  # a statistic that is the same everywhere
-    edges = quality_pu.quantile_edges(np.bincount(quality_pu._cells(x).ravel(), minlength=14 << 18))
+    edges = quality_pu.quantile_edges(np.bincount(quality_pu._cells(x).ravel(), minlength=14 * quality_pu.CELLS))
     want = np.quantile(x, np.arange(1, quality_pu.BINS) / quality_pu.BINS, axis=0).T
     assert (edges[3] == 0).all() and np.abs(edges - want).max() < 0.01
 
@@ -122,7 +122,7 @@ def test_the_risk_and_its_minimum_as_brute_force():
     """Value and slope by single rows and by differences; at the end the slope over all rows is nearly 0 and the second
     term isn't negative, whichever rows lend the curvature."""
     p, u = _binned_rows(1, 80, 1.2), np.concatenate([_binned_rows(2, 500, 1.2), _binned_rows(3, 300, 2.5)])
-    edges = quality_pu.quantile_edges(np.bincount(quality_pu._cells(u).ravel(), minlength=14 << 18))
+    edges = quality_pu.quantile_edges(np.bincount(quality_pu._cells(u).ravel(), minlength=14 * quality_pu.CELLS))
     cp, cu, size, prior = quality_pu._columns(p, edges), quality_pu._columns(u, edges), 14 * quality_pu.BINS, 0.6
     sums = lambda w: quality_pu.slopes_of(cu, w)
     loss = lambda z: np.log1p(np.exp(-z))
@@ -154,7 +154,7 @@ def test_all_rows_are_learned_from(spark):
     rows, labels, _ = corpus(600)
     docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
     by = lambda d, **o: {r.doc_id: r.score for r in quality_pu.score(d, table, **o).collect()}
-    every, few, dealt = by(docs), by(docs, few=200), by(docs.repartition(7, F.xxhash64("text")))
+    every, few, dealt = by(docs), by(docs, few=200), by(docs.repartition(70, F.xxhash64("text")))
     assert every == dealt
     assert np.mean([abs(every[i] - few[i]) for i in every]) < 0.02
 
