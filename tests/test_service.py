@@ -128,6 +128,24 @@ def test_a_wide_request_scores_few_pairs(monkeypatch):
     assert asked[0] < 0.05 * n * (n - 1) / 2
 
 
+def test_equal_columns_are_held_once(spark, monkeypatch):
+    """Vectors are made for columns that differ, and with a vector of its own for each column the clusters are the same."""
+    kinds = [("heart_rate", ["integer", "min:30", "max:200"]), ("HR", ["integer", "min:30", "max:200"]), ("Sex", ["M", "F"]), ("sex", ["male", "female"]), ("weight", ["double"])]
+    data = [(r, k, f"n{k}", "a.csv", *kinds[(k * k + k // 3) % 5]) for r in ("a", "b") for k in range(200)]
+    rows, asked, real = prepared(spark.createDataFrame(data, PROFILE)), [], clustering.sparse_value_vectors
+
+    def counted(df, key, values="values"):
+        asked.append(df.count())
+        return real(df, key, values)
+
+    monkeypatch.setattr(clustering, "sparse_value_vectors", counted)
+    shown = lambda df: sorted(tuple(r) for r in df.collect())
+    once = shown(clustering.cluster_columns(rows))
+    n = len({(r, *map(str, x)) for r, _, _, _, *x in data})
+    assert asked == [n, n] and len(once) == len(data)
+    assert shown(clustering.cluster_columns(rows, vectors=real(clustering.column_prompts(rows), ["request_id", "pos"], "prompts"))) == once
+
+
 def test_liveness_stream_as_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     seen = defaultdict(list)
