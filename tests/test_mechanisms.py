@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.operators.nearest import candidates, near_pairs
 from tessera.operators.terminology import concepts, nearest_concepts
 from tessera.runtime import new_folder, remove_folders
+from tessera.sources.sketch import _comparable, merge_sketches, sketch_table
 from tessera.sources.server import limit_of, register, write_pages
 from tessera.streaming.jobs import COMMANDS, TRANSITIONS, replay
 
@@ -114,6 +115,18 @@ def test_candidates_do_not_grow_with_far_concepts(spark):
     assert {r.query: r.concept_id for r in found.collect()} == {t: i for i, t in enumerate(asked)}
 
 
+def test_free_text_stays_out_of_sketches(spark):
+    """A column with a long text is known by lengths; parts of it without one give nothing away once merged."""
+    rows = [("x" * 201, "b", None), ("a", "a", None), (None, "\u00fc" * 200, None), ("\U0001f600" * 200, "b", None)]
+    df = spark.createDataFrame(rows, "long string, short string, none string").repartition(4)
+    parts = sketch_table(df, "t.csv", "n")
+    assert all(r.least == [] for r in parts.where("longest > 200").collect())
+    got = {r.column: (r.n, r.nulls, r.longest, r.least) for r in merge_sketches(parts).collect()}
+    assert got == {"long": (4, 1, 201, []), "short": (4, 0, 200, ["a", "b", "\u00fc" * 200]), "none": (4, 4, None, [])}
+    sent = df.select(_comparable("long", "text")).where("long is not null").select("long.short", "long.n").collect()
+    assert sorted((r.n, r.short) for r in sent) == [(1, "a"), (200, "\U0001f600" * 200), (201, None)]
+
+
 def plain(idle_ms, files):
     """What the processor should say, command by command; ``files`` are the batches. Timers see the watermark of the batch
     before, and a last batch without rows sees that of all."""
