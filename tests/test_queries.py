@@ -40,6 +40,10 @@ def test_nearest_vector_of_any_label(spark, tmp_path):
     small = {r.a: r.sim for r in nearest_cosines(df, F.col("vec_id") % 20 == 0, "vec_id", "embedding", block=2).collect()}
     assert small.keys() == want.keys() and all(abs(small[a] - want[a]) < 1e-9 for a in want)
     assert nearest_cosines(df.where("vec_id = 20"), F.lit(True), "vec_id", "embedding").collect() == []
+    assert nearest_cosines(df, F.lit(False), "vec_id", "embedding").collect() == []
+    singles = nearest_cosines(df.withColumn("embedding", F.col("embedding").cast("array<float>")), F.col("vec_id") % 20 == 0, "vec_id", "embedding", block=2)
+    assert {r.a: round(r.sim, 5) for r in singles.collect()} == {a: round(s, 5) for a, s in want.items()}
+    assert "Join" not in singles._jdf.queryExecution().toString()  # a block of queries goes to a task once, not with each block
 
 
 TEXTS = [
