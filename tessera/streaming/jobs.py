@@ -12,9 +12,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +22,7 @@ TRANSITIONS = "job_id string, seq long, state string, percent int, message strin
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 IDLE_MS = 30 * 60_000
 MESSAGES = 20  # of a job that are kept
+_SAID = Row(*(x.split()[0] for x in TRANSITIONS.split(", ")))
 
 
 class JobProcessor(StatefulProcessor):
@@ -35,53 +35,54 @@ class JobProcessor(StatefulProcessor):
         self.result = handle.getValueState("result", "text string")
         self.messages = handle.getListState("messages", "text string", None if self.event else self.idle_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        commands = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        state, percent, heard = self.now.get() if self.now.exists() else (None, 0, None)
-        out, said = [], []
-        for c in commands.itertuples(index=False):
-            heard = max(int(c.ms) if self.event else timerValues.getCurrentProcessingTimeInMs(), heard or 0)
-            told = None if c.percent != c.percent or c.percent is None else int(c.percent)
-            message, result = c.message, None
-            if c.op == "create" and state is None:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """A batch's commands of a job are run in memory, between one look at the state and one write of what is left, as
+        each call to the state is a message to another process."""
+        held = self.now.get()
+        state, percent, heard = held or (None, 0, None)
+        fresh, kept = held is None, None  # fresh: nothing that the store has is of this job any more; kept: a result of this batch
+        said = []
+        for c in sorted(rows, key=lambda c: c.seq):
+            op, message, result = c.op, c.message, None
+            heard = max(c.ms if self.event else timerValues.getCurrentProcessingTimeInMs(), heard or 0)
+            if op == "create" and state is None:
                 state, percent, message = "QUEUED", 0, "Queued…"
             elif state is None:
                 continue  # an unknown job, or one that was read and cleared
-            elif c.op == "start":
+            elif op == "start":
                 state, percent, message = "RUNNING", max(percent, 1), message or "Running…"
-            elif c.op == "update":
-                percent = percent if told is None else max(0, min(100, told))
-            elif c.op == "fail":
+            elif op == "update":
+                percent = percent if c.percent is None else max(0, min(100, c.percent))
+            elif op == "fail":
                 state, message = "FAILED", message or "Failed."
-            elif c.op == "complete":
-                state, percent = "DONE", 100
-                self.result.update((message or "",))
-                message = "Done."
-            elif c.op == "read" and state == "DONE":
-                result = self.result.get()[0]
+            elif op == "complete":
+                state, percent, kept, message = "DONE", 100, message or "", "Done."
+            elif op == "read" and state == "DONE":
+                result = self.result.get()[0] if kept is None else kept
             else:
                 continue
             if message:
                 said.append((message,))
-            out.append((key[0], int(c.seq), "CLEARED" if result is not None else state, percent, message, result))
+            yield _SAID(key[0], c.seq, "CLEARED" if result is not None else state, percent, message, result)
             if result is not None:
-                state, percent, heard, said = None, 0, None, []
-                self._clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if state is None:
+                state, percent, heard, said, fresh, kept = None, 0, None, [], True, None
+        if held is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if held is not None and fresh:
             self._clear()
-        else:
+        if state is not None:
             self.now.update((state, percent, heard))
-            kept = [tuple(m) for m in self.messages.get()] if self.messages.exists() else []
-            self.messages.put((kept + said)[-MESSAGES:] or [("",)])
+            if kept is not None:
+                self.result.update((kept,))
+            before = [tuple(m) for m in self.messages.get()] if not fresh and self.messages.exists() else []
+            self.messages.put((before + said)[-MESSAGES:] or [("",)])
             self.handle.registerTimer(heard + self.idle_ms)
-        yield pd.DataFrame(out, columns=["job_id", "seq", "state", "percent", "message", "result"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state, percent, _ = self.now.get()
         self._clear()
-        yield pd.DataFrame({"job_id": [key[0]], "seq": [None], "state": ["EXPIRED"], "percent": [percent], "message": [f"Last {state}."], "result": [None]})
+        yield _SAID(key[0], None, "EXPIRED", percent, f"Last {state}.", None)
 
     def _clear(self) -> None:
         for held in (self.now, self.result, self.messages):
@@ -100,7 +101,7 @@ def job_transitions(commands: DataFrame, idle_ms: int = IDLE_MS, clock: str = "p
     rows = commands.where("job_id is not null and seq is not null").withColumn("ms", F.unix_millis("ts"))
     if clock == "event":
         rows = rows.withWatermark("ts", "0 seconds")
-    return rows.groupBy("job_id").transformWithStateInPandas(JobProcessor(idle_ms, clock), TRANSITIONS, "append", f"{clock}Time")
+    return rows.groupBy("job_id").transformWithState(JobProcessor(idle_ms, clock), TRANSITIONS, "append", f"{clock}Time")
 
 
 def replay(spark: SparkSession, source: str, target: str, idle_ms: int = IDLE_MS, files: int = 1, clock: str = "event"):

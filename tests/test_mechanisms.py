@@ -11,6 +11,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.operators.nearest import candidates, near_pairs
@@ -18,7 +19,7 @@ from tessera.operators.terminology import concepts, nearest_concepts
 from tessera.runtime import new_folder, remove_folders
 from tessera.sources.sketch import _comparable, merge_sketches, sketch_table
 from tessera.sources.server import limit_of, register, write_pages
-from tessera.streaming.jobs import COMMANDS, TRANSITIONS, replay
+from tessera.streaming.jobs import COMMANDS, TRANSITIONS, JobProcessor, replay
 
 
 class Server(BaseHTTPRequestHandler):
@@ -181,6 +182,37 @@ def test_jobs_command_by_command(spark, tmp_path):
     assert all(r.message.startswith("Last ") for r in rows if r.state == "EXPIRED")
 
 
+class Held:
+    """A state or a handle that counts what it is asked for."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("getValueState", "getListState"):
+                return Held(self.calls)
+            if name == "put" or name == "update" or name == "clear":
+                self.held = args[0] if args else None
+            return {"exists": self.held is not None, "get": self.held, "listTimers": []}.get(name)
+
+        return call
+
+
+def test_a_jobs_batch_asks_the_state_a_few_times():
+    calls, ops = [], ["create", "start", "complete", "read"]
+    job = JobProcessor(1000)
+    job.init(Held(calls))
+    commands = [Row(job_id="a", seq=i, op=ops[i % 4], percent=None, message="m", ms=i) for i in range(403)]
+    calls.clear()
+    out = list(job.handleInputRows(("a",), iter(reversed(commands)), None))
+    assert [r.seq for r in out] == list(range(403)) and [r.result for r in out if r.state == "CLEARED"] == ["m"] * 100
+    assert out[-1].state == "DONE" and len(calls) <= 8 and job.result.held == ("m",) and len(job.messages.held) == 3
+    (again,) = job.handleInputRows(("a",), iter([Row(job_id="a", seq=403, op="read", percent=None, message=None, ms=403)]), None)
+    assert (again.state, again.result) == ("CLEARED", "m") and job.now.held is None and job.result.held is None and job.messages.held is None
+
+
 def test_jobs_by_the_servers_clock(spark, tmp_path):
     """Messages have a time to live then, and what is read is given once."""
     start = datetime(2024, 1, 1)
