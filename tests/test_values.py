@@ -10,8 +10,9 @@ from tessera.functions.vectors import sparse_value_vectors
 from tessera.operators import leaders
 from tessera.operators.values import CLUSTER_LEAST, clustered_buckets, harmonized
 from tessera.plans.enrich import enriched_parts
-from tessera.plans.suggest import prepared, schemaless_parts
-from tessera.sources.profile import PROFILE
+from tessera.plans.suggest import prepared, schema_parts, schemaless_parts
+from tessera.sources.json_schema import schema_fields
+from tessera.sources.profile import PROFILE, profile_tables
 from tessera.sources.sketch import column_texts
 
 
@@ -137,3 +138,13 @@ def test_texts_of_all_columns(spark):
     want = {(1, f"v{i:03d}") for i in range(200)} | {(5, "e"), (5, "ü" * 200)}
     assert sorted((r.request_id, r.pos, r.value) for r in got.collect()) == sorted(("tables", p, v) for p, v in want)
     assert column_texts({"n": a.select("n")}).count() == 0
+
+
+def test_schema_gets_all_values(spark):
+    """The 80 smallest values of the column are of one kind alone."""
+    values = [f"hemorrhagic {i:03d}" for i in range(100)] + [f"ischemic {i:03d}" for i in range(50)]
+    tables = {"t": spark.createDataFrame([(i, v) for i, v in enumerate(values * 2)], "k int, stroke_type string")}
+    fields = schema_fields(spark.createDataFrame([("tables", '{"properties": {"stroke_type": {"type": "string", "enum": ["Ischemic", "Hemorrhagic"]}}}')], "request_id string, schema string"))
+    mappings, buckets = schema_parts(profile_tables(tables), fields, texts=column_texts(tables))
+    assert {r.name: len(r.refs) for r in buckets.collect()} == {"Ischemic": 50, "Hemorrhagic": 100}
+    assert [(r.kind, r.buckets) for r in mappings.collect()] == [("enum", 2)]
